@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .decontamination import OP1_SQL, op1_decontamination
+from .packing import op4_best_fit_packing
+from .simhash import op6_simhash
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_simhash": op6_simhash,
 }
 
 ORACLE_SQL = {
