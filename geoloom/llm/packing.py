@@ -9,8 +9,8 @@ the plan is a list of configurations with multiplicities:
    falls exponentially with how far it is covered; each round prices configurations by a knapsack dynamic
    program over capacities and adds, for each length, the best configuration that has it, if that is full.
 2. Rounding: fractions are rounded down, and the program is solved anew for what is left as long as that
-   still places a good part.
-   What remains, a number bounded by the number of configurations and not by the data, goes best-fit.
+   still places a good part. What remains goes best-fit, longest first, all pieces of a length at once:
+   runs of sequences with equal room are kept as one, so the steps don't grow with the number of pieces.
 3. Every piece gets its rank among the pieces of its length, and the rank its place: the plan is a list of
    rank ranges per length, each with the first sequence and the offset.
 
@@ -198,23 +198,28 @@ def plan(counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray,
                 place(config, times)
         if before - int(left.sum()) < before // 4:
             break
-    # best-fit, longest first: rooms holds the open sequences by the room they have
+    # best-fit, longest first, many pieces at once: rooms holds runs of open sequences by the room they have
     rooms: dict[int, list[tuple[int, int]]] = {}
     open_rooms = 0  # bit r is set if a sequence has room r
     for l in range(size, 0, -1):
-        for _ in range(int(left[l])):
+        n = int(left[l])
+        while n:
             if fit := open_rooms >> l:
                 room = l + (fit & -fit).bit_length() - 1
-                sequence, offset = rooms[room].pop()
-                if not rooms[room]:
-                    open_rooms &= ~(1 << room)
+                first, run = rooms[room].pop()
             else:
-                room, sequence, offset = size, sequences, 0
-                sequences += 1
-            out.append((l, int(used[l]), 1, sequence, offset))
-            used[l] += 1
+                room, first, run = size, sequences, -(-n // (size // l))
+                sequences += run
+            times = min(n, run)
+            out.append((l, int(used[l]), times, first, size - room))
+            used[l] += times
+            n -= times
+            if run > times:
+                rooms[room].append((first + times, run - times))
+            elif room < size and not rooms[room]:
+                open_rooms &= ~(1 << room)
             if room > l:
-                rooms.setdefault(room - l, []).append((sequence, offset + l))
+                rooms.setdefault(room - l, []).append((first, times))
                 open_rooms |= 1 << (room - l)
     table = np.array(sorted(out), np.int64).reshape(-1, 5)
     return tuple(table.T)

@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 from .decontamination import OP1_SQL, op1_decontamination
+from .line_dedup import OP2_SQL, op2_line_dedup
+from .neighbours import OP7_SQL, op7_nearest
 from .packing import op4_best_fit_packing
 from .simhash import op6_simhash
+from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_line_dedup": op2_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_simhash": op6_simhash,
+    "op7_nearest": op7_nearest,
+    "op8_warc": op8_warc,
 }
 
 ORACLE_SQL = {
     "op1_decontamination": OP1_SQL,
+    "op2_line_dedup": OP2_SQL,
+    "op7_nearest": OP7_SQL,
+    "op8_warc": OP8_SQL,
 }
