@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .decontamination import OP1_SQL, op1_decontamination
+from .hidden_markov import op10_language_model
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .neighbours import OP7_SQL, op7_nearest
 from .packing import op4_best_fit_packing
 from .simhash import op6_simhash
+from .toxicity import op9_toxicity
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
@@ -16,6 +18,8 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_nearest": op7_nearest,
     "op8_warc": op8_warc,
+    "op9_toxicity": op9_toxicity,
+    "op10_language_model": op10_language_model,
 }
 
 ORACLE_SQL = {
