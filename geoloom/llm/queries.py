@@ -7,14 +7,18 @@ from .hidden_markov import op10_language_model
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .neighbours import OP7_SQL, op7_nearest
 from .packing import op4_best_fit_packing
+from .quality import op5_quality
 from .simhash import op6_simhash
 from .toxicity import op9_toxicity
+from .url_filter import op3_url_filter
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
+    "op3_url_filter": op3_url_filter,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_nearest": op7_nearest,
     "op8_warc": op8_warc,
