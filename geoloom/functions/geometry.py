@@ -17,8 +17,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GEOMETRY = "struct<rings:array<array<struct<x:double,y:double>>>,srid:int>"
+_POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+_GEOMETRY = T.StructType([T.StructField("rings", T.ArrayType(T.ArrayType(_POINT))), T.StructField("srid", T.IntegerType())])
 EARTH_RADIUS_M = 6_371_008.8
 MERCATOR_RADIUS_M = 6_378_137.0
 
@@ -153,7 +156,13 @@ def hex_centre(q: Column, r: Column, edge_m: float) -> tuple[Column, Column]:
     return (q + r / 2) * (float(np.sqrt(3)) * edge_m), r * (1.5 * edge_m)
 
 
+def _null(geom) -> bool:
+    return geom is None or geom["rings"] is None
+
+
 def _rings(geom) -> list[np.ndarray]:
+    if _null(geom):
+        return []
     return [np.array([(p["x"], p["y"]) for p in ring], float) for ring in geom["rings"] if ring is not None and len(ring) > 3]
 
 
@@ -192,14 +201,14 @@ def _clip_area(subject: np.ndarray, clip: np.ndarray) -> float:
 
 def overlap(a, b) -> float | None:
     """Intersection area of two geometries given as dicts."""
-    if a is None or b is None:
+    if _null(a) or _null(b):
         return None
     return float(sum(s * t * _clip_area(x, y) for s, x in _triangles(a) for t, y in _triangles(b)))
 
 
 def _meet(a, b) -> bool | None:
     """Two geometries share a point: edges meet, or one holds a vertex of the other."""
-    if a is None or b is None:
+    if _null(a) or _null(b):
         return None
 
     def inside(geom, x: float, y: float) -> bool:
@@ -225,13 +234,13 @@ def _meet(a, b) -> bool | None:
     return bool(ra and rb and (inside(b, *ra[0][0]) or inside(a, *rb[0][0])))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def overlap_area(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
     """Area of the intersection of two polygons, holes respected."""
     return pd.Series([overlap(x, y) for x, y in zip(a.to_dict("records"), b.to_dict("records"))], dtype="float64")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def intersects(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
     """Two polygons share a point, borders included."""
     return pd.Series([_meet(x, y) for x, y in zip(a.to_dict("records"), b.to_dict("records"))])
@@ -251,7 +260,7 @@ def _surface_point(geom) -> tuple[float, float] | None:
     return None if x is None else (x, y)
 
 
-@F.pandas_udf("x double, y double")
+@F.pandas_udf(_POINT)
 def point_on_surface(geom: pd.DataFrame) -> pd.DataFrame:
     """A point inside: the middle of the widest span of a scan line near half height."""
     found = [_surface_point(g) or (None, None) for g in geom.to_dict("records")]
@@ -259,7 +268,7 @@ def point_on_surface(geom: pd.DataFrame) -> pd.DataFrame:
 
 
 def encode_wkb(geom) -> bytes | None:
-    if geom is None or geom["rings"] is None:
+    if _null(geom):
         return None
     rings = [[(p["x"], p["y"]) for p in r] for r in geom["rings"]]
     turn = lambda r: sum(p[0] * q[1] - q[0] * p[1] for p, q in pairwise(r))
@@ -305,12 +314,12 @@ def decode_wkb(data: bytes | None, srid: int = 4326) -> dict | None:
     return {"rings": rings, "srid": srid}
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_wkb(geom: pd.DataFrame) -> pd.Series:
     return pd.Series([encode_wkb(g) for g in geom.to_dict("records")])
 
 
-@F.pandas_udf(GEOMETRY)
+@F.pandas_udf(_GEOMETRY)
 def from_wkb(data: pd.Series) -> pd.DataFrame:
     found = [decode_wkb(x) or {"rings": None, "srid": None} for x in data]
     return pd.DataFrame({"rings": [f["rings"] for f in found], "srid": pd.array([f["srid"] for f in found], dtype="Int32")})

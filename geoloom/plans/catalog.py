@@ -40,10 +40,22 @@ def picked_asset(assets: Column, exact: list[str], roles: list[str], keywords: l
     Blocked words in a name or title rule an asset out on all steps but the first.
     """
     text = lambda a: F.lower(F.concat_ws(" ", a["name"], a.title))
-    free = F.filter(assets, lambda a: ~F.exists(F.array(*map(F.lit, blocked or ["\0"])), lambda w: text(a).contains(w)))
-    steps = [F.get(F.filter(assets, lambda a, n=n: F.lower(a["name"]) == n), 0) for n in exact]
-    steps += [F.get(F.filter(free, lambda a, r=r: F.coalesce(F.array_contains(a.roles, r), F.lit(False))), 0) for r in roles]
-    steps += [F.get(F.filter(free, lambda a, k=k: F.lower(F.concat_ws(" ", a["name"], a.title, a.href)).contains(k)), 0) for k in keywords]
+    words = F.array(*map(F.lit, blocked)) if blocked else F.array().cast("array<string>")
+    free = F.filter(assets, lambda a: ~F.exists(words, lambda w: text(a).contains(w)))
+
+    def first(of: Column, test) -> Column:
+        return F.get(F.filter(of, lambda a: F.coalesce(test(a), F.lit(False))), 0)
+
+    def named(name: str) -> Column:
+        return first(assets, lambda a: F.lower(a["name"]) == name)
+
+    def with_role(role: str) -> Column:
+        return first(free, lambda a: F.array_contains(a.roles, role))
+
+    def with_word(word: str) -> Column:
+        return first(free, lambda a: F.lower(F.concat_ws(" ", a["name"], a.title, a.href)).contains(word))
+
+    steps = [*map(named, exact), *map(with_role, roles), *map(with_word, keywords)]
     return F.coalesce(*steps, *([F.get(free, 0)] if fallback else [F.lit(None)]))
 
 
