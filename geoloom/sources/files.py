@@ -30,7 +30,7 @@ def read_lines_of_json(spark: SparkSession, path: str, schema: str) -> DataFrame
 
 def read_sidecars(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Whole-file JSON objects: path and content; a file that doesn't parse has null content."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("content"))
 
 

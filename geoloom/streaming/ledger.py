@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..plans.manifest import spend
 
 
+def _timed(stream: DataFrame) -> DataFrame:
+    """With an event time that watermarks accept, whether or not it came with a time zone."""
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def running_spend(stream: DataFrame, by: list[str], *, endpoint: str = "layers") -> DataFrame:
     """Calls and cost so far, by group; for output mode complete or update. State: a row per group."""
     counts = (F.col("endpoint") == endpoint) & (F.col("status") == "ok") & ~F.coalesce("cache_hit", F.lit(False))
@@ -23,12 +28,12 @@ def latest_status(stream: DataFrame, key: str = "tile_id") -> DataFrame:
 
 def counts_by_time(stream: DataFrame, width: str, late: str, by: list[str]) -> DataFrame:
     """Entries per window of event time; windows are final, and their state goes, once the watermark passes them."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", width), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *by, "n")
+    return _timed(stream).withWatermark("ts", late).groupBy(F.window("ts", width), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *by, "n")
 
 
 def once_per_key(stream: DataFrame, keys: list[str], late: str) -> DataFrame:
     """Without repeated entries that come within the allowed lateness."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    return _timed(stream).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
 def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
