@@ -12,7 +12,7 @@ from .fixtures import SQL, expanded, fixture, with_box
 from .functions import geometry as g
 from .functions import scalars as s
 from .operators import spatial, statistics, tables
-from .plans import capacity, catalog, census, manifest
+from .plans import capacity, catalog, census, imagery, manifest
 from .streaming import ledger
 
 #: About the width of a building in degrees.
@@ -399,6 +399,62 @@ WITH c AS (SELECT tile_id % 10 part, count(*) entries, CAST(count(*) FILTER (end
 SELECT *, least(calls, 1000) free_used, greatest(1000 - calls, 0) free_left, greatest(calls - 1000, 0) billable, greatest(1999 - calls, 0) left_to_cap, round(greatest(calls - 1000, 0) * 0.075::DOUBLE, 3) cost_usd FROM c"""
 
 
+def labelled_chips(spark, d) -> DataFrame:
+    """Chips around buildings with the panels' cells in them."""
+    b = fixture(spark, d, "buildings")
+    chips = b.select("building_id", *(c.alias(n) for n, c in imagery.chip_bounds(F.col("lon"), F.col("lat"), F.lit(4e-4)).items()))
+    return imagery.chip_labels(chips, fixture(spark, d, "panels"), chip_id="building_id", polygon_id="panel_id", cells=32, cell=4e-4, boxes=True)
+
+
+CHIP_SQL = f"""
+WITH a AS (SELECT building_id, lon - 4e-4 / 2 minx, lat - 4e-4 / 2 miny, lon + 4e-4 / 2 maxx, lat + 4e-4 / 2 maxy FROM {{buildings}}), b AS (SELECT * FROM {{panels}}),
+p AS (SELECT building_id, panel_id, a.minx ax, a.maxx bx, a.miny ay, a.maxy by_, b.* EXCLUDE (panel_id) FROM a JOIN b ON {_MEET}),
+g AS (SELECT *, unnest(range(0, 32)) c FROM p), h AS (SELECT *, unnest(range(0, 32)) r FROM g WHERE ax + (c + 0.5::DOUBLE) * ((bx - ax) / 32) >= minx AND ax + (c + 0.5::DOUBLE) * ((bx - ax) / 32) < maxx),
+n AS (SELECT building_id, count(DISTINCT (r, c)) labelled_cells FROM h WHERE by_ - (r + 0.5::DOUBLE) * ((by_ - ay) / 32) >= miny AND by_ - (r + 0.5::DOUBLE) * ((by_ - ay) / 32) < maxy GROUP BY 1)
+SELECT building_id, polygons, labelled_cells FROM n JOIN (SELECT building_id, count(DISTINCT panel_id) polygons FROM p GROUP BY 1) USING (building_id)"""
+
+
+def scorecard(spark, d) -> DataFrame:
+    """Counties with buildings, panels and urban blocks, zero-filled, and the share of block groups with buildings."""
+    c, bg = fixture(spark, d, "counties"), fixture(spark, d, "block_groups")
+    b = fixture(spark, d, "buildings")
+    inside = _buildings_in(spark, d, c, "geoid").groupBy("geoid").agg(F.count("*").alias("buildings"))
+    urban = fixture(spark, d, "blocks").where(F.col("id") % 3 != 0).groupBy(census.parent(F.col("block_geoid"), "county").alias("geoid")).agg(F.sum("pop").alias("urban_pop"))
+    with_b = spatial.flag_intersecting(bg, spatial.points_within(b, bg, point_id="building_id", area_id="geoid", x="lon", y="lat", cell=0.02, boxes=True), left_id="geoid", flag="has")
+    share = with_b.groupBy(F.col("county_geoid").alias("geoid")).agg(F.sum(F.col("has").cast("int")).alias("block_groups_with"))
+    return imagery.scorecard(c.select("geoid", "name"), "geoid", [inside, urban, share])
+
+
+SCORE_SQL = """
+SELECT c.geoid, c.name, (SELECT count(*) FROM {buildings} b WHERE b.lon >= c.minx AND b.lon < c.maxx AND b.lat >= c.miny AND b.lat < c.maxy) buildings,
+  coalesce((SELECT CAST(sum(pop) AS BIGINT) FROM {blocks} k WHERE id % 3 <> 0 AND left(block_geoid, 5) = c.geoid), 0) urban_pop,
+  (SELECT count(DISTINCT g.geoid) FROM {block_groups} g JOIN {buildings} b ON b.lon >= g.minx AND b.lon < g.maxx AND b.lat >= g.miny AND b.lat < g.maxy WHERE g.county_geoid = c.geoid) block_groups_with
+FROM {counties} c"""
+
+
+def metric_gaps(spark, d) -> DataFrame:
+    """Medians and missing values of demographic estimates per county."""
+    a = fixture(spark, d, "acs").withColumns({c: s.without_sentinel(s.numeric(F.col(c))) for c in ("g1", "g2")})
+    a = a.withColumn("county_geoid", census.parent(F.col("bg_geoid"), "county"))
+    return imagery.missing_and_median(a, "county_geoid", ["g1", "g2"])
+
+
+GAP_SQL = f"""
+WITH a AS (SELECT left(bg_geoid, 5) county_geoid, {_NUM.format("g1")} g1, {_NUM.format("g2")} g2 FROM {{acs}}),
+e AS (SELECT county_geoid, 'g1' metric, g1 v FROM a UNION ALL SELECT county_geoid, 'g2', g2 FROM a)
+SELECT county_geoid, metric, median(v) median, count(*) - count(v) missing FROM e GROUP BY 1, 2"""
+
+
+def order_years(spark, d) -> DataFrame:
+    """Orders by year and priority, wide."""
+    return imagery.year_pivot(fixture(spark, d, "orders").select("o_orderpriority", "o_orderdate"), "o_orderpriority", "o_orderdate", [1995, 1996, 1997])
+
+
+YEAR_SQL = """
+WITH c AS (SELECT o_orderpriority, count(*) FILTER (year(o_orderdate) = 1995) "1995", count(*) FILTER (year(o_orderdate) = 1996) "1996", count(*) FILTER (year(o_orderdate) = 1997) "1997" FROM orders GROUP BY 1)
+SELECT *, "1995" + "1996" + "1997" total, round(("1995" + "1996" + "1997") * 100.0::DOUBLE / sum("1995" + "1996" + "1997") OVER (), 3) pct FROM c"""
+
+
 _ALL = {
     "pv_by_block_group": (pv_by_block_group, PV_SQL),
     "panel_attribution": (panel_attribution, ATTRIBUTION_SQL),
@@ -424,6 +480,10 @@ _ALL = {
     "label_counts": (label_counts, LABEL_SQL),
     "grid_tiles": (grid_tiles, TILE_SQL),
     "stream_spend": (stream_spend, STREAM_SQL),
+    "labelled_chips": (labelled_chips, CHIP_SQL),
+    "scorecard": (scorecard, SCORE_SQL),
+    "metric_gaps": (metric_gaps, GAP_SQL),
+    "order_years": (order_years, YEAR_SQL),
 }
 
 QUERIES = {n: f for n, (f, _) in _ALL.items()}
