@@ -23,6 +23,7 @@ each; so are rows with a null id. An empty table gives no rows. Other columns ar
 
 from __future__ import annotations
 
+import os
 from array import array
 from collections.abc import Iterator
 from zlib import crc32
@@ -34,9 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import saved, type_of
 
-#: Words of which a worker keeps the ids; all are forgotten when there are more.
-CACHED_WORDS = 400_000
+#: A worker keeps the ids of at most twice as many words, and of a text's group.
+CACHED_WORDS = 200_000
 _TAIL = b".,!?;:"
+_ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -44,35 +46,65 @@ class Encoder:
 
     The tokenizer splits at white space first and no token crosses it, so a text's ids are those of its
     blank-separated words in turn. It splits between letters and other marks as well and ignores case, so
-    a word of ASCII letters and a tail of stops are looked up separately.
+    letters and a tail of stops are looked up separately. Unknown words of letters alone are encoded many at
+    a time; each ends with the only token that can end a word.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this task one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
+        self.last = np.zeros(max(ends) + 1, bool)
+        self.last[ends] = True
         self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        self.old: dict[bytes, bytes] = {}
+
+    @classmethod
+    def of_worker(cls, path: str) -> Encoder:
+        """One encoder for all tasks of a worker."""
+        if path not in _ENCODERS:
+            _ENCODERS[path] = cls(path)
+        return _ENCODERS[path]
+
+    def _letters(self, words: list[bytes], at_once: int = 2000) -> Iterator[bytes]:
+        """Ids of words of letters alone."""
+        for i in range(0, len(words), at_once):
+            ids = np.array(self.tokenizer.encode(b" ".join(words[i : i + at_once]).decode(), add_special_tokens=False).ids, "<u4")
+            raw, begin = ids.tobytes(), 0
+            for end in (4 * (np.flatnonzero(self.last[np.minimum(ids, len(self.last) - 1)]) + 1)).tolist():
+                yield raw[begin:end]
+                begin = end
+
+    def _any(self, words: list[bytes]) -> Iterator[bytes]:
+        for i in range(0, len(words), 2000):
+            for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[i : i + 2000]], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known.clear()
-        cores, tails, plain = {}, {}, []
+        if len(self.known) > CACHED_WORDS:
+            self.old, self.known = self.known, {}
+        cores, other, parts = {}, [], set()
         for w in words:
+            if (ids := self.old.get(w)) is not None:
+                self.known[w] = ids
+                continue
             core = w.rstrip(_TAIL)
-            if core and core.isalpha():
-                cores[w], tails[w] = core.lower(), w[len(core) :]
+            if core and core.decode().isalpha():
+                cores[w] = low, tail = core.lower(), w[len(core) :]
+                if low not in self.known:
+                    parts.add(low)
+                if tail and tail not in self.known:
+                    other.append(tail)
             else:
-                plain.append(w)
-        parts = list({*cores.values(), *tails.values()} - {b""})
-        ids = dict(zip(parts, self._ids(parts))) | {b"": b""}
-        self.known.update({w: ids[c] + ids[tails[w]] for w, c in cores.items()})
-        self.known.update(zip(plain, self._ids(plain)))
+                other.append(w)
+        letters, other = list(parts), list({*other})
+        self.known.update(zip(letters, self._letters(letters), strict=True))
+        self.known.update(zip(other, self._any(other), strict=True))
+        self.known.update((w, self.known[c] + self.known[t] if t else self.known[c]) for w, (c, t) in cores.items())
 
-    def encode(self, texts: list[bytes], budget: int = 200_000) -> Iterator[bytes]:
+    def encode(self, texts: list[bytes], budget: int = 100_000) -> Iterator[bytes]:
         """Texts in groups of about `budget` words, so that what a group needs stays small."""
         group: list[list[bytes]] = []
         n = 0
@@ -85,10 +117,9 @@ class Encoder:
         yield from self._group(group)
 
     def _group(self, group: list[list[bytes]]) -> Iterator[bytes]:
-        new = {w for words in group for w in words if w not in self.known}
-        if new:
-            if len(self.known) + len(new) > CACHED_WORDS:
-                new = {w for words in group for w in words}
+        if len(self.known) > CACHED_WORDS:
+            self.learn({w for words in group for w in words})
+        elif new := {w for words in group for w in words if w not in self.known}:
             self.learn(new)
         for words in group:
             yield b"".join(map(self.known.__getitem__, words))
@@ -98,7 +129,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
     """One row per piece: id, piece, start, length, ids_crc32. Texts whose ids and end exceed `size` are cut into pieces of it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.of_worker(tokenizer)
         last, step = array("I", [end]).tobytes(), 4 * size
         for batch in batches:
             rows: list[tuple] = []
