@@ -33,9 +33,8 @@ FROM (
   SELECT c_custkey, c_mktsegment, c_acctbal, 1.5e0 * ((c_custkey * 7919) % 100003) / 100003 - 6.75e1 AS x, 6e-1 * ((c_custkey * 104729) % 100019) / 100019 + 1.79e1 AS y, (5 + c_custkey % 7) * 1e-5 AS w
   FROM {customer})""",
     "panels": """
-SELECT p_partkey AS panel_id, b.lon + (p_partkey % 5) * 2e-5 - 2e-5 AS minx, b.lat - 2e-5 AS miny, b.lon + (p_partkey % 5) * 2e-5 + 2e-5 AS maxx, b.lat + 2e-5 AS maxy,
-  p_type AS kind, p_size AS size
-FROM {part} JOIN (SELECT count(*) AS n FROM {customer}) ON true JOIN {buildings} b ON b.building_id = (p_partkey * 3) % n""",
+SELECT p_partkey AS panel_id, b.lon + (p_partkey % 5) * 2e-5 - 2e-5 AS minx, b.lat - 2e-5 AS miny, b.lon + (p_partkey % 5) * 2e-5 + 2e-5 AS maxx, b.lat + 2e-5 AS maxy, kind, size
+FROM (SELECT p_partkey, p_type AS kind, p_size AS size, (p_partkey * 3) % (SELECT count(*) FROM {customer}) AS at FROM {part}) p JOIN {buildings} b ON b.building_id = p.at""",
     "acs": """
 SELECT geoid AS bg_geoid, id,
   CASE WHEN id % 37 = 0 THEN '-666666666' WHEN id % 41 = 0 THEN 'x' ELSE CAST(100 + id % 50 AS STRING) END AS g1,

@@ -222,8 +222,8 @@ def quarters(spark, d) -> DataFrame:
     q = capacity.quarterly(m)
     day = lambda c: F.col(c).cast("string").alias(c)
     return q.select(
-        day("period"), "quarter_key", "quarter_label", day("quarter_start"), day("quarter_end"), "is_year_end", _r(F.col("capacity_mw"), 4).alias("mw"), _r(F.col("capacity_delta_mw"), 4).alias("delta"),
-        _r(F.col("capacity_growth_pct"), 4).alias("pct"), F.col("client_delta").cast("double").alias("client_delta"),
+        day("period"), "quarter_key", "quarter_label", day("quarter_start"), day("quarter_end"), "is_year_end", _r(F.col("capacity_mw")).alias("mw"), _r(F.col("capacity_delta_mw")).alias("delta"),
+        _r(F.col("capacity_growth_pct")).alias("pct"), F.col("client_delta").cast("double").alias("client_delta"),
     )
 
 
@@ -231,7 +231,7 @@ QUARTER_SQL = """
 WITH m AS (SELECT *, CAST(kw AS DOUBLE) / 1000 mw, CAST(date_trunc('quarter', period) AS DATE) s FROM {capacity}),
 q AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY period DESC) n FROM m)
 SELECT CAST(period AS VARCHAR) period, year(period) || '-Q' || quarter(period) quarter_key, 'Q' || quarter(period) || ' ' || year(period) quarter_label, CAST(s AS VARCHAR) quarter_start, CAST(CAST(s + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS VARCHAR) quarter_end,
-  quarter(period) = 4 is_year_end, round(mw, 4) mw, round(mw - lag(mw) OVER (ORDER BY q.period), 4) delta, round((mw - lag(mw) OVER (ORDER BY q.period)) * 100 / lag(mw) OVER (ORDER BY q.period), 4) pct,
+  quarter(period) = 4 is_year_end, round(mw, 6) mw, round(mw - lag(mw) OVER (ORDER BY q.period), 6) delta, round((mw - lag(mw) OVER (ORDER BY q.period)) * 100 / lag(mw) OVER (ORDER BY q.period), 6) pct,
   CAST(client_count - lag(client_count) OVER (ORDER BY q.period) AS DOUBLE) client_delta
 FROM q WHERE n = 1"""
 
