@@ -26,6 +26,7 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
+from unicodedata import normalize
 from zlib import crc32
 
 import numpy as np
@@ -41,13 +42,19 @@ _TAIL = b".,!?;:"
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def letters_alone(word: str) -> bool:
+    """Whether a word and its normal form have no character but letters."""
+    return word.isalpha() and normalize("NFC", word).lower().isalpha()
+
+
 class Encoder:
     """Ids of whole texts as little-endian bytes, word by word with a memory.
 
     The tokenizer splits at white space first and no token crosses it, so a text's ids are those of its
     blank-separated words in turn. It splits between letters and other marks as well and ignores case, so
     letters and a tail of stops are looked up separately. Unknown words of letters alone are encoded many at
-    a time; each ends with the only token that can end a word.
+    a time; each ends with the only token that can end a word. That holds if its normal form (NFC, lower case)
+    is letters alone, too: 'İ' and letters that NFC takes apart yield marks, which the tokenizer splits off.
     """
 
     def __init__(self, path: str):
@@ -91,7 +98,7 @@ class Encoder:
                 self.known[w] = ids
                 continue
             core = w.rstrip(_TAIL)
-            if core and core.decode().isalpha():
+            if core.isalpha() or core and letters_alone(core.decode()):  # bytes.isalpha() is of ASCII
                 cores[w] = low, tail = core.lower(), w[len(core) :]
                 if low not in self.known:
                     parts.add(low)

@@ -52,6 +52,20 @@ def test_edges(spark, size):
     assert op.packed(df.limit(0), op.word_bpe()).count() == 0
 
 
+def test_letters_whose_normal_form_has_marks(spark):
+    docs = [(0, "plain words"), (1, "İstanbul ve İZMİR, İ."), (2, "\u09df\u09a8 \u0958 a\u0958b"), (3, "\u0130 \u1e9e \ufb01n e\u0301t\u00e9 \u1100\u1161")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    used, bound = check(op.packed(df, op.word_bpe(), size=64).collect(), docs, 64)
+    assert used <= bound + 1
+
+
+def test_every_letter_encodes_as_alone():
+    letters = [w for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (s := chr(c)).isalpha() for w in (s, f"a{s}b")]
+    wanted = [np.array(e.ids, "<u4").tobytes() for e in op.Encoder(op.word_bpe()).tokenizer.encode_batch_fast(letters, add_special_tokens=False)]
+    got = list(op.Encoder(op.word_bpe()).encode([w.encode() for w in letters]))
+    assert got == wanted
+
+
 def test_plan_places_every_piece():
     rng = np.random.default_rng(0)
     for counts in (rng.poisson(3, 257), rng.integers(0, 10**6, 257), np.eye(257, dtype=int)[200] * 10**9):
