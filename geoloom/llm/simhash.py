@@ -118,11 +118,19 @@ def links(prints: DataFrame, *, segments: int = 8, pairwise: int = 128) -> DataF
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, segments: int = 8, pairwise: int = 128) -> DataFrame:
-    """One row per document: doc_id, text_key, fingerprint (long), component_id, the smallest id of its component."""
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, segments: int = 8, pairwise: int = 128, similar: DataFrame | None = None) -> DataFrame:
+    """One row per document: doc_id, text_key, fingerprint (long), component_id, the smallest id of its component.
+
+    similar: further links (a, b), as text keys.
+    """
     prints = saved(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle), "fingerprints")
     groups = prints.groupBy("fingerprint").agg(F.min("id").alias("least_id"))
-    labels = components(links(prints, segments=segments, pairwise=pairwise)).withColumnRenamed("node", "fingerprint")
+    linked_prints = links(prints, segments=segments, pairwise=pairwise)
+    if similar is not None:
+        of_key = prints.select("text_key", "fingerprint").distinct()
+        a, b = (of_key.select(F.col("text_key").alias(c), F.col("fingerprint").alias(f"print_{c}")) for c in ("a", "b"))
+        linked_prints = linked_prints.union(similar.join(a, "a").join(b, "b").select("print_a", "print_b"))
+    labels = components(linked_prints).withColumnRenamed("node", "fingerprint")
     linked = labels.join(groups, "fingerprint")
     roots = linked.groupBy("root").agg(F.min("least_id").alias("root_id"))
     known = linked.join(roots, "root").select("fingerprint", "root_id")
