@@ -7,10 +7,12 @@ the plan is a list of configurations with multiplicities:
 1. Configuration linear program: cover every length's count by configurations, using as few as possible.
    Multiplicative weights solve it approximately: a length's price starts in proportion to the length and
    falls exponentially with how far it is covered; each round prices configurations by a knapsack dynamic
-   program over capacities and adds, for each length, the best configuration that has it, if that is full.
-2. Rounding: fractions are rounded down, and the program is solved anew for what is left as long as that
-   still places a good part. What remains goes best-fit, longest first, all pieces of a length at once:
-   runs of sequences with equal room are kept as one, so the steps don't grow with the number of pieces.
+   program over capacities and adds, for each length, the best configuration that has it, full or not, if no
+   other is worth much more. Prices also give a lower bound of the number of sequences.
+2. Rounding: fractions are rounded, and the program is solved anew for what is left as long as that still
+   places a good part. What remains goes best-fit, also into room that configurations leave, longest first,
+   all pieces of a length at once: runs of sequences with equal room are kept as one, so the steps don't grow
+   with the number of pieces. If that misses the bound and best-fit alone needs fewer sequences, it counts.
 3. Every piece gets its rank among the pieces of its length, and the rank its place: the plan is a list of
    rank ranges per length, each with the first sequence and the offset.
 
@@ -167,100 +169,138 @@ def _knapsack(prices: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return best, take
 
 
-def configurations(counts: np.ndarray, *, rounds: int = 60, eta: float = 3.0) -> dict[tuple[tuple[int, int], ...], float]:
-    """Full configurations ((length, times), ...) and fractions that cover as much of counts[l] pieces of each length l as they can.
+def configurations(counts: np.ndarray, *, rounds: int = 120, eta: float = 3.0, most: float = 0.1) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """Configurations ((length, times), ...) and fractions that cover counts[l] pieces of each length l as far as they can; and a bound.
 
-    Fractions never cover a length beyond its count, so they can be rounded down one by one.
+    A configuration may leave room. In each round those count whose price is the best one's, or less by a part
+    that grows as long as rounds add little, up to `most`. Fractions never cover a length beyond its count, so
+    they can be rounded one by one. The bound is the dual one: prices under which no configuration is worth
+    more than 1 give, summed over all pieces, a number of sequences that no packing goes below.
     """
     size = len(counts) - 1
     lengths = np.flatnonzero(counts)
     covered = np.zeros(size + 1)
     fractions: dict[tuple[tuple[int, int], ...], float] = {}
+    bound = allowed = 0.0
     for _ in range(rounds):
         share = np.minimum(covered[lengths] / counts[lengths], 1)
-        if share.min() >= 1 or not len(lengths):
+        if not len(lengths) or share.min() >= 1:
             break
         prices = np.zeros(size + 1)
         prices[lengths] = np.where(share < 1, lengths / size * np.exp(-eta * share), 0)
-        take = _knapsack(prices, size)[1].tolist()
+        best, take = _knapsack(prices, size)
+        bound = max(bound, float(counts @ prices / best[size]))
+        take = take.tolist()
         left = (counts - covered).tolist()
-        added = 0.0
+        before = sum(left)
         for first in lengths[::-1].tolist():
+            if prices[first] + best[size - first] < (1 - allowed) * best[size] * (1 - 1e-12):
+                continue
             used, room = {first: 1}, size - first
             while room and (l := take[room]):
                 used[l] = used.get(l, 0) + 1
                 room -= l
-            x = min(6 * counts[first] / rounds, *(left[l] / n for l, n in used.items()))
-            if room or x <= 1e-9:
+            x = min(1.5 * counts[first] / rounds, *(left[l] / n for l, n in used.items()))
+            if x <= 1e-9:
                 continue
             key = tuple(sorted(used.items(), reverse=True))
             fractions[key] = fractions.get(key, 0) + x
-            added += x
             for l, n in used.items():
                 left[l] -= x * n
+        added = before - sum(left)
         covered = counts - np.array(left)
         covered[np.array(left) < 1e-9 * counts] = counts[np.array(left) < 1e-9 * counts]
-        if not added:
-            break
-    return fractions
-
-
-def plan(counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rank ranges (length, first rank, number, first sequence, offset) that place every piece, gapless; by length and rank.
-
-    counts[l]: pieces of length l, for l from 0 to the sequence's size.
-    """
-    size = len(counts) - 1
-    left = counts.copy()
-    used = np.zeros(size + 1, np.int64)  # ranks given out
-    out: list[tuple[int, int, int, int, int]] = []
-    sequences = 0
-
-    def place(config, times: int) -> None:
-        nonlocal sequences
+        if added * rounds < before:
+            if allowed >= most:
+                break
+            allowed = min(most, max(2 * allowed, 1 / size))
+    return fractions, bound
+
+
+class _Places:
+    """Rank ranges that place pieces, and what is left to place."""
+
+    def __init__(self, counts: np.ndarray):
+        self.size = len(counts) - 1
+        self.left = counts.copy()
+        self.used = np.zeros(len(counts), np.int64)  # ranks given out
+        self.rows: list[tuple[int, int, int, int, int]] = []
+        self.rooms: dict[int, list[tuple[int, int]]] = {}  # runs of open sequences (first, number) by the room they have
+        self.sequences = 0
+
+    def add(self, l: int, times: int, first: int, offset: int) -> None:
+        self.rows.append((l, int(self.used[l]), times, first, offset))
+        self.used[l] += times
+        self.left[l] -= times
+
+    def place(self, config: tuple[tuple[int, int], ...], times: int) -> None:
         offset = 0
         for l, n in config:
             for _ in range(n):
-                out.append((l, int(used[l]), times, sequences, offset))
-                used[l] += times
-                left[l] -= times
+                self.add(l, times, self.sequences, offset)
                 offset += l
-        sequences += times
-
-    if left[size]:
-        place(((size, 1),), int(left[size]))
-    while (before := int(left.sum())) > 0:
-        found = sorted(configurations(left, rounds=rounds).items(), key=lambda x: (-x[1], x[0]))
-        for config, x in found:
-            if times := min(int(x + 1e-6), *(int(left[l]) // n for l, n in config)):
-                place(config, times)
-        if before - int(left.sum()) < before // 4:
+        if offset < self.size:
+            self.rooms.setdefault(self.size - offset, []).append((self.sequences, times))
+        self.sequences += times
+
+    def best_fit(self) -> None:
+        """Place what is left, longest first, many pieces of a length at once, each where the least room remains."""
+        rooms, size = self.rooms, self.size
+        open_rooms = sum(1 << r for r in rooms)  # bit r is set if a sequence has room r
+        for l in range(size, 0, -1):
+            while n := int(self.left[l]):
+                if fit := open_rooms >> l:
+                    room = l + (fit & -fit).bit_length() - 1
+                    first, run = rooms[room].pop()
+                else:
+                    room, first, run = size, self.sequences, -(-n // (size // l))
+                    self.sequences += run
+                times = min(n, run)
+                self.add(l, times, first, size - room)
+                if run > times:
+                    rooms.setdefault(room, []).append((first + times, run - times))
+                if room < size and not rooms[room]:
+                    del rooms[room]
+                    open_rooms &= ~(1 << room)
+                elif run > times:
+                    open_rooms |= 1 << room
+                if room > l:
+                    rooms.setdefault(room - l, []).append((first, times))
+                    open_rooms |= 1 << (room - l)
+
+
+def plan_and_bound(counts: np.ndarray, rounds: int = 120) -> tuple[tuple[np.ndarray, ...], int, int]:
+    """Rank ranges (length, first rank, number, first sequence, offset), by length and rank; the number of sequences; a lower bound of it.
+
+    counts[l]: pieces of length l, for l from 0 to the sequence's size.
+    """
+    size = len(counts) - 1
+    bound = -(-int(counts @ np.arange(size + 1)) // size)
+    found = _Places(counts)
+    if counts[size]:
+        found.place(((size, 1),), int(counts[size]))
+    first = True
+    while (before := int(found.left.sum())) > 0:
+        some, least = configurations(found.left, rounds=rounds)
+        if first:
+            first, bound = False, max(bound, int(counts[size]) + int(np.ceil(least * (1 - 1e-9))))
+        for config, x in sorted(some.items(), key=lambda x: (-x[1], x[0])):
+            if times := min(int(x + 0.5), *(int(found.left[l]) // n for l, n in config)):
+                found.place(config, times)
+        placed = before - int(found.left.sum())
+        if not placed or 4 * placed < before:
             break
-    # best-fit, longest first, many pieces at once: rooms holds runs of open sequences by the room they have
-    rooms: dict[int, list[tuple[int, int]]] = {}
-    open_rooms = 0  # bit r is set if a sequence has room r
-    for l in range(size, 0, -1):
-        n = int(left[l])
-        while n:
-            if fit := open_rooms >> l:
-                room = l + (fit & -fit).bit_length() - 1
-                first, run = rooms[room].pop()
-            else:
-                room, first, run = size, sequences, -(-n // (size // l))
-                sequences += run
-            times = min(n, run)
-            out.append((l, int(used[l]), times, first, size - room))
-            used[l] += times
-            n -= times
-            if run > times:
-                rooms[room].append((first + times, run - times))
-            elif room < size and not rooms[room]:
-                open_rooms &= ~(1 << room)
-            if room > l:
-                rooms.setdefault(room - l, []).append((first, times))
-                open_rooms |= 1 << (room - l)
-    table = np.array(sorted(out), np.int64).reshape(-1, 5)
-    return tuple(table.T)
+    found.best_fit()
+    if found.sequences > bound:  # rounding can lose more than the program gains
+        plain = _Places(counts)
+        plain.best_fit()
+        found = min(found, plain, key=lambda p: p.sequences)
+    return tuple(np.array(sorted(found.rows), np.int64).reshape(-1, 5).T), found.sequences, bound
+
+
+def plan(counts: np.ndarray, rounds: int = 120) -> tuple[np.ndarray, ...]:
+    """The rank ranges of `plan_and_bound`: they place every piece, gapless."""
+    return plan_and_bound(counts, rounds)[0]
 
 
 def pack(pieces_: DataFrame, *, size: int = 4096, per_bucket: int = 50_000) -> DataFrame:

@@ -81,3 +81,23 @@ def test_hot_length(spark):
     df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("hello world").alias("text"))
     rows = op.packed(df, op.word_bpe()).collect()
     assert len({r.sequence_id for r in rows}) == -(-2000 * 3 // 4096)
+
+
+def test_configurations_with_room():
+    def used(size, counts):
+        table = np.zeros(size + 1, np.int64)
+        table[list(counts)] = list(counts.values())
+        (length, rank, times, first, offset), n, bound = op.plan_and_bound(table)
+        placed = sorted((s, o, l) for l, t, f, o in zip(length, times, first, offset) for s in range(f, f + t))
+        for (s, o, l), after in zip(placed, [*placed[1:], (-1, 0, 0)]):  # gapless, and within the sequence
+            assert after[:2] == (s, o + l) or after[0] != s and after[1] == 0 and o + l <= size
+        assert bound <= n == len({s for s, _, _ in placed})
+        return n, bound
+
+    assert used(4096, {2088: 600, 1106: 600, 1065: 600, 941: 1200}) == (900, 900)
+    assert used(4096, {3000: 600, 1000: 600}) == (600, 600)
+    assert used(4096, {2049: 7, 2048: 3})[0] == 9
+    n, bound = used(4096, {1400: 1000, 1300: 500, 2700: 300, 700: 10})
+    assert n <= 1.03 * bound
+    assert used(10, {}) == (0, 0)
+
