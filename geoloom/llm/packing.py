@@ -38,9 +38,11 @@ from pyspark.sql import functions as F
 
 from .common import saved, type_of
 
-#: A worker keeps the ids of at most twice as many words, and of a text's group.
-CACHED_WORDS = 200_000
-_TAIL = b".,!?;:"
+#: A worker forgets all but the words of the texts at hand once it keeps the ids of so many.
+CACHED_WORDS = 600_000
+#: ASCII marks that the tokenizer keeps together and apart from letters; an apostrophe can take letters along.
+_TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -50,13 +52,15 @@ def letters_alone(word: str) -> bool:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes, word by word with a memory.
-
-    The tokenizer splits at white space first and no token crosses it, so a text's ids are those of its
-    blank-separated words in turn. It splits between letters and other marks as well and ignores case, so
-    letters and a tail of stops are looked up separately. Unknown words of letters alone are encoded many at
-    a time; each ends with the only token that can end a word. That holds if its normal form (NFC, lower case)
-    is letters alone, too: 'İ' and letters that NFC takes apart yield marks, which the tokenizer splits off.
+    """Ids of whole texts as little-endian bytes, by way of their distinct words.
+
+    For tokenizers that split at white space first, ignore case, and split letters from other marks, as the
+    word-end BPE does (`check` refuses others). A text's ids are then those of its blank-separated words in
+    turn, so the distinct words of a run of texts are encoded once and the ids put together as arrays.
+    Letters and a tail of marks are encoded apart; words of letters alone many at a time, as each ends with the
+    only token that can end a word. That holds if a word's normal form (NFC, lower case) is letters alone, too:
+    'İ' and letters that NFC takes apart yield marks, which the tokenizer splits off; such words, and any
+    others, are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -65,10 +69,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
-        self.last = np.zeros(max(ends) + 1, bool)
+        self.last = np.zeros(max(ends, default=0) + 1, bool)
         self.last[ends] = True
         self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.check()
+
+    def check(self) -> None:
+        """Raise ValueError for a tokenizer whose ids aren't those of its words."""
+        whole, parts = "Ab cd,  éf!?\n12 g'h", ["ab", "cd", ",", "éf", "!?", "12", "g'h"]
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        if not self.last.any() or ids(whole) != [i for p in parts for i in ids(p)]:
+            raise ValueError("this tokenizer doesn't encode word by word")
 
     @classmethod
     def of_worker(cls, path: str) -> Encoder:
@@ -77,10 +88,14 @@ class Encoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
+    def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(e.ids, "<u4")
+
     def _letters(self, words: list[bytes], at_once: int = 2000) -> Iterator[bytes]:
         """Ids of words of letters alone."""
         for i in range(0, len(words), at_once):
-            ids = np.array(self.tokenizer.encode(b" ".join(words[i : i + at_once]).decode(), add_special_tokens=False).ids, "<u4")
+            (ids,) = self._encoded([b" ".join(words[i : i + at_once]).decode()])
             raw, begin = ids.tobytes(), 0
             for end in (4 * (np.flatnonzero(self.last[np.minimum(ids, len(self.last) - 1)]) + 1)).tolist():
                 yield raw[begin:end]
@@ -88,50 +103,78 @@ class Encoder:
 
     def _any(self, words: list[bytes]) -> Iterator[bytes]:
         for i in range(0, len(words), 2000):
-            for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[i : i + 2000]], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
+            yield from (ids.tobytes() for ids in self._encoded([w.decode(errors="replace") for w in words[i : i + 2000]]))
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.old, self.known = self.known, {}
-        cores, other, parts = {}, [], set()
+    def learn(self, words: list[bytes]) -> None:
+        """Add the ids of words, each with a blank at its end, to those known."""
+        known, cores, other, parts = self.known, [], set(), set()
         for w in words:
-            if (ids := self.old.get(w)) is not None:
-                self.known[w] = ids
-                continue
-            core = w.rstrip(_TAIL)
-            if core.isalpha() or core and letters_alone(core.decode()):  # bytes.isalpha() is of ASCII
-                cores[w] = low, tail = core.lower(), w[len(core) :]
-                if low not in self.known:
+            word = w[:-1]
+            core = word.rstrip(_TAIL)
+            if core.isalpha() or core and letters_alone(core.decode(errors="replace")):  # bytes.isalpha() is of ASCII
+                low, tail = core.lower(), word[len(core) :]
+                if low not in known:
                     parts.add(low)
-                if tail and tail not in self.known:
-                    other.append(tail)
+                if tail and tail not in known:
+                    other.add(tail)
+                cores.append((w, low, tail))
             else:
-                other.append(w)
-        letters, other = list(parts), list({*other})
-        self.known.update(zip(letters, self._letters(letters), strict=True))
-        self.known.update(zip(other, self._any(other), strict=True))
-        self.known.update((w, self.known[c] + self.known[t] if t else self.known[c]) for w, (c, t) in cores.items())
-
-    def encode(self, texts: list[bytes], budget: int = 100_000) -> Iterator[bytes]:
-        """Texts in groups of about `budget` words, so that what a group needs stays small."""
-        group: list[list[bytes]] = []
-        n = 0
-        for t in texts:
-            group.append(t.split())
-            n += len(group[-1])
-            if n >= budget:
-                yield from self._group(group)
-                group, n = [], 0
-        yield from self._group(group)
+                other.add(w)
+        letters, rest = list(parts), list(other)
+        known.update(zip(letters, self._letters(letters), strict=True))
+        known.update(zip(rest, self._any(rest), strict=True))
+        known.update((w, known[c] + known[t] if t else known[c]) for w, c, t in cores)
 
-    def _group(self, group: list[list[bytes]]) -> Iterator[bytes]:
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
-            self.learn({w for words in group for w in words})
-        elif new := {w for words in group for w in words if w not in self.known}:
+            get = self.known.get
+            self.known = {w: ids for w in words if (ids := get(w)) is not None}
+        if new := [w for w in words if w not in self.known]:
             self.learn(new)
-        for words in group:
-            yield b"".join(map(self.known.__getitem__, words))
+        return list(map(self.known.__getitem__, words))
+
+    def encode(self, texts: list[bytes], budget: int = 16 << 20) -> Iterator[bytes]:
+        """Texts in runs of about `budget` bytes, so that what a run needs stays small."""
+        run: list[bytes] = []
+        n = 0
+        for t in texts:
+            run.append(t)
+            n += len(t) + 1
+            if n >= budget:
+                yield from self._run(run)
+                run, n = [], 0
+        if run:
+            yield from self._run(run)
+
+    def _run(self, texts: list[bytes]) -> Iterator[bytes]:
+        read = b" ".join(texts) + b" "
+        # the tokenizer knows special tokens before it ignores case; without any, fewer distinct words
+        read = np.frombuffer(read if b"<|" in read else read.lower(), np.uint8)
+        blank = _BLANK[read]
+        end = blank.copy()  # the blank after a word
+        end[0], end[1:] = False, blank[1:] & ~blank[:-1]
+        size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        n_words = np.add.reduceat(end, np.cumsum(size) - size, dtype=np.int64)
+        kept = ~blank | end
+        read, end = read[kept], end[kept]
+        if not len(read):
+            yield from (b"" for _ in texts)
+            return
+        read[end] = 32
+        offsets = np.concatenate([[0], np.flatnonzero(end) + 1])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(read)]).dictionary_encode()
+        place = words.indices.to_numpy()
+        found = self.ids_of(words.dictionary.to_pylist())
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), "<u4")
+        first, n = (np.cumsum(length) - length)[place], length[place]
+        at = np.cumsum(n)
+        raw = ids[np.arange(at[-1]) + np.repeat(first - (at - n), n)].tobytes()
+        stop = 4 * np.concatenate([[0], at])[np.cumsum(n_words)]
+        begin = 0
+        for e in stop.tolist():
+            yield raw[begin:e]
+            begin = e
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", size: int = 4096, end: int = 1) -> DataFrame:

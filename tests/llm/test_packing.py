@@ -101,3 +101,20 @@ def test_configurations_with_room():
     assert n <= 1.03 * bound
     assert used(10, {}) == (0, 0)
 
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        op.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_runs_and_forgetting(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(op, "CACHED_WORDS", 3)
+    texts = ["", "  ", "One two,  three\n\n", "two\x0bTWO\tfour--5's <|endoftext|> x<|endoftext|>y", "<|ENDOFTEXT|> \x1c a\x1cb", "", "wort " * 9, "don't, 'tis ROCK'N'ROLL"]
+    t = Tokenizer.from_file(op.word_bpe())
+    wanted = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    for budget in (1, 20, 1 << 20):
+        assert list(op.Encoder(op.word_bpe()).encode([x.encode() for x in texts], budget)) == wanted
