@@ -36,13 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, type_of
+from .common import distinct_words, runs, saved, type_of
 
 #: A worker forgets all but the words of the texts at hand once it keeps the ids of so many.
 CACHED_WORDS = 600_000
 #: ASCII marks that the tokenizer keeps together and apart from letters; an apostrophe can take letters along.
 _TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -134,37 +133,17 @@ class Encoder:
         return list(map(self.known.__getitem__, words))
 
     def encode(self, texts: list[bytes], budget: int = 16 << 20) -> Iterator[bytes]:
-        """Texts in runs of about `budget` bytes, so that what a run needs stays small."""
-        run: list[bytes] = []
-        n = 0
-        for t in texts:
-            run.append(t)
-            n += len(t) + 1
-            if n >= budget:
-                yield from self._run(run)
-                run, n = [], 0
-        if run:
+        for _, run in runs(texts, budget):
             yield from self._run(run)
 
     def _run(self, texts: list[bytes]) -> Iterator[bytes]:
-        read = b" ".join(texts) + b" "
+        joined = b" ".join(texts) + b" "
         # the tokenizer knows special tokens before it ignores case; without any, fewer distinct words
-        read = np.frombuffer(read if b"<|" in read else read.lower(), np.uint8)
-        blank = _BLANK[read]
-        end = blank.copy()  # the blank after a word
-        end[0], end[1:] = False, blank[1:] & ~blank[:-1]
-        size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        n_words = np.add.reduceat(end, np.cumsum(size) - size, dtype=np.int64)
-        kept = ~blank | end
-        read, end = read[kept], end[kept]
-        if not len(read):
+        words, place, n_words = distinct_words(joined if b"<|" in joined else joined.lower(), np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        if not len(place):
             yield from (b"" for _ in texts)
             return
-        read[end] = 32
-        offsets = np.concatenate([[0], np.flatnonzero(end) + 1])
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(read)]).dictionary_encode()
-        place = words.indices.to_numpy()
-        found = self.ids_of(words.dictionary.to_pylist())
+        found = self.ids_of(words.to_pylist())
         length = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ids = np.frombuffer(b"".join(found), "<u4")
         first, n = (np.cumsum(length) - length)[place], length[place]
