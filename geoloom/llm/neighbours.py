@@ -6,13 +6,15 @@ The inner product of the signs with a turned query, divided by that cosine, esti
 without bias, and the error is normal-like with a deviation that follows from the cosine alone.
 
 Search: queries and candidates are dealt into blocks of bounded size, and each pair of blocks is a group of
-a co-grouping. In it, the estimates of a query's candidates come from one matrix product over the bits; a
-few times k of the best are scored exactly, which gives the k-th best score so far, and every candidate
-whose estimate plus `sigmas` deviations reaches that score is scored exactly as well. Each pair of blocks
-gives k rows per query; the best k of these are the result.
+a co-grouping. In it, one matrix product over the bits gives each query's estimates plus `sigmas` deviations.
+A few times k of the best are scored exactly, which gives a score that k candidates reach, and every
+candidate whose bound reaches it is scored exactly as well. Each pair of blocks gives k rows per query; the
+best k of these are the result. Estimates are of vectors scaled to the block's largest norm and compared with
+a tolerance, so very large or small components lose no candidate.
 
 Edge cases: a vector that is null, zero, or holds a null or non-finite component takes no part, nor does
-one without an id or of another length than the most common one (of equally common ones the longest). Of
+one without an id or of another length than the most common one (of equally common ones the longest), which
+has no inner product with the others. Of
 rows that share an id, the least vector counts. With fewer candidates than k, all are returned. Equal
 scores rank by id. Empty tables give no rows; other columns are ignored.
 """
@@ -78,32 +80,68 @@ def exact_scores(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return total
 
 
-def best_of_block(queries: pa.Table, block: pa.Table, size: int, k: int, turn: np.ndarray, sigmas: float, at_once: int = 128) -> pa.Table:
+def bounds_of(block: pa.Table, size: int, sigmas: float) -> tuple[np.ndarray, float]:
+    """A row per candidate whose product with (turned unit query, 1) is the estimate plus deviations, over the largest norm; and that norm."""
+    packed = np.frombuffer(b"".join(block.column("code").to_pylist()), np.uint8).reshape(len(block), -1)
+    norm, cosine = block.column("norm").to_numpy(), block.column("cosine").to_numpy()
+    largest = float(norm.max())
+    norm = norm / largest
+    signs = np.unpackbits(packed, axis=1)[:, :size].astype(np.float32) * 2 - 1
+    deviation = norm * np.sqrt(np.maximum(1 / cosine**2 - 1, 0) / max(size - 1, 1)) * sigmas
+    return np.hstack([signs * (norm / cosine / np.sqrt(size)).astype(np.float32)[:, None], deviation.astype(np.float32)[:, None]]), largest
+
+
+def some_of_best(bound: np.ndarray, few: int, width: int = 16) -> np.ndarray:
+    """For each row the columns of `few` large values: of the largest values of runs of `width` columns the largest."""
+    n = bound.shape[1] // width
+    if n < few:
+        return np.argpartition(-bound, few - 1, axis=1)[:, :few]
+    run = bound[:, : n * width].reshape(len(bound), n, width)
+    best = np.argpartition(-run.max(2), few - 1, axis=1)[:, :few]
+    return best * width + np.take_along_axis(run, best[:, :, None], 1).argmax(2)
+
+
+def products(q: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray, at_once: int = 20_000) -> np.ndarray:
+    """Inner products of rows i of q with rows j of v, in any order of addition."""
+    parts = [np.einsum("ij,ij->i", q[i[a : a + at_once]], v[j[a : a + at_once]]) for a in range(0, len(i), at_once)]
+    return np.concatenate([np.zeros(0), *parts])
+
+
+def best_of_block(queries: pa.Table, block: pa.Table, size: int, k: int, turn: np.ndarray, sigmas: float, at_once: int = 64) -> pa.Table:
     """The k best of a block for each query, with exact scores."""
     ids, q_ids = block.column("id").to_numpy(), queries.column("id").to_numpy()
     v, q = matrix(block.column("vector"), size), matrix(queries.column("vector"), size)
-    packed = np.frombuffer(b"".join(block.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-    signs = np.unpackbits(packed, axis=1)[:, :size].astype(np.float32) * 2 - 1
-    norm, cosine = block.column("norm").to_numpy(), block.column("cosine").to_numpy()
-    factor = (norm / cosine / np.sqrt(size)).astype(np.float32)
-    deviation = (norm * np.sqrt(np.maximum(1 / cosine**2 - 1, 0) / max(size - 1, 1))).astype(np.float32)
+    bounds, largest = bounds_of(block, size, sigmas)
+    q_norm = queries.column("norm").to_numpy()
+    turned = np.hstack([(q / q_norm[:, None]) @ turn, np.ones((len(q), 1))]).astype(np.float32)
+    by_id = np.argsort(ids)
+    own = by_id[np.minimum(np.searchsorted(ids, q_ids, sorter=by_id), len(ids) - 1)]
+    has_own = ids[own] == q_ids
+    few = min(3 * k, len(ids))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    columns, q_columns = np.ascontiguousarray(v.T), np.ascontiguousarray(q.T)
-    for at in range(0, len(q_ids), at_once):
+    for at in range(0, len(q), at_once):
         some = slice(at, at + at_once)
-        estimate = (q[some] @ turn).astype(np.float32) @ signs.T * factor
-        own = q_ids[some, None] == ids
-        estimate[own] = -np.inf
-        margin = np.sqrt((q[some] ** 2).sum(1)).astype(np.float32)[:, None] * deviation * np.float32(sigmas)
-        n = len(estimate)
-        few = min(3 * k, len(ids))
-        first = np.argpartition(-estimate, few - 1, axis=1)[:, :few]
-        row = np.repeat(np.arange(n), few)
-        score = exact_scores(q_columns[:, some], columns, row, first.ravel()).reshape(n, few)
-        score[own[np.arange(n)[:, None], first]] = -np.inf
-        bar = np.sort(score, axis=1)[:, -k] if few >= k else np.full(n, -np.inf)
-        row, col = np.nonzero((estimate + margin >= bar[:, None].astype(np.float32) - np.float32(1e-5)) & ~own)
-        score = exact_scores(q_columns[:, some], columns, row, col)
+        bound = turned[some] @ bounds.T
+        every = np.arange(len(bound))
+        mine = every[has_own[some]], own[some][has_own[some]]
+        bound[mine] = -np.inf
+        first = some_of_best(bound, few)
+        score = products(q[some], v, np.repeat(every, few), first.ravel()).reshape(-1, few)
+        score[np.isneginf(np.take_along_axis(bound, first, 1))] = -np.inf
+        bar = np.sort(score, axis=1)[:, -k] if few >= k else np.full(len(bound), -np.inf)
+        np.put_along_axis(bound, first, np.inf, 1)
+        bound[mine] = -np.inf
+        unit = largest * q_norm[some]
+        chosen = bound >= np.where(np.isneginf(bar), -1e30, bar / unit - 1e-5).astype(np.float32)[:, None]
+        least = bar - 1e-12 * np.abs(bar) - 1e-12 * unit
+        if np.count_nonzero(chosen) * 16 > chosen.size:  # one product of all costs less than picking so many rows
+            chosen &= q[some] @ v.T >= least[:, None]
+            row, col = np.divmod(np.flatnonzero(chosen), len(ids))
+        else:
+            row, col = np.divmod(np.flatnonzero(chosen), len(ids))
+            near = products(q[some], v, row, col) >= least[row]
+            row, col = row[near], col[near]
+        score = exact_scores(q[some].T, v.T, row, col)
         order = np.lexsort((ids[col], -score, row))
         row, col, score = row[order], col[order], score[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
@@ -131,7 +169,7 @@ def nearest(
     n, n_queries = index.agg(F.count("*"), F.count(F.when(query, 1))).first()
     q_blocks, blocks = max(1, -(-n_queries // query_block)), max(1, -(-n // block))
     deal = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
-    queries = index.where(query).select("id", "vector", deal(q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
+    queries = index.where(query).select("id", "vector", "norm", deal(q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
     candidates = index.withColumn("cb", deal(blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     kind = table.schema[vec_id].dataType.simpleString()
     turn = rotation(size, seed) if size else None

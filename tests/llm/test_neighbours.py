@@ -1,3 +1,5 @@
+import functools
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -33,3 +35,48 @@ def test_edges(spark):
     rows = [tuple(r) for r in op.nearest(df, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect()]
     assert rows == [(0, 1, 21, 3.0), (0, 2, 22, 1e-30), (0, 3, 20, 0.0), (20, 1, 21, 6.0), (20, 2, 22, 2e-30), (20, 3, 0, 0.0)]
     assert op.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_magnitudes(spark):
+    base = [[1.0, 2.0, 3.0], [-1.0, 0.5, 2.0], [0.0, 1.0, 0.0], [2.0, 2.0, -1.0], [-3.0, 1.0, 1.0]]
+    for scale in (1e-100, 1e-20, 1.0, 1e20, 1e37, 1e100):
+        df = spark.createDataFrame([(i, [x * scale for x in v]) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+        rows = op.nearest(df, F.lit(True), k=20).collect()
+        assert len(rows) == 20
+        for q in range(5):
+            added = lambda j: functools.reduce(lambda total, xy: total + xy[0] * scale * (xy[1] * scale), zip(base[q], base[j]), 0.0)
+            want = sorted(((added(j), -j) for j in range(5) if j != q), reverse=True)
+            got = [(r.score, -r.vec_id) for r in sorted((r for r in rows if r.query_id == q), key=lambda r: r.rank)]
+            assert got == want
+
+
+def test_one_large_vector_among_small_ones(spark):
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((400, 16))
+    v[7] *= 1e90
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    s = v @ v.T
+    np.fill_diagonal(s, -np.inf)
+    rows = op.nearest(df, F.col("id") % 40 == 0, k=10).collect()
+    for q in range(0, 400, 40):
+        got = [r.vec_id for r in sorted((r for r in rows if r.query_id == q), key=lambda r: r.rank)]
+        assert got == np.argsort(-s[q])[:10].tolist()
+
+
+def test_recall_on_the_table(spark):
+    sf = "/root/testdata/sf0.01"
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding IS NOT NULL")
+    table = {r.vec_id: r.embedding for r in df.collect() if None not in r.embedding and np.isfinite(r.embedding).all() and any(r.embedding)}
+    ids = np.array(sorted(table))
+    v = np.array([table[i] for i in ids])
+    found: dict[int, set[int]] = {}
+    for r in op.op7_nearest(spark, sf).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = n = 0
+    for at, i in enumerate(ids):
+        if i % 20 == 0:
+            s = v @ v[at]
+            s[at] = -np.inf
+            want = set(ids[np.argsort(-s, kind="stable")[:20]].tolist())
+            hits, n = hits + len(want & found[i]), n + len(want)
+    assert hits >= 0.99 * n
