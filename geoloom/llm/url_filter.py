@@ -4,10 +4,13 @@ Rules: a rule fits its host and all subdomains if the URL's path starts with the
 Fitting rules are found by an equi-join on the host's suffixes.
 
 Classifier: the host's labels and the path's parts are split into words by unigram Viterbi. Word counts come
-from the pages' own texts, all of them. Every substring of a distinct label or part is joined with the counts,
-and a sum over prefixes, next to its matching substrings, finds the best split: the counts are nowhere sent
-whole. A character outside of any counted word costs more than a rare word. A multinomial naive Bayes model,
-learned from the URLs that the rules decide, then scores the words: one sum of word counts by verdict.
+from the pages' own texts, all of them, words of any length. Every substring of up to SHORT characters of a
+distinct label or part is joined with the counts of words as short, and every one of just SHORT characters
+with longer words that begin so; a pass over the matches, by where they end, finds the best split: the counts
+are nowhere sent whole, and the work grows with a name's length and its matches. A character outside of any
+counted word costs more than a rare word. A multinomial naive Bayes model, learned from the URLs that the
+rules decide, then scores the words: one sum of word counts by verdict; words that no decided URL has say
+nothing.
 
 Labels, parts and words occur many times, so each is treated once, and URLs get their scores by joins on
 them, for which the URLs' side is dealt by word and page; Spark splits partitions of very frequent words.
@@ -31,9 +34,15 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, saved
 
-#: The longest word that is counted and looked for, in characters.
-LONGEST = 20
-_TAG, _WORD = re.compile(rb"<[^>]*>"), re.compile(rb"[a-z\x80-\xff]{1,60}")
+#: Words of up to so many characters are found by whole substrings, longer ones by what they begin with.
+SHORT = 20
+_TAG, _WORD = re.compile(rb"<[^>]*>"), re.compile(rb"[a-z\x80-\xff]+")
+
+
+def without_tags(text: bytes) -> bytes:
+    """A blank for each <...>. Only as far as a > follows: there, every < finds one at the first try."""
+    closed = text.rfind(b">") + 1
+    return _TAG.sub(b" ", text[:closed]) + b" " + text[closed:]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -47,7 +56,7 @@ def rule_of(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """urls (with key, host, path) with rule and rule_verdict, null where none fits. rules: (verdict, host, path)."""
     table = urls.sparkSession.createDataFrame(rules, "rule_verdict string, rule_host string, rule_path string")
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, 1000), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hosts = urls.select("host").distinct().select("host", F.explode(suffixes).alias("rule_host"))
     by_host = hosts.join(F.broadcast(table), "rule_host").groupBy("host").agg(F.collect_list(F.struct("rule_verdict", "rule_host", "rule_path")).alias("rules"))
     fits = F.filter(F.coalesce("rules", F.array().cast("array<struct<rule_verdict:string,rule_host:string,rule_path:string>>")), lambda r: F.startswith("path", r.rule_path))
@@ -58,19 +67,18 @@ def rule_of(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 
 
 def word_counts(pages: DataFrame, html: str) -> DataFrame:
-    """word, n: the words of all texts, without tags, of LONGEST characters at most."""
+    """word, n: the words of all texts, without tags."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter[bytes] = Counter()
             for text in batch.column(0).to_pylist():
                 if text:
-                    seen.update(_WORD.findall(_TAG.sub(b" ", text.lower())))
+                    seen.update(_WORD.findall(without_tags(text.lower())))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
     found = pages.select(F.col(html).cast("binary").alias("html")).mapInArrow(count, "word binary, n long")
-    found = found.groupBy(F.decode("word", "UTF-8").alias("word")).agg(F.sum("n").alias("n"))
-    return found.where(F.length("word") <= LONGEST)
+    return found.groupBy(F.col("word").cast("string").alias("word")).agg(F.sum("n").alias("n"))
 
 
 def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
@@ -82,31 +90,39 @@ def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     names = names.where("length(name) > 0").distinct()
     starts = F.sequence(F.lit(1), F.length("name"))
-    pieces = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("name") - s + 1)), lambda n: F.struct(s.alias("s"), n.alias("n")))))
-    spread = names.select("name", F.inline(pieces)).withColumn("word", F.substring("name", F.col("s"), F.col("n")))
-    cost = -F.log(F.col("w.n") / F.lit(float(max(total, 1))))
-    found = spread.alias("p").join(counts.alias("w"), F.col("p.word") == F.col("w.word")).groupBy("name")
-    found = found.agg(F.collect_list(F.struct(F.col("p.s").alias("s"), F.col("p.n").alias("n"), cost.alias("cost"))).alias("found"))
-    one = float(math.log(10.0 * max(total, 1)))
-    joined = names.join(found, "name", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<s:int,n:int,cost:double>>")))
-    # best[e] is the cost of the best split of the first e characters and the length of its last word
-    zero = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("n")))
-
-    def step(best: Column, e: Column) -> Column:
-        ends = F.transform(F.filter("found", lambda f: f.s + f.n - 1 == e), lambda f: F.struct((F.get(best, e - f.n).cost + f.cost).alias("cost"), (-f.n).alias("n")))
-        single = F.array(F.struct((F.get(best, e - 1).cost + F.lit(one)).alias("cost"), F.lit(-1).alias("n")))
-        least = F.array_min(F.concat(ends, single))
-        return F.concat(best, F.array(F.struct(least.cost.alias("cost"), (-least.n).alias("n"))))
-
-    best = F.aggregate(starts, zero, step)
-
-    def back(state: Column, _: Column) -> Column:
-        n = F.when(state.e > 0, F.get(F.col("best"), state.e).n).otherwise(0)
-        word = F.substring(F.col("name"), state.e - n + 1, n)
-        return F.struct((state.e - n).alias("e"), F.when(n > 0, F.concat(F.array(word), state.words)).otherwise(state.words).alias("words"))
-
-    begin = F.struct(F.length("name").alias("e"), F.array().cast("array<string>").alias("words"))
-    return joined.withColumn("best", best).select("name", F.aggregate(starts, begin, back, lambda s: s.words).alias("words"))
+    pieces = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(SHORT), F.length("name") - s + 1)), lambda n: F.struct(s.alias("s"), n.alias("n")))))
+    spread = names.select("name", F.inline(pieces)).withColumn("part", F.substring("name", F.col("s"), F.col("n")))
+    words = counts.select("word", F.length("word").alias("n"), F.col("n").alias("times"))
+    short = spread.join(words.where(F.col("n") <= SHORT).select(F.col("word").alias("part"), "times"), "part").select("name", "s", "n", "times")
+    long = words.where(F.col("n") > SHORT).select(F.substring("word", 1, SHORT).alias("part"), "word", F.col("n").alias("size"), "times")
+    long = spread.where(F.col("n") == SHORT).join(long, "part").where(F.substring("name", F.col("s"), F.col("size")) == F.col("word"))
+    found = short.union(long.select("name", "s", F.col("size").alias("n"), "times"))
+    found = found.groupBy("name").agg(F.collect_list(F.struct("s", "n", "times")).alias("found"))
+    every = float(max(total, 1))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("name").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array([best_split(n, f or (), every) for n, f in zip(names, batch.column("found").to_pylist())], pa.list_(pa.string()))], ["name", "words"])
+
+    return names.join(found, "name", "left").mapInArrow(split, "name string, words array<string>")
+
+
+def best_split(name: str, found: list[dict], total: float) -> list[str]:
+    """The words of a name, given those at each start (from 1): by the cost of the best split of the first e characters and its last word's length."""
+    ending: dict[int, list[tuple[int, float]]] = {}
+    for f in found:
+        ending.setdefault(f["s"] + f["n"] - 1, []).append((f["n"], -math.log(f["times"] / total)))
+    alone = math.log(10 * total)
+    best = [(0.0, 0)]
+    for e in range(1, len(name) + 1):
+        cost, n = min([(best[e - 1][0] + alone, -1), *((best[e - n][0] + cost, -n) for n, cost in ending.get(e, ()))])
+        best.append((cost, -n))
+    words, e = [], len(name)
+    while e:
+        words.append(name[e - best[e][1] : e])
+        e -= best[e][1]
+    return words[::-1]
 
 
 def name_tokens(host: Column, path: Column) -> Column:

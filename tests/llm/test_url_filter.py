@@ -42,7 +42,7 @@ def split(name, counts, total):
         if not e:
             return 0.0, 0, ()
         ways = [(best(e - 1)[0] + math.log(10 * total), -1)]
-        ways += [(best(e - n)[0] - math.log(counts[name[e - n : e]] / total), -n) for n in range(1, min(20, e) + 1) if name[e - n : e] in counts]
+        ways += [(best(e - n)[0] - math.log(counts[name[e - n : e]] / total), -n) for n in range(1, e + 1) if name[e - n : e] in counts]
         cost, n = min(ways)
         return cost, -n, (*best(e + n)[2], name[e + n : e])
 
@@ -50,8 +50,8 @@ def split(name, counts, total):
 
 
 def test_segments(spark):
-    counts = {"the": 50, "there": 9, "rain": 8, "here": 12, "in": 30, "re": 2, "spain": 4, "pa": 1, "ünï": 3}
-    names = ["therainin", "there", "thespain", "q", "xxthereyy", "spainünïthe", "inin" * 12]
+    counts = {"the": 50, "there": 9, "rain": 8, "here": 12, "in": 30, "re": 2, "spain": 4, "pa": 1, "ünï": 3, "extraordinarilylongword": 2, "extraordinarilylongwords": 1}
+    names = ["therainin", "there", "thespain", "q", "xxthereyy", "spainünïthe", "inin" * 12, "theextraordinarilylongwordsrain", "extraordinarilylongwor"]
     df = spark.createDataFrame(list(counts.items()), "word string, n long")
     got = {r.name: r.words for r in op.segmented(spark.createDataFrame([(n,) for n in [*names, "", None]], "name string"), df).collect()}
     assert got == {n: split(n, counts, sum(counts.values())) for n in names}
@@ -74,10 +74,8 @@ def test_against_brute_force(spark, data):
 
     words = {}
     for (t,) in pages.select("html").collect():
-        for w in op._WORD.findall(op._TAG.sub(b" ", t.encode().lower())):
-            w = w.decode("utf-8", "replace")
-            words[w] = words.get(w, 0) + 1
-    words = {w: n for w, n in words.items() if len(w) <= 20}
+        for w in re.findall(rb"[a-z\x80-\xff]+", re.sub(rb"<[^>]*>", b" ", t.encode().lower())):
+            words[w.decode()] = words.get(w.decode(), 0) + 1
     total = sum(words.values())
 
     def tokens(host, path):
@@ -103,3 +101,11 @@ def test_against_brute_force(spark, data):
                     s += math.log((count["block"].get(t, 0) + 1) / (sum(count["block"].values()) + len(vocabulary)))
                     s -= math.log((count["allow"].get(t, 0) + 1) / (sum(count["allow"].values()) + len(vocabulary)))
             assert r.score == pytest.approx(s) and r.verdict == ("block" if s > 0 else "allow")
+
+
+def test_long_words_and_open_tags(spark):
+    html = ["a" + "\u00e9" * 60, "<" * 200_000 + " open", "<p>x</p>" * 3 + "<unclosed words", "<a <b> c>d", None, "\u0434" * 500]
+    df = spark.createDataFrame([(i, f"http://h{i}.org/{'abc' * 700 if i == 2 else 'p'}", t) for i, t in enumerate(html)], "page_id long, url string, html string")
+    counts = {r.word: r.n for r in op.word_counts(df, "html").collect()}
+    assert counts == {"a" + "\u00e9" * 60: 1, "open": 1, "x": 3, "unclosed": 1, "words": 1, "c": 1, "d": 1, "\u0434" * 500: 1}
+    assert op.url_verdicts(df, op.RULES).count() == len(html)
