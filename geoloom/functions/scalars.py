@@ -115,14 +115,30 @@ def quarter_columns(period: Column) -> dict[str, Column]:
 
 
 def resolve_href(base: Column, href: Column) -> Column:
-    """An absolute link, or one relative to the base's folder or, with a leading slash, to its host; ./ and leading ../ are resolved."""
+    """A link in view of its document's: absolute as it is, else relative to the host (with a leading slash) or to the document's folder.
+
+    Segments . and .. of the path are resolved, however many; a .. above the top goes. The host is never one of
+    them. A query or fragment of the link stays. Null if either is null.
+    """
     absolute = href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://")
-    root = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, "[?#].*$", ""), "/[^/]*$", "/")
-    joined = F.concat(folder, F.regexp_replace(href, r"^(\./)+", ""))
-    for _ in range(4):
-        joined = F.regexp_replace(joined, r"/[^/]+/\.\./", "/")
-    return F.when(absolute, href).when(F.startswith(href, F.lit("/")), F.concat(root, href)).otherwise(joined)
+    root = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(F.substr(base, F.length(root) + 1), "^([^?#]*/)", 1)
+    path, rest = F.regexp_extract(href, "^([^?#]*)", 1), F.regexp_extract(href, "^[^?#]*(.*)$", 1)
+    joined = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path))
+    parts = F.slice(F.split(joined, "/"), 2, F.length(joined) + 1)
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) > 0, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(none)
+        return F.when(part == ".", done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    last = F.element_at(parts, -1)
+    end = F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit(""))  # these name a folder
+    done = F.aggregate(parts, none, step)
+    whole = F.concat(root, F.lit("/"), F.array_join(done, "/"), F.when(F.size(done) > 0, end).otherwise(F.lit("")), rest)
+    same = F.regexp_extract(base, "^([^#]*)", 1)
+    alone = F.when(F.startswith(href, F.lit("#")), F.concat(same, href)).when(F.startswith(href, F.lit("?")), F.concat(F.regexp_extract(base, "^([^?#]*)", 1), href)).when(href == "", same)
+    return F.when(absolute, href).otherwise(F.coalesce(alone, whole))
 
 
 def without_query(c: Column, host: str) -> Column:
@@ -170,3 +186,31 @@ def lookup(c: Column, table: dict, default=None) -> Column:
 def elevation(height: Column, floors: Column, storey: float = 3.2, least: float = 1.0) -> Column:
     """Height, else floors times a storey, else the least; never below it."""
     return F.greatest(F.coalesce(height, floors * storey, F.lit(least)), F.lit(least))
+
+
+def canonical_json(values: dict[str, Column]) -> Column:
+    """A JSON object with sorted keys; NaN and infinities become null, and nulls stay as fields."""
+    return F.to_json(F.struct(*(c.alias(n) for n, c in sorted(values.items()))), {"ignoreNullFields": "false"})
+
+
+def finite(c: Column) -> Column:
+    """A number, or null for NaN and infinities."""
+    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+
+
+def coerced_list(c: Column) -> Column:
+    """A text as array of texts: a JSON array's elements, a blank text none, any other text alone; null stays null."""
+    read = F.from_json(c, "array<string>")
+    return F.when(F.trim(c) == "", F.array().cast("array<string>")).when(F.startswith(F.trim(c), F.lit("[")) & read.isNotNull(), read).when(c.isNotNull(), F.array(c))
+
+
+def coerced_map(c: Column) -> Column:
+    """A text as map of texts: a JSON object's fields, else empty; null stays null."""
+    read = F.from_json(c, "map<string,string>")
+    return F.when(c.isNotNull(), F.coalesce(F.when(F.startswith(F.trim(c), F.lit("{")), read), F.create_map().cast("map<string,string>")))
+
+
+def whole_number(c: Column) -> Column:
+    """A text or number as long if it has no fraction, else null."""
+    x = c.try_cast("double")
+    return F.when((x == F.floor(x)) & (F.abs(x) < 2.0**53), x.cast("long"))

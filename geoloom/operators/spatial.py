@@ -1,11 +1,13 @@
 """Spatial joins as equi-joins on grid cells, then an exact test on the pairs that are left.
 
-Tables have an id and minx, miny, maxx, maxy; general polygons also `geom`. Cells come in levels, each four
-times as wide as the one below. A shape is listed under the cells of its box, from the level on at which it
-covers few; a pair meets at the higher of the two shapes' levels, and counts only in the cell of the lower
-left corner of the boxes' intersection. So each pair appears once without removing duplicates, no pair is
-missed, and a shape of any size has few rows. Nothing is sent whole to all executors unless Spark finds it
-small; partitions of crowded cells are split by Spark.
+Tables have an id and minx, miny, maxx, maxy; general polygons also `geom`. Cells come in levels, each twice as
+wide as the one below. A shape's own level is that at which it is between one and two cells wide, so its box
+covers few cells of it. A pair meets at the higher of the two shapes' own levels, which is part of the key: the
+shape of that level is listed there and nowhere else, the other also at each higher level that the other table
+has shapes of. (Those levels, at most `levels`, are looked up first.) So small shapes never meet in cells of
+large ones, and a pair counts only in the cell of the lower left corner of the boxes' intersection: once,
+without removing duplicates. Nothing is sent whole to all executors unless Spark finds it small; partitions of
+crowded cells are split by Spark.
 
 A null box, id or geometry joins nothing. Repeated rows join each. Empty tables give no rows.
 """
@@ -18,28 +20,46 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 
 
-def _by_cell(df: DataFrame, cell: float, levels: int) -> DataFrame:
+def _levelled(df: DataFrame, cell: float, levels: int) -> DataFrame:
     span = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
-    own = F.least(F.lit(levels - 1), F.greatest(F.lit(0), F.ceil(F.log(F.greatest(span, F.lit(cell * 1e-6)) / cell) / F.log(F.lit(4.0))))).cast("int")
-    size = F.pow(F.lit(4.0), F.col("__at")) * cell
-    cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
-    out = df.where("minx <= maxx AND miny <= maxy").withColumn("__own", own).withColumn("__at", F.explode(F.sequence(F.col("__own"), F.lit(levels - 1))))
-    return out.withColumn("__cx", F.explode(cells("minx", "maxx"))).withColumn("__cy", F.explode(cells("miny", "maxy")))
-
-
-def candidate_pairs(left: DataFrame, right: DataFrame, *, cell: float, levels: int = 4) -> DataFrame:
+    own = F.ceil(F.log2(F.greatest(span / cell, F.lit(1.0)))) - 1
+    return df.where("minx <= maxx AND miny <= maxy").withColumn("__own", F.least(F.lit(levels - 1), F.greatest(F.lit(0), own)).cast("int"))
+
+
+def _listed(df: DataFrame, struct: str, side: str, cell: float, others: list[int]) -> DataFrame:
+    """df as a struct, with the sides, levels and cells it is listed under. Side `l`: the left shape is of the pair's level."""
+    if side == "l":
+        mine, above = "l", F.filter(F.array(*map(F.lit, others)), lambda x: x > F.col("__own"))
+    else:
+        mine, above = "r", F.filter(F.array(*map(F.lit, others)), lambda x: x >= F.col("__own"))
+    other = "r" if side == "l" else "l"
+    entry = lambda role, at: F.struct(F.lit(role).alias("role"), at.cast("int").alias("at"))
+    # of two shapes of one level the left one is listed once, under `l`
+    entries = F.concat(F.array(entry(mine, F.col("__own"))), F.transform(above, lambda x: entry(other, x)))
+    size = lambda: F.pow(F.lit(2.0), F.col("__e.at")) * cell
+    cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size()), F.floor(F.col(hi) / size()))
+    columns = [c for c in df.columns if c != "__own"]
+    out = df.withColumn("__e", F.explode(entries)).withColumn("__cx", F.explode(cells("minx", "maxx"))).withColumn("__cy", F.explode(cells("miny", "maxy")))
+    return out.select(F.struct(*columns).alias(struct), "__e.role", "__e.at", F.col("__cx").alias("cx"), F.col("__cy").alias("cy"))
+
+
+def meetings(left: DataFrame, right: DataFrame, *, cell: float, levels: int = 24) -> DataFrame:
+    """Pairs of rows `l` and `r` that share a cell, once per cell, with that cell: role, at, cx, cy."""
+    a, b = (_levelled(df, cell, levels) for df in (left, right))
+    found = a.select(F.lit("l").alias("s"), "__own").union(b.select(F.lit("r"), "__own")).distinct().collect()  # at most 2 * levels rows
+    of = {side: sorted(r["__own"] for r in found if r.s == side) for side in "lr"}
+    return _listed(a, "l", "l", cell, of["r"]).join(_listed(b, "r", "r", cell, of["l"]), ["role", "at", "cx", "cy"])
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, *, cell: float, levels: int = 24) -> DataFrame:
     """All pairs whose boxes share a point, once each, as structs `l` and `r` of the rows. cell: about the size of the smaller shapes."""
-    a, b = (_by_cell(df, cell, levels) for df in (left, right))
-    a = a.select(F.struct(*left.columns).alias("l"), *(F.col(f"__{c}").alias(f"l_{c}") for c in ("own", "at", "cx", "cy")))
-    b = b.select(F.struct(*right.columns).alias("r"), *(F.col(f"__{c}").alias(f"r_{c}") for c in ("own", "at", "cx", "cy")))
-    meet = (F.col("l_at") == F.col("r_at")) & (F.col("l_cx") == F.col("r_cx")) & (F.col("l_cy") == F.col("r_cy"))
-    size = F.pow(F.lit(4.0), F.col("l_at")) * cell
+    size = F.pow(F.lit(2.0), F.col("at")) * cell
     corner = lambda lo: F.floor(F.greatest(F.col(f"l.{lo}"), F.col(f"r.{lo}")) / size)
-    once = (F.col("l_at") == F.greatest("l_own", "r_own")) & (F.col("l_cx") == corner("minx")) & (F.col("l_cy") == corner("miny"))
-    return a.join(b, meet & once & g.bbox_overlaps("l", "r")).select("l", "r")
+    once = (F.col("cx") == corner("minx")) & (F.col("cy") == corner("miny"))
+    return meetings(left, right, cell=cell, levels=levels).where(once & g.bbox_overlaps("l", "r")).select("l", "r")
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, cell: float, boxes: bool = False, levels: int = 4) -> DataFrame:
+def overlap_pairs(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, cell: float, boxes: bool = False, levels: int = 24) -> DataFrame:
     """left_id, right_id, overlap of all pairs that intersect, borders included. boxes: the geometries are their boxes."""
     pairs = candidate_pairs(left, right, cell=cell, levels=levels)
     if not boxes:

@@ -34,29 +34,28 @@ def self_link(href: Column, links: Column) -> Column:
     return F.coalesce(href, F.get(F.filter(links, lambda x: x.rel == "self"), 0).href)
 
 
-def picked_asset(assets: Column, exact: list[str], roles: list[str], keywords: list[str], blocked: list[str], fallback: bool = True) -> Column:
-    """The asset (of an array of struct<name, href, title, roles> in document order) by a ladder: an exact name, a role, a keyword in name, title or link, the first.
+def picked_asset(assets: Column, exact: list[str], roles: list[str], keywords: list[str], blocked: list[str], fallback: bool = False) -> Column:
+    """The asset (of an array of struct<name, href, title, roles> in document order) by a ladder; null without one.
 
-    Blocked words in a name or title rule an asset out on all steps but the first.
+    Only assets with a link count. The steps: the first of the exact names, as written; the first asset with any
+    of the roles; the first with any of the keywords in its name, title or link; if asked, the first. Case
+    doesn't matter for roles and keywords. A blocked word in a name rules an asset out on all steps but the first.
     """
-    text = lambda a: F.lower(F.concat_ws(" ", a["name"], a.title))
-    words = F.array(*map(F.lit, blocked)) if blocked else F.array().cast("array<string>")
-    free = F.filter(assets, lambda a: ~F.exists(words, lambda w: text(a).contains(w)))
+    linked = F.filter(assets, lambda a: F.coalesce(F.trim(a.href), F.lit("")) != "")
+    has_any = lambda text, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    free = F.filter(linked, lambda a: ~F.coalesce(has_any(F.lower(a["name"]), blocked), F.lit(False))) if blocked else linked
 
     def first(of: Column, test) -> Column:
         return F.get(F.filter(of, lambda a: F.coalesce(test(a), F.lit(False))), 0)
 
-    def named(name: str) -> Column:
-        return first(assets, lambda a: F.lower(a["name"]) == name)
-
-    def with_role(role: str) -> Column:
-        return first(free, lambda a: F.array_contains(a.roles, role))
-
-    def with_word(word: str) -> Column:
-        return first(free, lambda a: F.lower(F.concat_ws(" ", a["name"], a.title, a.href)).contains(word))
-
-    steps = [*map(named, exact), *map(with_role, roles), *map(with_word, keywords)]
-    return F.coalesce(*steps, *([F.get(free, 0)] if fallback else [F.lit(None)]))
+    steps = [first(linked, lambda a, name=name: a["name"] == name) for name in exact]
+    if roles:
+        steps.append(first(free, lambda a: F.arrays_overlap(F.transform(a.roles, F.lower), F.array(*map(F.lit, roles)))))
+    if keywords:
+        steps.append(first(free, lambda a: has_any(F.lower(F.concat_ws("\n", a["name"], a.title, a.href)), keywords)))
+    if fallback:
+        steps.append(F.get(free, 0))
+    return F.coalesce(*steps) if steps else F.get(F.filter(assets, lambda a: F.lit(False)), 0)
 
 
 def normalised_items(items: DataFrame, source: str, *, exact: list[str], roles: list[str], keywords: list[str], blocked: list[str]) -> DataFrame:
@@ -104,24 +103,32 @@ def signature_dedup(assets: DataFrame, source_rank: Column) -> DataFrame:
     return first_per(rows, ["asset_role", "acquired", *keys], [F.asc("__rank"), F.asc_nulls_last("item_id")]).drop(*keys, "__rank")
 
 
-def traversed(docs: DataFrame, roots: DataFrame, save: Callable[[DataFrame], DataFrame], *, prune: Column | None = None, most_levels: int = 50) -> DataFrame:
-    """url and level of all documents reachable from roots over child and item links.
+def traversed(docs: DataFrame, roots: DataFrame, save: Callable[[DataFrame], DataFrame], *, prune: Column | None = None, keep_item: Column | None = None, children: bool = True) -> DataFrame:
+    """url, level and kind (catalog or item) of all documents reachable from roots over child links, and of these' items.
 
-    docs: url, links array<struct<rel, href>>, and what `prune` needs; documents for which prune is false are
-    reached but not followed. Each level is an anti-join with what was seen and written by `save`.
+    docs: url, links array<struct<rel, href>>, and what `prune` and `keep_item` need. Catalogs for which prune
+    isn't true are reached but not followed; items for which keep_item isn't true are left out, and links of items
+    aren't followed. Each level is an anti-join with what was seen, written by `save`; it ends when a level is
+    empty, which happens however deep links go, as no document is reached twice. Null links lead nowhere;
+    documents that aren't in docs are left out.
     """
-    follow = docs if prune is None else docs.where(prune)
-    edges = follow.select(F.col("url").alias("base"), F.explode("links").alias("x")).where(F.col("x.rel").isin("child", "item"))
-    edges = save(edges.select("base", resolve_href(F.col("base"), F.col("x.href")).alias("url")).distinct())
-    now = save(docs.join(roots.select("url").distinct(), "url", "left_semi").select("url", F.lit(0).alias("level")).distinct())
-    seen = now
-    for n in range(1, most_levels + 1):
-        step = edges.join(now.select(F.col("url").alias("base")), "base", "left_semi").select("url").distinct()
-        now = save(step.join(seen, "url", "left_anti").join(docs.select("url").distinct(), "url", "left_semi").select("url", F.lit(n).alias("level")))
+    follow = docs if prune is None else docs.where(F.coalesce(prune, F.lit(False)))
+    links = follow.select(F.col("url").alias("base"), F.explode("links").alias("x")).where(F.col("x.rel").isin("child", "item") & F.col("x.href").isNotNull())
+    edges = save(links.select("base", F.col("x.rel").alias("rel"), resolve_href(F.col("base"), F.col("x.href")).alias("url")).distinct())
+    known = docs.select("url").distinct()
+    now = save(known.join(roots.select("url").distinct(), "url", "left_semi").select("url", F.lit(0).alias("level")))
+    seen, n = now, 0
+    while children:
+        n += 1
+        step = edges.where("rel = 'child'").join(now.select(F.col("url").alias("base")), "base", "left_semi").select("url").distinct()
+        now = save(step.join(seen, "url", "left_anti").join(known, "url", "left_semi").select("url", F.lit(n).alias("level")))
         if now.isEmpty():
             break
-        seen = seen.unionByName(now)
-    return seen
+        seen = save(seen.unionByName(now))  # its plan would grow with every level
+    items = edges.where("rel = 'item'").join(seen.withColumnRenamed("url", "base"), "base").groupBy("url").agg((F.min("level") + 1).alias("level"))
+    fit = docs if keep_item is None else docs.where(F.coalesce(keep_item, F.lit(False)))
+    items = items.join(fit.select("url").distinct(), "url", "left_semi").join(seen, "url", "left_anti")
+    return seen.withColumn("kind", F.lit("catalog")).unionByName(items.withColumn("kind", F.lit("item")))
 
 
 def relevance(catalogs: DataFrame, children: DataFrame, area: tuple[float, float, float, float]) -> DataFrame:

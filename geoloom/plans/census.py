@@ -116,14 +116,15 @@ def vintage_comparison(old: DataFrame, new: DataFrame, *, near: float = 0.999) -
 
 
 def vintage_guidance(status: DataFrame) -> DataFrame:
-    """One row of advice from the comparison's statuses."""
+    """One row: the number of each status, and advice. No rows at all count as equal vintages; null statuses don't count."""
     n = lambda s: F.coalesce(F.sum((F.col("status") == s).cast("int")), F.lit(0))
     counts = status.agg(*(n(s).alias(s) for s in ("new", "missing", "exact", "near", "changed")))
+    moved, one_sided, alike = F.col("changed") > 0, F.col("new") + F.col("missing") > 0, F.col("exact") + F.col("near") > 0
     advice = (
-        F.when((F.col("new") + F.col("missing") + F.col("near") + F.col("changed")) == 0, "vintages are the same")
-        .when((F.col("new") + F.col("missing")) > 0, "join by geoid loses areas; relate them by overlap")
-        .when(F.col("changed") > 0, "identifiers agree but some areas moved; check those")
-        .otherwise("join by geoid is safe")
+        F.when(~moved & ~one_sided, "vintages are the same: join by geoid is safe")
+        .when(~moved, "areas in both agree, but some are in one only: review those, or relate vintages by overlap")
+        .when(~alike, "vintages differ: stay with one")
+        .otherwise("many areas agree, some moved: check those first")
     )
     return counts.withColumn("advice", advice)
 

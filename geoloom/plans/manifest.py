@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import hex_cell, hex_centre, to_utm
-from ..functions.scalars import equal_area_radius
+from ..functions.scalars import equal_area_radius, lookup
 from ..operators.spatial import dominant_per_cell
 from ..operators.tables import first_per, first_values, updated
 
@@ -70,30 +70,57 @@ def collapsed_probe(probe: DataFrame) -> DataFrame:
     return first_values(probe, ["tile_id"], order, ["status", "quality", "imagery_date"])
 
 
+#: Qualities by which a fetch prefers one of several probes of a date; others count 0.
+FETCH_RANK = {"MEDIUM": 2, "BASE": 1}
+
+
 def fetch_candidates(probe: DataFrame, cutoff: str, qualities: list[str]) -> DataFrame:
-    """The best usable probe of each tile: ok, of an allowed quality, at or after the cutoff."""
+    """The best usable probe of each tile, ok, of an allowed quality, at or after the cutoff, with fetch_quality.
+
+    The latest counts; of one date that of higher returned and requested quality (FETCH_RANK), priority_score,
+    number of panels and of buildings, nulls last. Columns that the table hasn't decide nothing. Among rows that
+    are equal in all of these, the least in all columns together counts.
+    """
     rows = probe.where((F.col("status") == "ok") & F.col("quality").isin(qualities) & (F.col("imagery_date") >= F.lit(cutoff).cast("date")))
-    return first_per(rows, ["tile_id"], [quality_rank(F.col("quality")), F.desc("imagery_date")])
+    rank = lambda c: F.desc(lookup(F.col(c), FETCH_RANK, 0))
+    order = [F.desc("imagery_date"), *(rank(c) for c in ("quality", "requested_quality") if c in probe.columns)]
+    order += [F.desc_nulls_last(c) for c in ("priority_score", "panels", "building_count") if c in probe.columns]
+    plain = [c for c, t in probe.dtypes if not t.startswith("map")]
+    return first_per(rows, ["tile_id"], [*order, *(F.asc_nulls_last(c) for c in plain)]).withColumn("fetch_quality", F.col("quality"))
+
+
+def probe_verdict(best: DataFrame, cutoff: str) -> DataFrame:
+    """best probes with manifest_status: ready or stale for ok ones at or after, or before the cutoff or without a date; no_coverage for not_found; else probe_failed."""
+    recent = F.coalesce(F.col("imagery_date") >= F.lit(cutoff).cast("date"), F.lit(False))
+    verdict = F.when((F.col("status") == "ok") & recent, "ready").when(F.col("status") == "ok", "stale").when(F.col("status") == "not_found", "no_coverage")
+    return best.withColumn("manifest_status", F.coalesce(verdict, F.lit("probe_failed")))
+
+
+def probe_summary(probe: DataFrame, cutoff: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Tiles by group, status, quality and period (before or after the cutoff, null without a date); and failures by status and code."""
+    period = F.when(F.col("imagery_date") >= F.lit(cutoff).cast("date"), "after").when(F.col("imagery_date").isNotNull(), "before")
+    tiles = probe.groupBy(*by, "status", "quality", period.alias("period")).agg(F.count("*").alias("tiles"))
+    failed = probe.where(F.coalesce(F.col("status") != "ok", F.lit(True))).groupBy("status", "http_status").agg(F.count("*").alias("tiles"))
+    return tiles, failed
 
 
-def within_budget(manifest: DataFrame, order: list[str], costs: Column, cap: int) -> DataFrame:
-    """Rows in order while the sum of costs before them stays below the cap.
+def within_budget(manifest: DataFrame, order: list[str], costs: Column, cap: int, parts: int = 64) -> DataFrame:
+    """Rows in order while the sum of costs before them stays below the cap; costs aren't negative, a null one is 0.
 
-    The sum runs over groups of equal `order[0]` first; only within the group in which the cap falls are rows
-    numbered one by one.
+    Rows are dealt into ranges of `order` (a sorted repartition); only the sums of ranges, at most `parts`, are
+    put in one order, and running sums are taken inside each range. Rows that are equal in `order` come in the
+    order of a hash of all their columns.
     """
-    rows = manifest.withColumn("__cost", costs)
-    first, *rest = order
-    groups = rows.groupBy(first).agg(F.sum("__cost").alias("__sum"))
-    # one row for each value of the first key, such as a priority
-    w = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("__before", F.coalesce(F.sum("__sum").over(w), F.lit(0))).where(F.col("__before") < cap)
-    rows = rows.join(F.broadcast(groups), first)
-    whole = rows.where(F.col("__before") + F.col("__sum") <= cap)
-    cut = rows.where(F.col("__before") + F.col("__sum") > cap)
-    run = F.coalesce(F.sum("__cost").over(Window.partitionBy(first).orderBy(*rest).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = cut.withColumn("__run", run).where(F.col("__before") + F.col("__run") < cap).drop("__run")
-    return whole.unionByName(cut).drop("__cost", "__sum", "__before")
+    plain = [c for c, t in manifest.dtypes if not t.startswith("map")]
+    rows = manifest.withColumn("__cost", F.coalesce(costs.cast("double"), F.lit(0.0))).withColumn("__tie", F.xxhash64(*plain))
+    keys = [*order, "__tie"]
+    dealt = rows.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id())
+    bounds = dealt.groupBy("__part").agg(F.sum("__cost").alias("__sum"))  # ranges are numbered in order
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bounds = bounds.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0.0))).where(F.col("__before") < cap).drop("__sum")
+    run = F.coalesce(F.sum("__cost").over(Window.partitionBy("__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    out = dealt.join(bounds, "__part").withColumn("__run", run + F.col("__before")).where(F.col("__run") < cap)
+    return out.drop("__cost", "__tie", "__part", "__before", "__run")
 
 
 def promoted(manifest: DataFrame, ledger: DataFrame, terminal: list[str] = ("ok", "not_found")) -> DataFrame:

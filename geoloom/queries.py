@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from .fixtures import SQL, expanded, fixture, with_box
 from .functions import geometry as g
 from .functions import scalars as s
 from .operators import spatial, statistics, tables
+from .sources.files import parquet_stream, shared_folder
 from .plans import capacity, catalog, census, imagery, manifest
 from .streaming import ledger
 
@@ -303,13 +303,13 @@ def url_functions(spark, d) -> DataFrame:
     p = fixture(spark, d, "pages")
     u = F.col("url")
     return p.select(
-        "page_id", s.query_value(u, "page").alias("page"), s.resolve_href(u, F.lit("../x/item.json")).alias("up"), s.resolve_href(u, F.lit("/root.json")).alias("top"), s.slug(F.regexp_extract(u, "://([^/]*)", 1)).alias("slug"),
+        "page_id", s.query_value(u, "page").alias("page"), s.resolve_href(u, F.lit("../x/item.json")).alias("up"), s.resolve_href(u, F.lit("/root.json")).alias("top"), s.resolve_href(u, F.lit("../../../../../../../x/./y/../z.json?a=../b")).alias("deep"), s.slug(F.regexp_extract(u, "://([^/]*)", 1)).alias("slug"),
     )
 
 
 URL_SQL = """
-WITH p AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/]*)', 1) r, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '/') f FROM pages)
-SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') page, regexp_replace(f || '../x/item.json', '/[^/]+/\\.\\./', '/') up, r || '/root.json' top,
+WITH p AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) r, regexp_extract(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '^([^?#]*/)', 1) f FROM pages)
+SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') page, r || regexp_replace(CASE WHEN f = '' THEN '/' ELSE f END, '[^/]+/$', '') || 'x/item.json' up, r || '/root.json' top, r || '/x/z.json?a=../b' deep,
   replace(trim(regexp_replace(lower(regexp_extract(url, '://([^/]*)', 1)), '[^a-z0-9]+', ' ', 'g')), ' ', '_') slug FROM p"""
 
 
@@ -385,13 +385,10 @@ SELECT geoid, count(*) tiles, geoid || '_t' || lpad(CAST(count(*) - 1 AS VARCHAR
 
 
 def stream_spend(spark, d) -> DataFrame:
-    """Paid calls per tile group from the ledger read as a stream, drained."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    rows = spark.sql(SQL["ledger"], events=events).withColumn("part", F.col("tile_id") % 10)
+    """Paid calls per tile group from the ledger read as a stream, drained. The table may be a file or a folder of files."""
     name = f"spend_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return ledger.drain(ledger.running_spend(rows, ["part"]), name, f"{folder}/{name}")
+    rows = spark.sql(SQL["ledger"], events=parquet_stream(spark, f"{d}/events.parquet")).withColumn("part", F.col("tile_id") % 10)
+    return ledger.drain(ledger.running_spend(rows, ["part"]), name, f"{shared_folder(spark)}/{name}")
 
 
 STREAM_SQL = """
@@ -447,12 +444,12 @@ SELECT county_geoid, metric, median(v) median, count(*) - count(v) missing FROM
 
 def order_years(spark, d) -> DataFrame:
     """Orders by year and priority, wide."""
-    return imagery.year_pivot(fixture(spark, d, "orders").select("o_orderpriority", "o_orderdate"), "o_orderpriority", "o_orderdate", [1995, 1996, 1997])
+    return imagery.year_pivot(fixture(spark, d, "orders").select("o_orderpriority", "o_orderdate"), "o_orderpriority", "o_orderdate", list(range(1992, 2003)))
 
 
-YEAR_SQL = """
-WITH c AS (SELECT o_orderpriority, count(*) FILTER (year(o_orderdate) = 1995) "1995", count(*) FILTER (year(o_orderdate) = 1996) "1996", count(*) FILTER (year(o_orderdate) = 1997) "1997" FROM orders GROUP BY 1)
-SELECT *, "1995" + "1996" + "1997" total, round(("1995" + "1996" + "1997") * 100.0::DOUBLE / sum("1995" + "1996" + "1997") OVER (), 3) pct FROM c"""
+YEAR_SQL = f"""
+WITH c AS (SELECT o_orderpriority, {", ".join(f'count(*) FILTER (year(o_orderdate) = {y}) "{y}"' for y in range(1992, 2003))}, count(*) total FROM orders GROUP BY 1)
+SELECT * EXCLUDE (total), total, round(total * 100.0::DOUBLE / sum(total) OVER (), 3) pct FROM c"""
 
 
 _ALL = {

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geometry import envelope
+from ..functions.geometry import envelope, intersects
 
 
 def clean_names(df: DataFrame) -> DataFrame:
@@ -16,6 +18,26 @@ def clean_names(df: DataFrame) -> DataFrame:
     return df.toDF(*(" ".join(c.replace("﻿", "").split()) for c in df.columns))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, if it is unset, a new temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return folder
+
+
+def parquet_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, one file or a folder of files, as a stream of its files; new ones in a folder follow."""
+    schema = spark.read.parquet(path).schema
+    files = spark.read.format("binaryFile").load(path).select("path").limit(2).collect()
+    parent, _, name = path.rstrip("/").rpartition("/")
+    if len(files) == 1 and files[0].path.rstrip("/").rpartition("/")[2] == name:
+        return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(parent)
+    return spark.readStream.schema(schema).parquet(path)
+
+
 def read_delimited(spark: SparkSession, path: str, *, sep: str = ",", encoding: str = "UTF-8", columns: list[str] | None = None, keep: Column | None = None) -> DataFrame:
     """All columns as text, quoted newlines allowed; names from the header, or given and then a header is data."""
     reader = spark.read.option("sep", sep).option("encoding", encoding).option("multiLine", True).option("escape", '"')
@@ -102,3 +124,84 @@ def with_envelope(df: DataFrame, geom: str = "geom") -> DataFrame:
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def exact_scan(df: DataFrame, area: tuple[float, float, float, float], geometry: Column, geom: str = "geom", order: str = "datetime") -> DataFrame:
+    """Rows whose nested bbox meets the area's box, which reaches the scan, and of these those whose geometry meets the given one; sorted by `order` if there is such a column."""
+    found = overlapping_box(df, area).where(intersects(F.col(geom), geometry))
+    return found.orderBy(order) if order in df.columns else found
+
+
+def write_table(df: DataFrame, name: str, path: str | None = None, *, nulls: dict[str, str] | None = None) -> DataFrame:
+    """Create or replace a table, with those of `nulls` (name: type) that df hasn't as null columns; if asked also Parquet. Returns table and rows, from what was written."""
+    out = df.withColumns({c: F.lit(None).cast(t) for c, t in (nulls or {}).items() if c not in df.columns})
+    out.write.mode("overwrite").saveAsTable(name)
+    saved = df.sparkSession.table(name)
+    if path:
+        saved.write.mode("overwrite").parquet(path)
+    return saved.agg(F.lit(name).alias("table"), F.count("*").alias("rows"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Delimited text with a header in every part file; nulls are empty, quotes doubled."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_lines_of_json(df: DataFrame, path: str) -> None:
+    """A JSON object per line; null fields are left out."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_report(values: DataFrame, path: str, key: str = "key", value: str = "value") -> None:
+    """One JSON object, with the keys of a small table sorted, as a file of one line. Of repeated keys the least value counts; NaN is null."""
+    rows = values.groupBy(key).agg(F.min(value).alias("v"))
+    v = F.col("v")
+    if dict(rows.dtypes)["v"] in ("double", "float"):
+        v = F.when(~F.isnan(v), v)
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string"), v.alias("v")))))
+    rows.agg(F.to_json(entries, {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def combined(spark: SparkSession, paths: list[str], dedup: list[str] | None = None) -> DataFrame | None:
+    """The union by name of those tables that exist and have rows; None if none has. dedup: keys of which the first path's row stays."""
+    parts = []
+    for i, p in enumerate(paths):
+        try:
+            df = spark.read.parquet(p)
+        except Exception as e:  # Spark's own exception for a path that isn't there
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            continue
+        if not df.isEmpty():
+            parts.append(df.withColumn("__path", F.lit(i)))
+    if not parts:
+        return None
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if dedup:
+        plain = [c for c, t in rows.dtypes if not t.startswith("map")]
+        first = F.row_number().over(Window.partitionBy(*dedup).orderBy("__path", *(F.asc_nulls_last(c) for c in plain)))
+        rows = rows.withColumn("__n", first).where("__n = 1").drop("__n")
+    return rows.drop("__path")
+
+
+def preview(spark: SparkSession, name: str, rows: int = 5) -> tuple[list[tuple[str, str]], DataFrame]:
+    """Columns with types, and a few rows, of a table or view; ValueError if there is none."""
+    if not spark.catalog.tableExists(name):
+        raise ValueError(f"no table {name!r}")
+    df = spark.table(name)
+    return df.dtypes, df.limit(rows)
+
+
+def drop_relation(spark: SparkSession, name: str) -> str:
+    """Drop a table or temporary view; returns which it was, or none."""
+    if spark.catalog.dropTempView(name):
+        return "view"
+    if spark.catalog.tableExists(name):
+        spark.sql(f"DROP TABLE {name}")
+        return "table"
+    return "none"
+
+
+def require_tables(spark: SparkSession, names: list[str]) -> None:
+    if missing := [n for n in names if not spark.catalog.tableExists(n)]:
+        raise ValueError(f"tables missing: {', '.join(missing)}")

@@ -153,19 +153,34 @@ def test_tile_manifest(spark):
     assert sum(r.building_count for r in tiles) == 30 and {3} <= {r.priority for r in tiles} and sum(r.points for r in tiles) == 1
 
 
-def test_catalog(spark):
+def test_catalog(spark, tmp_path):
+    n = iter(range(10_000))
+
+    def save(d):
+        d.write.parquet(path := f"{tmp_path}/{next(n)}")
+        return spark.read.schema(d.schema).parquet(path)
+
     assets = [("visual-blocked", "a.tif", "x", ["data"]), ("rgb", "b.tif", "x", ["overview"]), ("B1", "c.tif", None, ["data"])]
     df = spark.createDataFrame([(assets,), ([],), (None,)], "assets array<struct<name:string,href:string,title:string,roles:array<string>>>")
     pick = lambda **o: [r[0].href if r[0] else None for r in df.select(catalog.picked_asset(F.col("assets"), **{"exact": [], "roles": [], "keywords": [], "blocked": ["blocked"]} | o)).collect()]
     assert pick(exact=["visual-blocked"]) == ["a.tif", None, None]  # an exact name isn't blocked
-    assert pick(roles=["data"])[0] == "c.tif" and pick(keywords=["b.tif"])[0] == "b.tif" and pick()[0] == "b.tif" and pick(fallback=False)[0] is None
+    assert pick(roles=["data"])[0] == "c.tif" and pick(keywords=["b.tif"])[0] == "b.tif" and pick(fallback=True)[0] == "b.tif" and pick()[0] is None
+    # asset by asset, not role by role; names as written; without a link nothing is offered; a title blocks nothing
+    assert pick(roles=["overview", "data"], blocked=[])[0] == "a.tif" and pick(exact=["RGB"])[0] is None
+    more = spark.createDataFrame([([("a", " ", "x", ["data"]), ("b", "b.tif", "blocked", ["Data"])],)], df.schema)
+    choice = catalog.picked_asset(F.col("assets"), ["a"], ["data"], [], ["blocked"])
+    assert more.select(choice["name"]).first()[0] == "b"
     docs = spark.createDataFrame(
         [("http://h/c.json", [("child", "a/c.json"), ("self", "c.json"), ("item", "gone.json")]), ("http://h/a/c.json", [("item", "i.json"), ("child", "../c.json")]), ("http://h/a/i.json", None), ("http://h/x.json", [])],
         "url string, links array<struct<rel:string,href:string>>",
     )
     roots = spark.createDataFrame([("http://h/c.json",)], "url string")
-    seen = catalog.traversed(docs, roots, lambda d: d.cache())
+    seen = catalog.traversed(docs, roots, save)
     assert {(r.url, r.level) for r in seen.collect()} == {("http://h/c.json", 0), ("http://h/a/c.json", 1), ("http://h/a/i.json", 2)}
+    chain = spark.createDataFrame([(f"http://h/{i}", [("child", f"{i + 1}"), ("item", f"x{i}"), ("child", None)]) for i in range(8)] + [(f"http://h/x{i}", [("child", "0")]) for i in range(8)], docs.schema)
+    walk = catalog.traversed(chain, chain.where("url = 'http://h/0'"), save, prune=F.col("url") != "http://h/6", keep_item=~F.col("url").endswith("x2"))
+    got = {(r.url[9:], r.level, r.kind) for r in walk.collect()}
+    assert got == {(str(i), i, "catalog") for i in range(7)} | {(f"x{i}", i + 1, "item") for i in range(6) if i != 2}
     schema = "source string, item_id string, acquired timestamp, asset_href string"
     ok = lambda: spark.createDataFrame([("s", "1", None, "a"), ("s", "1", dt.datetime(2020, 1, 1), "b")], schema)
 
@@ -245,3 +260,95 @@ def test_entry_and_registry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_links(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://h/a.json", "http://h", "https://h.org/a/b/c.json?x=/y/#z", "s3://b/k/", "http://h/a/b/c/d/e/f.json"]
+    hrefs = ["../x.json", "../../../../../x.json", "./x/./y/../z", "x", "/r/../s.json", "..", ".", "a/..", "x?q=../y", "x#../y", "http://g/../z", "s3://q/w"]
+    df = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "b string, h string")
+    for r in df.withColumn("got", s.resolve_href(F.col("b"), F.col("h"))).collect():
+        b = r.b if r.b.count("/") > 2 else r.b + "/"
+        want = r.h if "://" in r.h else urljoin(b.replace("s3:", "http:"), r.h).replace("http:", r.b.split(":")[0] + ":", 1)
+        assert r.got == want, (r.b, r.h)
+    null = spark.createDataFrame([(None, "x"), ("http://h/", None)], "b string, h string")
+    assert [r[0] for r in null.select(s.resolve_href(F.col("b"), F.col("h"))).collect()] == [None, None]
+
+
+def test_sinks(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([(1, 'a "q", b', float("nan")), (2, None, 1.5)], "id int, t string, v double")
+    r = files.write_table(df, "sunk", str(tmp_path / "p"), nulls={"has_pv": "boolean"}).first()
+    assert (r.table, r.rows) == ("sunk", 2) and spark.read.parquet(str(tmp_path / "p")).columns == ["id", "t", "v", "has_pv"]
+    assert files.write_table(df.limit(1), "sunk").first().rows == 1
+    assert files.preview(spark, "sunk")[0][0] == ("id", "int")
+    files.require_tables(spark, ["sunk"])
+    df.createOrReplaceTempView("seen")
+    assert [files.drop_relation(spark, n) for n in ("seen", "sunk", "sunk")] == ["view", "table", "none"]
+    with pytest.raises(ValueError, match="sunk"):
+        files.require_tables(spark, ["sunk"])
+    with pytest.raises(ValueError):
+        files.preview(spark, "sunk")
+    files.write_csv(df, str(tmp_path / "c"))
+    assert sorted(r.t or "" for r in files.read_delimited(spark, str(tmp_path / "c")).collect()) == ["", 'a "q", b']
+    files.write_lines_of_json(df, str(tmp_path / "j"))
+    assert {r.id for r in files.read_lines_of_json(spark, str(tmp_path / "j"), "id int, t string").collect()} == {1, 2}
+    files.write_report(spark.createDataFrame([("b", 1.0), ("a", float("nan")), ("c", None)], "key string, value double"), str(tmp_path / "r"))
+    text = spark.read.text(str(tmp_path / "r")).first().value
+    assert json.loads(text) == {"a": None, "b": 1.0, "c": None} and text.index('"a"') < text.index('"b"')
+    spark.range(2).withColumn("x", F.lit(1)).write.parquet(str(tmp_path / "one"))
+    spark.range(3).write.parquet(str(tmp_path / "two"))
+    spark.range(0).write.parquet(str(tmp_path / "none"))
+    paths = [str(tmp_path / n) for n in ("one", "gone", "none", "two")]
+    assert {(r.id, r.x) for r in files.combined(spark, paths, ["id"]).collect()} == {(0, 1), (1, 1), (2, None)}
+    assert files.combined(spark, paths[1:3]) is None
+
+
+def test_stream_of_a_folder(spark, tmp_path):
+    from geoloom.queries import STREAM_SQL, stream_spend  # noqa: F401
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    both = [sorted(map(tuple, stream_spend(spark, d).collect())) for d in (str(tmp_path), "/root/testdata/sf0.001")]
+    assert both[0] == both[1] and len(both[0]) == 10
+
+
+def test_rooftops(spark):
+    from geoloom.plans import rooftops as r
+
+    b = spark.createDataFrame([(1, "x"), (2, "x"), (3, None)], "building_id int, m string")
+    pairs = spark.createDataFrame([(1, 0.5), (1, 0.25)], "building_id int, overlap double")
+    flags = r.pv_flags(b, pairs.limit(0), pairs)
+    assert {(x.building_id, x.has_pv_mapped, x.has_pv_detected, x.detected_count, x.detected_area) for x in flags.collect()} == {(1, False, True, 2, 0.75), (2, False, False, 0, 0.0), (3, False, False, 0, 0.0)}
+    assert {(x.m, x.buildings, x.detected, x.rate) for x in r.flag_summary(flags, ["m"]).collect()} == {("x", 2, 1, 0.5), (None, 1, 0, 0.0)}
+    dets = spark.createDataFrame([(3.0, 1.0, 0.0), (500.0, 9.0, 1.0), (10.0, 10.0, 1.0), (None, 1.0, 1.0), (2.9, 1.0, 1.0)], "a double, l double, s double")
+    assert [x.a for x in r.detections_kept(dets, "a", "l", "s").collect()] == [500.0]
+    m = spark.createDataFrame([(1, "ready", 1), (2, "stale", 9), (3, "ready", None), (4, "ready", 5)], "tile_id int, manifest_status string, priority int")
+    assert [x.tile_id for x in r.by_status(m).collect()] == [4, 1, 3] and r.by_status(m, False).count() == 4
+    new = r.with_candidates(m, spark.createDataFrame([(4, 7)], "tile_id int, priority int"), ["priority"]).collect()
+    assert [(x.tile_id, x.priority) for x in new] == [(4, 7)]
+    assert r.chosen(m, "manifest_status", [F.col("tile_id")], None).first().tile_id == 1 and r.chosen(m, "manifest_status", [F.col("tile_id")], "STALE").first().tile_id == 2
+    assert r.computed_if_missing(m, {"priority": F.lit(0), "more": F.lit(1)}).columns == [*m.columns, "more"]
+    assert s.canonical_json({"b": F.lit(1), "a": s.finite(F.lit(float("nan")))}) is not None
+    row = one(spark, j=s.canonical_json({"b": F.lit(1), "a": s.finite(F.lit(float("nan")))}), k=s.coerced_list(F.lit('["x", "y"]')), m=s.coerced_map(F.lit('{"p": 1}')), n=s.coerced_map(F.lit("no")), w=s.whole_number(F.lit("3.0")), h=s.whole_number(F.lit("3.5")))
+    assert (row.j, row.k, row.m, row.n, row.w, row.h) == ('{"a":null,"b":1}', ["x", "y"], {"p": "1"}, {}, 3, None)
+
+
+def test_spatial_pairs_met(spark):
+    """Small shapes don't meet in the cells of large ones: what meets is in proportion to what is returned."""
+    import random
+
+    from geoloom.operators import spatial
+
+    rng = random.Random(1)
+    at = lambda n, w: [(i, x := rng.uniform(0, 10), y := rng.uniform(0, 10), x + w * rng.uniform(0.5, 1), y + w * rng.uniform(0.5, 1)) for i in range(n)]
+    schema = "id int, minx double, miny double, maxx double, maxy double"
+    rows = at(1500, 0.05) + [(5000 + i, *r[1:]) for i, r in enumerate(at(30, 3.0))]
+    other = at(1500, 0.04) + [(5000 + i, *r[1:]) for i, r in enumerate(at(30, 2.0))] + [(9999, -1.0, -1.0, 11.0, 11.0)]
+    left, right = (spark.createDataFrame(r, schema) for r in (rows, other))
+    want = {(a[0], b[0]) for a in rows for b in other if a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]}
+    got = [(r.a, r.b) for r in spatial.candidate_pairs(left, right, cell=0.05).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert spatial.meetings(left, right, cell=0.05).count() <= 5 * len(want)
