@@ -8,7 +8,7 @@ shingle of it, so for exact containment the necessary prefix of a window is one
 2. Order each window's shingles by that count and keep the rarest, with its position. A window that has a
    shingle of count 0 occurs nowhere and goes.
 3. Join document shingles with the prefixes. What is sent to the executors to skip other shingles early is
-   a bitmap of fixed size; the join on the shingle's text is exact.
+   a bitmap of bounded size; the join on the shingle's text is exact.
 4. From the two positions follows where the window would start. Bounds: the start isn't negative, the end
    isn't beyond the document's length.
 5. Compare the words there with the window's words.
@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 
 from .common import WORD_BYTES, ascii_lower, saved, type_of
 
-#: Slots of the bitmap, as a power of two: 2 MB, whatever the benchmark's size.
-BITMAP = 24
+#: The bitmap has about 16 slots per shingle, as a power of two between these: 8 KB to 16 MB.
+LEAST_BITS, MOST_BITS = 16, 27
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _slots(words: list[bytes], k: int) -> np.ndarray:
-    """The bitmap slot of each k-word shingle."""
+def _slots(words: list[bytes], k: int, power: int) -> np.ndarray:
+    """The bitmap slot of each k-word shingle, of 2**power."""
     n = len(words) - k + 1
     if n < 1:
         return np.empty(0, np.uint64)
@@ -45,14 +45,15 @@ def _slots(words: list[bytes], k: int) -> np.ndarray:
     total = code[:n] + np.uint64(k)
     for i in range(1, k):
         total = total * _STEP + code[i : i + n]
-    return (total * _STEP) >> np.uint64(64 - BITMAP)
+    return (total * _STEP) >> np.uint64(64 - power)
 
 
 def _places(words: list[bytes], bits: np.ndarray, sizes: list[int]) -> list[tuple[int, bytes]]:
     """Where shingles begin that may be in the bitmap, and their text."""
     found = []
+    power = len(bits).bit_length() + 2
     for k in sizes:
-        at = _slots(words, k)
+        at = _slots(words, k, power)
         for i in np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).tolist():
             found.append((i, b" ".join(words[i : i + k])))
     return found
@@ -79,18 +80,21 @@ def window_shingles(windows: DataFrame, shingle: int) -> DataFrame:
 
 
 def _bitmap(shingles: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """The bitmap and the shingle sizes. The driver gets distinct slots only, at most 2**BITMAP of them."""
+    """The bitmap, as bytes, and the shingle sizes. Slots are joined to words of 64 in partial aggregates; the driver gets the words that aren't zero, at most 16 MB of them."""
+    rows = shingles.select("shingle", "k").distinct()
+    sizes = rows.groupBy("k").count().collect()  # at most as many rows as words in a shingle
+    power = min(MOST_BITS, max(LEAST_BITS, (16 * sum(r["count"] for r in sizes)).bit_length()))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(int(_slots(w.encode().split(b" "), k)[0]), k) for w, k in zip(*(c.to_pylist() for c in batch.columns))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())], ["slot", "k"])
-
-    rows = shingles.select("shingle", "k").distinct().mapInArrow(slots, "slot long, k int").distinct().collect()
-    bits = np.zeros(1 << (BITMAP - 3), np.uint8)
-    for slot, _ in rows:
-        bits[slot >> 3] |= 1 << (slot & 7)
-    return bits, sorted({r.k for r in rows})
+            found = [int(_slots(w.encode().split(b" "), k, power)[0]) for w, k in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["slot"])
+
+    bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
+    words = rows.mapInArrow(slots, "slot long").groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(1 << (power - 6), "<i8")
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return bits.view(np.uint8), sorted(r.k for r in sizes)
 
 
 def shingle_counts(docs: DataFrame, text: str, bits, sizes: list[int]) -> DataFrame:

@@ -3,6 +3,7 @@ from geoloom.llm.common import saved
 from geoloom.llm.quality import op5_quality
 
 from .test_decontamination import brute
+from .test_jaccard import shingles, similarity
 from .test_packing import check
 from .test_simhash import closed, fingerprint
 
@@ -19,6 +20,9 @@ def test_every_stage_against_brute_force(spark, data):
     assert rows[2].keys() == rows[1].keys() and all(len(r.text) == r.n_chars and r.n_chars <= rows[1][i].n_chars for i, r in rows[2].items())
     prints = {i: fingerprint(r.text) for i, r in rows[2].items()}
     near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
+    sets = {i: shingles(r.text) for i, r in rows[2].items()}
+    alike = lambda a, b: min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and similarity(a, b) >= 0.8
+    near += [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])]
     root = closed(prints, near)
     assert rows[3].keys() == {i for i in prints if root[i] == i}
     items = [tuple(r) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
@@ -30,3 +34,17 @@ def test_every_stage_against_brute_force(spark, data):
 
 def test_run_is_its_stages(spark, data):
     assert cp.run(spark, data).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_empty_tables_and_more_columns(spark, tmp_path):
+    src = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{src}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{src}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+    clash = ["id", "key", "score", "label", "hash", "piece", "length", "sequence_id", "rank", "component_id"]
+    few = docs.orderBy("doc_id").limit(40)
+    wide = few.selectExpr("*", *(f"'x' AS {c}" for c in clash))
+    for _, stage in cp.STAGES:
+        assert sorted(map(str, stage(spark, wide, src).collect())) == sorted(map(str, stage(spark, few, src).collect()))
