@@ -22,11 +22,13 @@ SELECT n_nationkey AS county, concat('72', lpad(CAST(2 * n_nationkey + 1 AS STRI
   3e-1 * (n_nationkey % 5) - 6.75e1 AS minx, 1.2e-1 * FLOOR(n_nationkey / 5) + 1.79e1 AS miny,
   3e-1 * (n_nationkey % 5 + 1) - 6.75e1 AS maxx, 1.2e-1 * (FLOOR(n_nationkey / 5) + 1) + 1.79e1 AS maxy
 FROM {nation}""",
+    # every supplier is a tract of four block groups, side by side in its county
     "block_groups": f"""
-SELECT c.geoid AS county_geoid, concat(c.geoid, '00000', CAST(t AS STRING), CAST(b AS STRING)) AS geoid, county * 16 + t * 4 + b AS id,
-  c.minx + 7.5e-2 * t AS minx, c.miny + 3e-2 * b AS miny, c.minx + 7.5e-2 * (t + 1) AS maxx, c.miny + 3e-2 * (b + 1) AS maxy,
-  CAST(1000 + (county * 16 + t * 4 + b) % 37 AS DOUBLE) AS land_m2
-FROM {{counties}} c CROSS JOIN {_FOUR.format("t")} CROSS JOIN {_FOUR.format("b")}""",
+SELECT c.geoid AS county_geoid, concat(c.geoid, lpad(CAST(t AS STRING), 6, '0'), CAST(b AS STRING)) AS geoid, s_suppkey * 4 + b AS id,
+  c.minx + w * t AS minx, c.miny + 3e-2 * b AS miny, c.minx + w * (t + 1) AS maxx, c.miny + 3e-2 * (b + 1) AS maxy,
+  CAST(1000 + (s_suppkey * 4 + b) % 37 AS DOUBLE) AS land_m2
+FROM (SELECT s_suppkey, s_suppkey % 25 AS n, CAST(FLOOR(s_suppkey / 25) AS BIGINT) AS t, 3e-1 / (SELECT CEIL((max(s_suppkey) + 1) / 25) FROM {{supplier}}) AS w FROM {{supplier}}) s
+JOIN {{counties}} c ON c.county = s.n CROSS JOIN {_FOUR.format("b")}""",
     "buildings": """
 SELECT c_custkey AS building_id, x AS lon, y AS lat, x - w AS minx, y - w AS miny, x + w AS maxx, y + w AS maxy, c_mktsegment AS class, c_acctbal AS height
 FROM (

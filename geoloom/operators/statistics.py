@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import saved
+
 
 def weighted_mean(value: str, weight: str) -> Column:
     """Sum of value * weight by sum of weight; null if that is 0."""
@@ -37,11 +39,48 @@ def zonal_stats(pixels: DataFrame, zone: str, tile: str = "tile_id", value: str
     return out.join(pooled, zone)
 
 
+def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] = (), parts: int = 64) -> DataFrame:
+    """Per group `q`: exact percentiles of the values that aren't null, interpolated; groups without any are left out.
+
+    Equal values are counted first; then distinct ones are dealt into ranges, and running counts taken inside each
+    range: no task gets all values of a group.
+    """
+    x = F.col(value).cast("double").alias("__v")
+    values = df.where(F.col(value).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__n"))
+    dealt = saved(values.repartitionByRange(parts, *by, "__v").withColumn("__part", F.spark_partition_id()), "values")
+    w = Window.partitionBy(*by)
+    sums = dealt.groupBy(*by, "__part").agg(F.sum("__n").alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(by)), F.col("__part").alias("__p"), before.alias("__before"), F.sum("__sum").over(w).alias("__all"))
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    run = F.sum("__n").over(Window.partitionBy(*by, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = dealt.withColumn("__run", run).join(sums, same).withColumn("__last", F.col("__before") + F.col("__run") - 1).withColumn("__first", F.col("__last") - F.col("__n") + 1)
+    picks = []
+    for i, share in enumerate(shares):
+        at = F.lit(float(share)) * (F.col("__all") - 1)
+        for end, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            picks.append(F.max(F.when((F.col("__first") <= place) & (place <= F.col("__last")), F.col("__v"))).alias(f"__{end}{i}"))
+    found = rows.groupBy(*by).agg(*picks, F.max("__all").alias("__all"))
+    q = []
+    for i, share in enumerate(shares):
+        at = F.lit(float(share)) * (F.col("__all") - 1)
+        between = (F.ceil(at) - at) * F.col(f"__lo{i}") + (at - F.floor(at)) * F.col(f"__hi{i}")
+        q.append(F.when(F.ceil(at) == F.floor(at), F.col(f"__lo{i}")).otherwise(between))
+    return found.select(*by, F.array(*q).alias("q"))
+
+
 def quantile_class(df: DataFrame, value: str, k: int = 5, by: list[str] = ()) -> DataFrame:
     """df with `quantile_class` 0 to k - 1 by exact percentiles; a value at a break falls into the lower class, null stays null."""
-    breaks = F.percentile(value, F.array(*(F.lit(i / k) for i in range(1, k))))
-    cuts = df.groupBy(*by).agg(breaks.alias("__b")) if by else df.agg(breaks.alias("__b"))
-    out = df.join(cuts, list(by)) if by else df.join(F.broadcast(cuts))  # one row
+    cuts = percentiles(df, value, [i / k for i in range(1, k)], by).withColumnsRenamed({"q": "__b", **{c: f"__{c}" for c in by}})
+    if by:
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        out = df.join(cuts, same, "left").drop(*(f"__{c}" for c in by))
+    else:
+        out = df.join(F.broadcast(cuts), how="left") if not cuts.isEmpty() else df.withColumn("__b", F.lit(None).cast("array<double>"))  # one row
     above = F.aggregate(F.col("__b"), F.lit(0), lambda n, b: n + (F.col(value) > b).cast("int"))
     return out.withColumn("quantile_class", F.when(F.col(value).isNotNull(), above)).drop("__b")
 

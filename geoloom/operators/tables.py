@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import saved
+
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key."""
@@ -93,10 +95,33 @@ def top_with_forced(df: DataFrame, order: list[Column], k: int, evidence: Column
     return pool.orderBy(*order).limit(k).unionByName(named).dropDuplicates([name])
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column], parts: int = 64) -> DataFrame:
+    """df with `position` (from 0) of each row in its group, and the group's `size`, without one task for a whole group.
+
+    Rows are dealt into ranges of keys and order and written once; ranges are numbered in order, so a row's
+    position is the number of its group's rows in earlier ranges and that within its own. The order must be total.
+    """
+    dealt = saved(df.repartitionByRange(parts, *keys, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy(*keys)
+    counts = dealt.groupBy(*keys, "__part").count()
+    counts = counts.withColumn("__before", F.coalesce(F.sum("count").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("size", F.sum("count").over(w))
+    counts = counts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__part").alias("__p"), "__before", "size")
+    own = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    out = dealt.withColumn("__own", own).join(counts, same)
+    return out.withColumn("position", F.col("__before") + F.col("__own") - 1).drop("__own", "__before", "__part", "__p", *(f"__k{i}" for i in range(len(keys))))
+
+
 def balanced_sample(df: DataFrame, group: str, order: list[Column], buckets: int, per_bucket: int) -> DataFrame:
-    """Per group, the ordered rows are dealt into equal runs, and the first of each run taken."""
-    run = F.ntile(buckets).over(Window.partitionBy(group).orderBy(*order))
-    return first_per(df.withColumn("bucket", run), [group, "bucket"], order, per_bucket)
+    """Per group, the ordered rows are dealt into equal runs (the first ones longer by one where it doesn't come out even), and the first of each run taken."""
+    at, short = F.col("position"), F.floor(F.col("size") / buckets)
+    more = F.col("size") % buckets
+    long = at < more * (short + 1)
+    run = F.when(long, F.floor(at / (short + 1))).otherwise(F.floor((at - more * (short + 1)) / F.greatest(short, F.lit(1))) + more)
+    place = F.when(long, at % (short + 1)).otherwise((at - more * (short + 1)) % F.greatest(short, F.lit(1)))
+    return numbered(df, [group], order).withColumn("bucket", (run + 1).cast("int")).where(place < per_bucket).drop("position", "size")
 
 
 def balanced_cap(df: DataFrame, group: str, order: list[Column], most: int) -> DataFrame:

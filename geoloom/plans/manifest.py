@@ -9,6 +9,7 @@ from ..functions.geometry import hex_cell, hex_centre, to_utm
 from ..functions.scalars import equal_area_radius, lookup
 from ..operators.spatial import dominant_per_cell
 from ..operators.tables import first_per, first_values, updated
+from ..sources.files import saved
 
 #: Imagery qualities from best to worst.
 QUALITY_RANK = {"HIGH": 0, "MEDIUM": 1, "LOW": 2, "BASE": 3}
@@ -114,7 +115,7 @@ def within_budget(manifest: DataFrame, order: list[str], costs: Column, cap: int
     plain = [c for c, t in manifest.dtypes if not t.startswith("map")]
     rows = manifest.withColumn("__cost", F.coalesce(costs.cast("double"), F.lit(0.0))).withColumn("__tie", F.xxhash64(*plain))
     keys = [*order, "__tie"]
-    dealt = rows.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id())
+    dealt = saved(rows.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "ranges")
     bounds = dealt.groupBy("__part").agg(F.sum("__cost").alias("__sum"))  # ranges are numbered in order
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     bounds = bounds.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0.0))).where(F.col("__before") < cap).drop("__sum")

@@ -189,7 +189,11 @@ def value_classes(spark, d) -> DataFrame:
     """Buildings by quintile of height, and the range that a map would show."""
     b = fixture(spark, d, "buildings").select("building_id", "class", F.col("height").cast("double").alias("height"))
     out = statistics.quantile_class(b, "height")
-    return out.groupBy("quantile_class").agg(F.count("*").alias("n"), *(_r(c, 3).alias(n) for c, n in zip(statistics.robust_range("height"), ("low", "high"))), *(_r(c, 3).alias(n) for c, n in zip(statistics.area_stats("height"), ("min", "mean", "p50", "p90", "max"))))
+    q = statistics.percentiles(out, "height", [0.05, 0.5, 0.9, 0.95], ["quantile_class"])
+    all_ = out.groupBy("quantile_class").agg(F.count("*").alias("n"), *(f("height").alias(f.__name__) for f in (F.min, F.max)), F.avg("height").alias("mean"), F.count("height").alias("known"))
+    many = lambda i, c: F.when(F.col("known") >= 10, F.col("q")[i]).otherwise(F.col(c))
+    wanted = {"low": many(0, "min"), "high": many(3, "max"), "min": F.col("min"), "mean": F.col("mean"), "p50": F.col("q")[1], "p90": F.col("q")[2], "max": F.col("max")}
+    return all_.join(q, all_.quantile_class.eqNullSafe(q.quantile_class), "left").select(all_.quantile_class, "n", *(_r(c, 3).alias(n) for n, c in wanted.items()))
 
 
 CLASS_SQL = """
@@ -211,9 +215,9 @@ def morans(spark, d) -> DataFrame:
 MORAN_SQL = """
 WITH v AS (SELECT g.*, a.population p, avg(a.population) OVER (PARTITION BY county_geoid) m FROM {block_groups} g JOIN {acs} a ON a.bg_geoid = g.geoid),
 e AS (SELECT a.county_geoid c, a.geoid, a.p - a.m za, b.p - b.m zb, 1.0 / count(*) OVER (PARTITION BY a.geoid) w FROM v a JOIN v b ON a.county_geoid = b.county_geoid AND a.geoid <> b.geoid
-  AND abs(a.minx - b.minx) < 0.08 AND abs(a.miny - b.miny) < 0.035),
+  AND abs(a.minx - b.minx) < 1.05 * (a.maxx - a.minx) AND abs(a.miny - b.miny) < 0.035),
 n AS (SELECT county_geoid c, count(*) n, sum((p - m) * (p - m)) zz FROM v GROUP BY 1)
-SELECT n.c county_geoid, n.n, round(n.n * sum(w * za * zb) / (sum(w) * any_value(zz)), 6) moran_i FROM e JOIN n ON e.c = n.c GROUP BY 1, 2"""
+SELECT n.c county_geoid, n.n, round(n.n * sum(w * za * zb) / (sum(w) * any_value(zz)), 6) moran_i FROM e JOIN n ON e.c = n.c WHERE n.n >= 5 GROUP BY 1, 2"""
 
 
 def quarters(spark, d) -> DataFrame:
@@ -372,15 +376,15 @@ SELECT list_contains(w, 'brass') AND NOT list_contains(w, 'small') kept, count(*
 
 
 def grid_tiles(spark, d) -> DataFrame:
-    """Tiles of a regular grid whose disk meets a county."""
-    c = fixture(spark, d, "counties")
-    return manifest.grid_tiles(c, area_id="geoid", spacing=0.0625, radius=0.03125).groupBy("geoid").agg(F.count("*").alias("tiles"), F.max("tile_id").alias("last_tile"))
+    """Tiles of a regular grid whose disk meets a block group."""
+    c = fixture(spark, d, "block_groups")
+    return manifest.grid_tiles(c, area_id="geoid", spacing=0.015625, radius=0.0078125).groupBy("geoid").agg(F.count("*").alias("tiles"), F.max("tile_id").alias("last_tile"))
 
 
 TILE_SQL = """
-WITH g AS (SELECT geoid, minx, miny, maxx, maxy, unnest(range(CAST(floor((minx - 0.03125) / 0.0625) AS BIGINT), CAST(ceil((maxx + 0.03125) / 0.0625) AS BIGINT) + 1)) i FROM {counties}),
-h AS (SELECT *, unnest(range(CAST(floor((miny - 0.03125) / 0.0625) AS BIGINT), CAST(ceil((maxy + 0.03125) / 0.0625) AS BIGINT) + 1)) j FROM g),
-k AS (SELECT geoid FROM h WHERE power(greatest(minx - i * 0.0625::DOUBLE, 0, i * 0.0625::DOUBLE - maxx), 2) + power(greatest(miny - j * 0.0625::DOUBLE, 0, j * 0.0625::DOUBLE - maxy), 2) <= 0.03125 * 0.03125)
+WITH g AS (SELECT geoid, minx, miny, maxx, maxy, unnest(range(CAST(floor((minx - 0.0078125) / 0.015625) AS BIGINT), CAST(ceil((maxx + 0.0078125) / 0.015625) AS BIGINT) + 1)) i FROM {block_groups}),
+h AS (SELECT *, unnest(range(CAST(floor((miny - 0.0078125) / 0.015625) AS BIGINT), CAST(ceil((maxy + 0.0078125) / 0.015625) AS BIGINT) + 1)) j FROM g),
+k AS (SELECT geoid FROM h WHERE power(greatest(minx - i * 0.015625::DOUBLE, 0, i * 0.015625::DOUBLE - maxx), 2) + power(greatest(miny - j * 0.015625::DOUBLE, 0, j * 0.015625::DOUBLE - maxy), 2) <= 0.0078125 * 0.0078125)
 SELECT geoid, count(*) tiles, geoid || '_t' || lpad(CAST(count(*) - 1 AS VARCHAR), 4, '0') last_tile FROM k GROUP BY 1"""
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -28,6 +29,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: computed once, with the same partitions for all that use it."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parquet_stream(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table, one file or a folder of files, as a stream of its files; new ones in a folder follow."""
     schema = spark.read.parquet(path).schema
