@@ -54,3 +54,16 @@ def test_strength_follows_the_data(spark):
     apart = spark.createDataFrame([(100, 5_000_000), (100, 95_000_000)] * 10, "n long, s long")
     m = F.lit(500_000.0)
     assert op.strength(alike, m) == 1e6 and op.strength(apart, m) < 2
+
+
+def test_strength_against_the_formula(spark):
+    import random
+
+    rng = random.Random(8)
+    groups = [(n := rng.randrange(1, 50), rng.randrange(n * 1_000_000)) for _ in range(60)]
+    mean = 400_000.0
+    m, used = mean / 1e6, [(n, s) for n, s in groups if n > 1]
+    apart = sum(n * (s / n / 1e6 - m) ** 2 for n, s in used)
+    chance, spread = len(used) * m * (1 - m), sum(n * m * (1 - m) for n, _ in used)
+    want = min(1e6, max(1.0, spread / (apart - chance) - 1))
+    assert op.strength(spark.createDataFrame(groups, "n long, s long"), F.lit(mean)) == pytest.approx(want)

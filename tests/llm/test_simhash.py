@@ -83,3 +83,11 @@ def test_large_group_of_copies(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one text that many have in common").otherwise(F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 256))).alias("text"))
     rows = op.near_duplicates(df)
     assert rows.where("component_id = 0").count() == 1000 and rows.count() == 3000
+
+
+def test_registered_query_against_brute_force(spark, data):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    prints = {i: fingerprint(t) for i, t in texts.items()}
+    root = closed(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2])
+    rows = op.op6_simhash(spark, data).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in rows} == {i: (f"{p:016x}", root[i]) for i, p in prints.items()}
