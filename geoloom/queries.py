@@ -120,6 +120,34 @@ def occupied_cells(spark, d) -> DataFrame:
     return cells.groupBy("class").agg(F.count("*").alias("cells"), F.sum("building_count").alias("buildings"), F.sum(F.col("crosses_boundary").cast("int")).alias("crossing"))
 
 
+def _hexagon_sql(edge_m: float) -> str:
+    """SQL for the hexagon (q, r) of each building: UTM by the series that `to_utm` names, then cube rounding."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    size = 6_378_137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
+    series = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    k = 2 * n**0.5 / (1 + n)
+    num = lambda v: f"{v!r}::DOUBLE"
+    north = " + ".join(f"sin({2 * j} * xi) * cosh({2 * j} * eta) * {num(c)}" for j, c in enumerate(series, 1))
+    east = " + ".join(f"cos({2 * j} * xi) * sinh({2 * j} * eta) * {num(c)}" for j, c in enumerate(series, 1))
+    return f"""
+h0 AS (SELECT class, sin(radians(lat)) s, radians(lon + 69) a FROM {{buildings}}),
+h1 AS (SELECT class, sinh(atanh(s) - atanh(s * {num(k)}) * {num(k)}) t, a FROM h0),
+h2 AS (SELECT class, atan2(t, cos(a)) xi, atanh(sin(a) / sqrt(t * t + 1)) eta FROM h1),
+h3 AS (SELECT class, (eta + {east}) * {num(size)} + 500000 x, (xi + {north}) * {num(size)} y FROM h2),
+h4 AS (SELECT class, (x * sqrt(3) / 3 - y / 3) / {num(edge_m)} q, y * 2 / 3 / {num(edge_m)} r FROM h3),
+h5 AS (SELECT class, q, r, round(q) a, round(r) b, round(-q - r) c FROM h4),
+h6 AS (SELECT class, a, b, c, abs(a - q) da, abs(b - r) db, abs(c + q + r) dc FROM h5),
+hexagons AS (SELECT class, CASE WHEN da > db AND da > dc THEN -b - c ELSE a END q, CASE WHEN da > db AND da > dc THEN b WHEN db > dc THEN -a - c ELSE b END r FROM h6)"""
+
+
+CELLS_SQL = f"""
+WITH {_hexagon_sql(4000.0)},
+n AS (SELECT q, r, class, count(*) n FROM hexagons GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY q, r ORDER BY n DESC, class) i, sum(n) OVER (PARTITION BY q, r) t FROM n)
+SELECT class, count(*) cells, CAST(sum(t) AS BIGINT) buildings, count(*) FILTER (t > n) crossing FROM k WHERE i = 1 GROUP BY 1"""
+
+
 def grid_dominant(spark, d) -> DataFrame:
     """The dominant class per square cell, by the same operator as for hexagons."""
     b = fixture(spark, d, "buildings").withColumns({"i": F.floor(F.col("lon") / 0.05), "j": F.floor(F.col("lat") / 0.05)})
@@ -461,7 +489,7 @@ _ALL = {
     "panel_attribution": (panel_attribution, ATTRIBUTION_SQL),
     "polygon_overlap": (polygon_overlap, POLYGON_SQL),
     "tag_filter": (tag_filter, TAG_SQL),
-    "occupied_cells": (occupied_cells, None),
+    "occupied_cells": (occupied_cells, CELLS_SQL),
     "grid_dominant": (grid_dominant, GRID_SQL),
     "urban_rollup": (urban_rollup, URBAN_SQL),
     "vintages": (vintages, VINTAGE_SQL),
