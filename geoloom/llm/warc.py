@@ -67,9 +67,11 @@ def with_originals(pages: DataFrame, page_id: str, url: str, html: str, min_byte
     payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page_id).alias("page"), F.col(url).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
-    first = rows.groupBy("sha", "bytes").agg(F.max("page").alias("original"))
+    # a table of payloads that repeat: if it is small, or a payload hot, the payloads themselves need not be dealt by it
+    first = rows.groupBy("sha", "bytes").agg(F.max("page").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = saved(first, "originals")
     refers = F.when((F.col("bytes") >= min_bytes) & F.col("original").isNotNull() & ~F.col("page").eqNullSafe(F.col("original")), F.col("original"))
-    return rows.join(first, ["sha", "bytes"]).select("page", "url", "payload", refers.alias("refers_to"))
+    return rows.join(first, ["sha", "bytes"], "left").select("page", "url", "payload", refers.alias("refers_to"))
 
 
 def write_archives(
