@@ -1,8 +1,8 @@
 """Spatial joins as equi-joins on grid cells, then an exact test on the pairs that are left.
 
 Tables have an id and minx, miny, maxx, maxy; general polygons also `geom`. Cells come in levels, each twice as
-wide as the one below. A shape's own level is that at which it is between one and two cells wide, so its box
-covers few cells of it. A pair meets at the higher of the two shapes' own levels, which is part of the key: the
+wide as the one below. A shape's own level is that at which it is between two and four cells wide (the lowest, if
+it is smaller), so its box covers few cells of it, and these little besides. A pair meets at the higher of the two shapes' own levels, which is part of the key: the
 shape of that level is listed there and nowhere else, the other also at each higher level that the other table
 has shapes of. (Those levels, at most `levels`, are looked up first.) So small shapes never meet in cells of
 large ones, and a pair counts only in the cell of the lower left corner of the boxes' intersection: once,
@@ -22,7 +22,7 @@ from ..functions import geometry as g
 
 def _levelled(df: DataFrame, cell: float, levels: int) -> DataFrame:
     span = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
-    own = F.ceil(F.log2(F.greatest(span / cell, F.lit(1.0)))) - 1
+    own = F.ceil(F.log2(F.greatest(span / cell, F.lit(1.0)))) - 2
     return df.where("minx <= maxx AND miny <= maxy").withColumn("__own", F.least(F.lit(levels - 1), F.greatest(F.lit(0), own)).cast("int"))
 
 

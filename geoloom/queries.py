@@ -25,7 +25,7 @@ def _r(c, digits: int = 6):
 
 def _buildings_in(spark, d, areas: DataFrame, area_id: str) -> DataFrame:
     b = fixture(spark, d, "buildings")
-    return spatial.points_within(b, areas, point_id="building_id", area_id=area_id, x="lon", y="lat", cell=0.02, boxes=True)
+    return spatial.points_within(b, areas, point_id="building_id", area_id=area_id, x="lon", y="lat", cell=0.005, boxes=True)
 
 
 def pv_by_block_group(spark: SparkSession, d: str) -> DataFrame:
@@ -449,7 +449,7 @@ def scorecard(spark, d) -> DataFrame:
     b = fixture(spark, d, "buildings")
     inside = _buildings_in(spark, d, c, "geoid").groupBy("geoid").agg(F.count("*").alias("buildings"))
     urban = fixture(spark, d, "blocks").where(F.col("id") % 3 != 0).groupBy(census.parent(F.col("block_geoid"), "county").alias("geoid")).agg(F.sum("pop").alias("urban_pop"))
-    with_b = spatial.flag_intersecting(bg, spatial.points_within(b, bg, point_id="building_id", area_id="geoid", x="lon", y="lat", cell=0.02, boxes=True), left_id="geoid", flag="has")
+    with_b = spatial.flag_intersecting(bg, spatial.points_within(b, bg, point_id="building_id", area_id="geoid", x="lon", y="lat", cell=0.005, boxes=True), left_id="geoid", flag="has")
     share = with_b.groupBy(F.col("county_geoid").alias("geoid")).agg(F.sum(F.col("has").cast("int")).alias("block_groups_with"))
     return imagery.scorecard(c.select("geoid", "name"), "geoid", [inside, urban, share])
 
