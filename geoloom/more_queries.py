@@ -268,7 +268,29 @@ WITH RECURSIVE w AS (
 SELECT level, 'catalog' kind, count(*) n FROM w GROUP BY 1
 UNION ALL SELECT level + 1, 'item', count(*) FROM w WHERE k % 7 <> 0 AND k % 3 = 0 GROUP BY 1"""
 
+def catalog_rows(spark, d) -> DataFrame:
+    """Items in the catalog's columns."""
+    n, k = F.col("p_size"), F.col("p_partkey")
+    asset = lambda name, href, *roles: F.struct(name.alias("name"), href.alias("href"), F.lit("x").alias("title"), F.array(*map(F.lit, roles)).alias("roles"))
+    prop = {"gsd": (n / 100).cast("string"), "proj:code": F.when(k % 2 == 0, "EPSG:3857"), "proj:epsg": F.when(k % 2 == 1, "26920"), "license": F.when(k % 3 > 0, "CC").otherwise(" "), "cloud_cover": F.when(k % 5 > 0, (k % 5).cast("string")).otherwise("none")}
+    items = fixture(spark, d, "part").select(
+        k.cast("string").alias("id"), F.lit("c1").alias("collection"), F.create_map(*(x for key, v in prop.items() for x in (F.lit(key), v))).alias("properties"), F.array(*(n.cast("double") + i for i in range(4))).alias("bbox"),
+        F.array(
+            asset(F.lit("thumb-1"), F.lit("t.png"), "overview"), asset(F.when(n % 2 == 0, "visual").otherwise("pan"), F.when(n % 7 > 0, "v.png"), "other"), asset(F.lit("nir"), F.lit("n.png"), "Data"),
+            asset(F.lit("preview"), F.when(n % 3 > 0, "p.png"), "overview"),
+        ).alias("assets"),
+    )
+    out = catalog.catalog_rows(items, "parts", "static")
+    return out.select("item_id", "collection_id", "gsd", "proj_epsg", "license", "cloud_cover", "item_type", "primary_asset_name", "visual_asset_name", "analytic_asset_href", "preview_asset_name", "thumbnail_asset_name", "asset_count", "available_asset_names", "bbox_minx", "bbox_maxy")
+
+
+ROWS_SQL = """
+SELECT CAST(p_partkey AS VARCHAR) item_id, 'c1' collection_id, p_size / 100 gsd, CASE WHEN p_partkey % 2 = 0 THEN 3857 ELSE 26920 END proj_epsg, CASE WHEN p_partkey % 3 > 0 THEN 'CC' END license, CASE WHEN p_partkey % 5 > 0 THEN CAST(p_partkey % 5 AS DOUBLE) END cloud_cover, 'Feature' item_type,
+  'nir' primary_asset_name, CASE WHEN p_size % 2 = 0 AND p_size % 7 > 0 THEN 'visual' ELSE 'nir' END visual_asset_name, 'n.png' analytic_asset_href, CASE WHEN p_size % 3 > 0 THEN 'preview' END preview_asset_name, 'thumb-1' thumbnail_asset_name, 4 asset_count,
+  CASE WHEN p_size % 2 = 0 THEN '["nir","preview","thumb-1","visual"]' ELSE '["nir","pan","preview","thumb-1"]' END available_asset_names, CAST(p_size AS DOUBLE) bbox_minx, CAST(p_size + 3 AS DOUBLE) bbox_maxy FROM part"""
+
 _ALL = {
+    "catalog_rows": (catalog_rows, ROWS_SQL),
     "pv_flags": (pv_flags, FLAG_SQL),
     "detection_filter": (detection_filter, DETECTION_SQL),
     "raster_cascade": (raster_cascade, CASCADE_SQL),

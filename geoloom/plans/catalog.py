@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import envelope
 from ..functions.scalars import resolve_href, timestamp
 from ..operators.tables import first_per
 
@@ -80,6 +81,58 @@ def normalised_items(items: DataFrame, source: str, *, exact: list[str], roles:
     )
 
 
+#: By kind of asset the exact names, roles, keywords and blocked words of its choice.
+LADDERS = {
+    "primary": ([], ["data"], ["visual", "analytic", "image", "rgb"], ["thumbnail", "preview"]),
+    "visual": (["visual", "image"], ["visual"], ["visual", "rgb"], ["thumbnail", "preview", "analytic"]),
+    "analytic": (["analytic", "data"], ["data"], ["analytic", "cog", "ortho", "ms", "nir"], ["thumbnail", "preview", "visual"]),
+    "preview": (["preview"], [], ["preview", "overview"], []),
+    "thumbnail": (["thumbnail"], [], ["thumbnail", "thumb"], []),
+}
+
+#: Columns and the names under which items have them.
+TEXTS = {"item_id": ("id",), "collection_id": ("collection",), "stac_version": ("stac_version",), "license": ("license",), "platform": ("platform",), "constellation": ("constellation",), "grid_code": ("grid:code",), "proj_code": ("proj:code",)}
+NUMBERS = {"gsd": ("gsd", "eo:gsd", "proj:gsd"), "cloud_cover": ("eo:cloud_cover", "cloud_cover"), "view_off_nadir": ("view:off_nadir", "sat:off_nadir")}
+
+
+def catalog_rows(items: DataFrame, source: str, strategy: str) -> DataFrame:
+    """The catalog's columns for items of any source: ids, time, texts, numbers, projection, five chosen assets, asset names, box.
+
+    The box is bbox's or, without a usable one, that of `geom`; items with neither are left out. Blank texts and
+    numbers that don't parse are null. The primary asset stands in for a missing visual one.
+    """
+    c = items.columns
+    text = lambda *names: F.nullif(F.trim(extracted(c, *names)), F.lit(""))
+    assets = F.col("assets") if "assets" in c else F.lit(None).cast("array<struct<name:string,href:string,title:string,roles:array<string>>>")
+    chosen = {k: picked_asset(assets, *ladder, fallback=k == "primary") for k, ladder in LADDERS.items()}
+    corners = bounds(F.col("bbox")) if "bbox" in c else dict.fromkeys(("minx", "miny", "maxx", "maxy"), F.lit(None).cast("double"))
+    if "geom" in c:
+        corners = {k: F.when(corners["maxy"].isNotNull(), v).otherwise(envelope(F.col("geom"))[k]) for k, v in corners.items()}
+    out = items.withColumns({f"__{k}": v for k, v in chosen.items()})
+    picked = lambda kind, part: F.col(f"__{kind}")[part]
+    names = {}
+    for kind in LADDERS:
+        for part in ("name", "href"):
+            names[f"{kind}_asset_{part}"] = F.coalesce(picked(kind, part), picked("primary", part)) if kind == "visual" else picked(kind, part)
+    code = text("proj:code")
+    epsg = F.coalesce(text("proj:epsg", "epsg").try_cast("double").cast("int"), F.regexp_extract(code, "(?i)^EPSG:([0-9]+)$", 1).try_cast("int"))
+    rows = out.select(
+        F.lit(source).alias("source"),
+        F.lit(strategy).alias("strategy"),
+        *(text(*n).alias(k) for k, n in TEXTS.items()),
+        *(text(*n).try_cast("double").alias(k) for k, n in NUMBERS.items()),
+        F.coalesce(text("type"), F.lit("Feature")).alias("item_type"),
+        timestamp(text("datetime", "start_datetime")).alias("acquired_at"),
+        epsg.alias("proj_epsg"),
+        (self_link(text("self_href"), F.col("links")) if "links" in c else text("self_href")).alias("self_href"),
+        *(v.alias(k) for k, v in names.items()),
+        F.greatest(F.coalesce(F.size(assets), F.lit(0)), F.lit(0)).alias("asset_count"),
+        F.coalesce(F.to_json(F.array_sort(F.transform(assets, lambda a: a["name"]))), F.lit("[]")).alias("available_asset_names"),
+        *(v.alias(f"bbox_{k}") for k, v in corners.items()),
+    )
+    return rows.where("bbox_minx IS NOT NULL AND bbox_miny IS NOT NULL AND bbox_maxx IS NOT NULL AND bbox_maxy IS NOT NULL")
+
+
 def consolidated(sources: dict[str, Callable[[], DataFrame]], empty: DataFrame) -> tuple[DataFrame, list[tuple[str, str, int]]]:
     """Union of sources, of rows with equal (source, item_id) the latest; and (source, note, rows) each. A source that fails gives no rows and its error as note."""
     parts, notes = [empty], []
