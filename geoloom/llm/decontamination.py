@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_BYTES, ascii_lower, saved, type_of
 
-#: The bitmap has about 16 slots per shingle, as a power of two between these: 8 KB to 16 MB.
+#: The bitmap has about a thousand slots per shingle, so few others pass, as a power of two between these: 8 KB to 16 MB.
 LEAST_BITS, MOST_BITS = 16, 27
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,7 +83,7 @@ def _bitmap(shingles: DataFrame) -> tuple[np.ndarray, list[int]]:
     """The bitmap, as bytes, and the shingle sizes. Slots are joined to words of 64 in partial aggregates; the driver gets the words that aren't zero, at most 16 MB of them."""
     rows = shingles.select("shingle", "k").distinct()
     sizes = rows.groupBy("k").count().collect()  # at most as many rows as words in a shingle
-    power = min(MOST_BITS, max(LEAST_BITS, (16 * sum(r["count"] for r in sizes)).bit_length()))
+    power = min(MOST_BITS, max(LEAST_BITS, (1024 * sum(r["count"] for r in sizes)).bit_length()))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
