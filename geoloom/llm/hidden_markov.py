@@ -287,7 +287,7 @@ def expectations(m: Model, sequences: list[np.ndarray], start: np.ndarray, move:
     return total
 
 
-def groups(sequences: list[np.ndarray], tokens: int = 500_000) -> Iterator[list[int]]:
+def groups(sequences: list[np.ndarray], tokens: int = 300_000) -> Iterator[list[int]]:
     """Numbers of sequences of like length, without empty ones, in groups that bound memory."""
     order = sorted((i for i in range(len(sequences)) if len(sequences[i])), key=lambda i: -len(sequences[i]))
     group: list[int] = []
@@ -316,7 +316,7 @@ def encoded(docs: DataFrame, vocab, *, doc_id: str, text: str, held: Column) ->
         end_count = int(v.weights[-1])
         kind = class_type(len(v.weights))
         for batch in batches:
-            for first, texts in runs(batch.column("text").to_pylist()):
+            for first, texts in runs(batch.column("text").to_pylist(), 8 << 20):
                 words, at, n = tokens_of(texts)
                 tokens = words.to_pylist()
                 place = v.places(tokens)
