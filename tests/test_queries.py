@@ -1,13 +1,16 @@
 import pytest
 
-from geoloom import queries
+from geoloom import more_queries, queries
 
 
-@pytest.mark.parametrize("name", list(queries.QUERIES))
+QUERIES, ORACLE_SQL = queries.QUERIES | more_queries.QUERIES, queries.ORACLE_SQL | more_queries.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, data, same, name):
-    df = queries.QUERIES[name](spark, data)
-    if name in queries.ORACLE_SQL:
-        same(df, queries.ORACLE_SQL[name])
+    df = QUERIES[name](spark, data)
+    if name in ORACLE_SQL:
+        same(df, ORACLE_SQL[name])
     else:
         assert df.count() > 0
 
