@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontamination import OP1_SQL, op1_decontamination
+from .fill_in_middle import OP11_SQL, op11_fill_in_middle
+from .filter_audit import OP12_SQL, op12_filter_audit
 from .hidden_markov import op10_language_model
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .neighbours import OP7_SQL, op7_nearest
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_language_model": op10_language_model,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -31,4 +35,6 @@ ORACLE_SQL = {
     "op2_line_dedup": OP2_SQL,
     "op7_nearest": OP7_SQL,
     "op8_warc": OP8_SQL,
+    "op11_fill_in_middle": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
