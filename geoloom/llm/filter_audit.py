@@ -25,6 +25,7 @@ tables give no rows. Columns other than those named are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import permutations
 
@@ -161,8 +162,9 @@ def interactions(flags: DataFrame, labels: DataFrame, *, label_id: str = "doc_id
     for order in permutations(range(len(FILTERS))):
         for k, i in enumerate(order):
             before = sum(1 << j for j in order[:k])
-            steps.append(F.struct(F.lit("".join(FILTERS[j] for j in order)).alias("filter_order"), F.lit(k + 1).alias("step"), F.lit(i).alias("i"), F.lit(before).alias("before"), F.lit(before | 1 << i).alias("after")))
-    rows = counted.withColumn("s", F.explode(F.array(*steps)))
+            steps.append({"filter_order": "".join(FILTERS[j] for j in order), "step": k + 1, "i": i, "before": before, "after": before | 1 << i})
+    kind = "array<struct<filter_order:string,step:int,i:int,before:int,after:int>>"
+    rows = counted.withColumn("s", F.explode(F.from_json(F.lit(json.dumps(steps)), kind)))
     removed = lambda of: F.get(f"left_{of}", "s.before") - F.get(f"left_{of}", "s.after")
     of_filter = lambda c: F.get(c, "s.i")
     return rows.select(
