@@ -6,6 +6,7 @@ from .decontamination import OP1_SQL, op1_decontamination
 from .fill_in_middle import OP11_SQL, op11_fill_in_middle
 from .filter_audit import OP12_SQL, op12_filter_audit
 from .hidden_markov import op10_language_model
+from .language_id import op13_language_id
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .neighbours import OP7_SQL, op7_nearest
 from .packing import op4_best_fit_packing
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_language_model": op10_language_model,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_filter_audit": op12_filter_audit,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLE_SQL = {
