@@ -1,11 +1,12 @@
 """How five filters on documents act together, in every order, from a sparse document-term matrix.
 
-The matrix is built in shards of about 8 MB of text. A task reads a run of texts, finds the run's distinct words,
+The matrix is built in shards of about 4 MB of text. A task reads a run of texts, finds the run's distinct words,
 and writes the counts as compressed sparse rows (`indptr`, `indices`, `data`) over the run's own word numbers,
-with the list of these words. The distinct words of all shards are the global dictionary: each gets a number of
-its own, 0 to V - 1. Only words and numbers are shuffled for that, once per shard and word, however often a word
-occurs. Each shard is then rewritten to the global numbers. Its rows' sums are the documents' words, its rows'
-stored entries their distinct words; these decide A and B. The other flags come with the shard:
+with the list of these words, dealt into `buckets` by hash. For the global dictionary the buckets of all shards
+meet, so a word is sent once per shard, however often it occurs, and a bucket is a small part of the vocabulary;
+each word gets a number of its own there, 0 to V - 1 over all buckets. Each shard is then rewritten to the global
+numbers. Its rows' sums are the documents' words, its rows' stored entries their distinct words; these decide A
+and B. The other flags come with the shard:
 
 - A: under `min_words` words; B: 100 * distinct words < `distinct_percent` * words;
 - C: 100 * characters A-Z > `upper_percent` * code points; D: any of `symbols`;
@@ -31,6 +32,7 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,8 +55,20 @@ def sparse_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return np.searchsorted(row, np.arange(len(texts) + 1)), column, data, words
 
 
-def term_shards(docs: DataFrame, *, doc_id: str, text: str, part: str, symbols: str) -> DataFrame:
-    """Shards over their own words: shard, docs (id, part, upper, chars, symbol, digest), indptr, indices, data (int32 bytes), words."""
+_BYTES, _PLACES = np.random.default_rng(12).integers(0, 1 << 64, (2, 256), np.uint64)
+
+
+def bucket_of(words: pa.LargeBinaryArray, buckets: int) -> np.ndarray:
+    """For each word, none of them empty, its bucket, by a hash of its bytes."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    read = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    place = np.arange(len(read)) - np.repeat(offsets[:-1] - offsets[0], np.diff(offsets))
+    code = np.add.reduceat(_BYTES[read] * _PLACES[place % 256], offsets[:-1] - offsets[0]) if len(words) else np.empty(0, np.uint64)
+    return ((code ^ (code >> np.uint64(31))) % np.uint64(buckets)).astype(np.int64)
+
+
+def term_shards(docs: DataFrame, *, doc_id: str, text: str, part: str, symbols: str, buckets: int) -> DataFrame:
+    """Shards over their own words: shard, docs (id, part, upper, chars, symbol, digest), indptr, indices, data (int32 bytes), words by bucket."""
     kind = type_of(docs, doc_id)
     of_docs = f"array<struct<id:{kind},part:string,upper:long,chars:long,symbol:boolean,digest:binary>>"
     capital, marks = _bytes_in("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _bytes_in(symbols)
@@ -63,75 +77,105 @@ def term_shards(docs: DataFrame, *, doc_id: str, text: str, part: str, symbols:
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, task = 0, TaskContext.get().partitionId()
         for batch in batches:
-            for first, run in runs(batch.column("text").to_pylist(), 8 << 20):
+            for first, run in runs(batch.column("text").to_pylist(), 4 << 20):
                 read = np.frombuffer(b" ".join(run) + b" ", np.uint8)
                 start = np.concatenate([[0], np.cumsum(np.fromiter(map(len, run), np.int64, len(run)) + 1)])[:-1]
                 count = lambda table: np.add.reduceat(table[read], start, dtype=np.int64)  # noqa: E731, B023
                 chars = np.diff(np.append(start, len(read))) - 1 - count(later)
                 indptr, indices, data, words = sparse_rows(run)
+                bucket = bucket_of(words, buckets)
+                order = np.argsort(bucket, kind="stable")  # the shard's words go by bucket
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                indices = rank[indices]
+                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                by_bucket = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.take(pa.array(order)).cast(pa.binary()))
                 own = [batch.column(c)[first : first + len(run)] for c in ("id", "part", "digest")]
                 rows = pa.StructArray.from_arrays([own[0], own[1], pa.array(count(capital)), pa.array(chars), pa.array(count(marks) > 0), own[2]], ["id", "part", "upper", "chars", "symbol", "digest"])
                 whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
                 blob = lambda x: pa.array([x.astype("<i4").tobytes()], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{number}"]), whole(rows), blob(indptr), blob(indices), blob(data), whole(words.cast(pa.binary()))], ["shard", "docs", "indptr", "indices", "data", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{number}"]), whole(rows), blob(indptr), blob(indices), blob(data), whole(by_bucket)], ["shard", "docs", "indptr", "indices", "data", "words"])
                 number += 1
 
     whole = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), whole.alias("text"), F.unhex(F.sha2(whole, 256)).alias("digest"))
-    return rows.mapInArrow(of_batches, f"shard string, docs {of_docs}, indptr binary, indices binary, data binary, words array<binary>")
-
-
-def numbered_words(shards: DataFrame) -> DataFrame:
-    """word, term: the distinct words of all shards, numbered from 0 without gaps.
-
-    Words get their place in their partition when they are written; partitions are counted, and start where those before end.
+    return rows.mapInArrow(of_batches, f"shard string, docs {of_docs}, indptr binary, indices binary, data binary, words array<array<binary>>")
+
+
+def numbered_words(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each shard and bucket the words' global numbers (shard, bucket, start, terms: int32 bytes, to be added to start); and the dictionary (word, term)."""
+    lists = shards.select("shard", F.posexplode("words").alias("bucket", "words"))
+
+    def of_bucket(table: pa.Table) -> pa.Table:
+        lists = table.column("words").combine_chunks()
+        words = pc.list_flatten(lists).dictionary_encode()
+        number = words.indices.to_numpy().astype("<i4").tobytes()
+        ends = 4 * np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        terms = [number[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())] + [None]
+        shard = pa.concat_arrays([table.column("shard").combine_chunks(), pa.nulls(1, pa.string())])
+        listed = pa.array([None] * table.num_rows + [words.dictionary.to_pylist()], pa.list_(pa.binary()))  # the bucket's own row
+        bucket = pa.array(np.full(len(terms), table.column("bucket")[0].as_py()), pa.int32())
+        return pa.table([shard, bucket, pa.array(terms, pa.binary()), listed], ["shard", "bucket", "terms", "words"])
+
+    found = saved(lists.groupBy("bucket").applyInArrow(of_bucket, "shard string, bucket int, terms binary, words array<binary>"), "terms")
+    sizes = found.where("shard IS NULL").select("bucket", F.size("words").alias("n"))  # a row per bucket
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    start = sizes.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    found = found.join(F.broadcast(saved(start, "starts")), "bucket")
+    word = F.substring(F.col("w.col"), F.lit(1), F.octet_length("w.col") - 1)  # without the blank at its end
+    words = found.where("shard IS NULL").select("start", F.explode(F.transform("words", lambda x, i: F.struct(i.alias("pos"), x.alias("col")))).alias("w"))
+    return found.where("shard IS NOT NULL").select("shard", "bucket", "start", "terms"), words.select(word.alias("word"), (F.col("start") + F.col("w.pos")).alias("term"))
+
+
+def local_shards(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", part: str = "source", symbols: str = "#$%&*|", buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The shards over their own words, each with the global numbers of these (`terms`, last), and the dictionary (word, term)."""
+    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = saved(term_shards(docs, doc_id=doc_id, text=text, part=part, symbols=symbols, buckets=buckets), "shards")
+    numbers, words = numbered_words(shards)
+    own = numbers.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("bucket", "start", "terms"))).alias("terms"))  # an entry per bucket
+    kept = shards.drop("words")
+    return kept.join(own, "shard").select(*kept.columns, "terms"), words
+
+
+def renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards over global word numbers, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            terms = [np.frombuffer(x["terms"], "<i4").astype("<i8") + x["start"] for x in row.column("terms")[0].as_py()]
+            indices = np.concatenate(terms)[np.frombuffer(row.column("indices")[0].as_buffer(), "<i4")]
+            yield row.drop_columns(["terms"]).set_column(3, "indices", pa.array([indices.tobytes()], pa.binary()))
+
+
+def term_matrix(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """The shards of the document-term matrix over global word numbers (indices are int64 bytes), and the dictionary (word, term).
+
+    Options: doc_id, text, part, symbols, and buckets, the parts of the dictionary, each of which one task numbers;
+    as many as shuffle partitions if not given.
     """
-    words = saved(shards.select(F.explode("words").alias("word")).distinct().select("word", F.monotonically_increasing_id().alias("at")), "words")
-    in_part = words.groupBy(F.shiftright("at", 33).alias("dealt")).count()  # a row per partition
-    before = Window.orderBy("dealt").rowsBetween(Window.unboundedPreceding, -1)
-    start = in_part.select("dealt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    return words.join(F.broadcast(start), F.shiftright("at", 33) == F.col("dealt")).select("word", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("term"))
-
-
-def term_matrix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", part: str = "source", symbols: str = "#$%&*|") -> tuple[DataFrame, DataFrame]:
-    """The shards of the document-term matrix over global word numbers (indices are int64 bytes), and the dictionary (word, term)."""
-    shards = saved(term_shards(docs, doc_id=doc_id, text=text, part=part, symbols=symbols), "shards")
-    terms = saved(numbered_words(shards), "terms")
-    listed = shards.select("shard", F.posexplode("words").alias("place", "word")).join(terms, "word")
-    own = listed.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]).alias("terms"))
-    local = shards.drop("words").join(own, "shard", "left")
-
-    def renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                terms = row.column("terms").flatten().to_numpy(zero_copy_only=False).astype("<i8")
-                indices = terms[np.frombuffer(row.column("indices")[0].as_buffer(), "<i4")]
-                yield row.drop_columns(["terms"]).set_column(3, "indices", pa.array([indices.tobytes()], pa.binary()))
-
-    return local.select(*shards.drop("words").columns, "terms").mapInArrow(renumbered, shards.drop("words").schema), terms
+    local, words = local_shards(docs, **options)
+    return local.mapInArrow(renumbered, local.drop("terms").schema), words
 
 
 def document_flags(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", part: str = "source", min_words: int = 200, distinct_percent: int = 50, upper_percent: int = 2, symbols: str = "#$%&*|"
 ) -> DataFrame:
     """Per document: id, part, n_words, n_distinct, flags (bit 0: fails A, ..., bit 4: fails E)."""
-    matrix, _ = term_matrix(docs, doc_id=doc_id, text=text, part=part, symbols=symbols)
+    local, _ = local_shards(docs, doc_id=doc_id, text=text, part=part, symbols=symbols)
     kind = type_of(docs, doc_id)
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                indptr, data = (np.frombuffer(batch.column(c)[i].as_buffer(), "<i4") for c in ("indptr", "data"))
-                ends = np.concatenate([[0], np.cumsum(data, dtype=np.int64)])
-                n_words, n_distinct = np.diff(ends[indptr]), np.diff(indptr).astype(np.int64)
-                rows = batch.column("docs")[i].values
-                ids, parts, upper, chars, symbol, digest = (rows.field(k) for k in range(6))
-                fails = (n_words < min_words) | (100 * n_distinct < distinct_percent * n_words) << 1
-                fails = fails | (100 * upper.to_numpy() > upper_percent * chars.to_numpy()) << 2 | symbol.to_numpy(zero_copy_only=False).astype(np.int64) << 3
-                yield pa.RecordBatch.from_arrays([ids, parts, pa.array(n_words), pa.array(n_distinct), pa.array(fails, pa.int32()), digest], ["id", "part", "n_words", "n_distinct", "flags", "digest"])
-
-    rows = matrix.select("docs", "indptr", "data").mapInArrow(of_batches, f"id {kind}, part string, n_words long, n_distinct long, flags int, digest binary")
+        for shard in renumbered(batches):
+            indptr, data = (np.frombuffer(shard.column(c)[0].as_buffer(), "<i4") for c in ("indptr", "data"))
+            ends = np.concatenate([[0], np.cumsum(data, dtype=np.int64)])
+            n_words, n_distinct = np.diff(ends[indptr]), np.diff(indptr).astype(np.int64)
+            rows = shard.column("docs")[0].values
+            ids, parts, upper, chars, symbol, digest = (rows.field(k) for k in range(6))
+            fails = (n_words < min_words) | (100 * n_distinct < distinct_percent * n_words) << 1
+            fails = fails | (100 * upper.to_numpy() > upper_percent * chars.to_numpy()) << 2 | symbol.to_numpy(zero_copy_only=False).astype(np.int64) << 3
+            yield pa.RecordBatch.from_arrays([ids, parts, pa.array(n_words), pa.array(n_distinct), pa.array(fails, pa.int32()), digest], ["id", "part", "n_words", "n_distinct", "flags", "digest"])
+
+    rows = local.mapInArrow(of_batches, f"id {kind}, part string, n_words long, n_distinct long, flags int, digest binary")
     rows = saved(rows, "flags")
     copies = rows.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     found = rows.join(saved(copies, "copies"), "digest", "left")

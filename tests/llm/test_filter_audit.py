@@ -68,7 +68,8 @@ def test_against_brute_force(spark):
 def test_matrix_has_the_counts_of_words(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string, source string").repartition(3)
     matrix, terms = op.term_matrix(docs)
-    rows, word = matrix.collect(), {r.term: bytes(r.word).rstrip(b" ").decode() for r in terms.collect()}
+    assert terms.count() == terms.select("word").distinct().count()
+    rows, word = matrix.collect(), {r.term: bytes(r.word).decode() for r in terms.collect()}
     assert sorted(word) == list(range(len(word))) and set(word.values()) == {w for _, t, _ in DOCS for w in words(t or "")}
     got = []
     for r in rows:
