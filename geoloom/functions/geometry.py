@@ -4,8 +4,8 @@ A geometry is struct<rings: array<array<struct<x: double, y: double>>>, srid: in
 counter-clockwise and holes clockwise, so signed sums over rings need no nesting; a multipolygon is the
 rings of all its parts. x is longitude, y latitude. A null geometry gives null, one without rings area 0.
 
-All but the functions on two general polygons are Column expressions. Those two are small Arrow UDFs, meant
-for the pairs that are left after a join on cells and boxes.
+All but the functions on two general polygons are Column expressions. Those are in `polygons`, Arrow UDFs for the
+pairs that are left after a join on cells and boxes.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .polygons import contains, equals, intersects, overlap_area, within  # noqa: F401
+
 GEOMETRY = "struct<rings:array<array<struct<x:double,y:double>>>,srid:int>"
 _POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 _GEOMETRY = T.StructType([T.StructField("rings", T.ArrayType(T.ArrayType(_POINT))), T.StructField("srid", T.IntegerType())])
@@ -55,7 +58,18 @@ def _over_rings(geom: Column, term) -> Column:
 
 
 def signed_area(geom: Column) -> Column:
-    return _over_rings(geom, lambda p, q: (p.x * q.y - q.x * p.y) / 2)
+    """Measured from each ring's first vertex, so that small shapes far from the origin keep their digits."""
+
+    def of_ring(ring: Column) -> Column:
+        o = F.get(ring, 0)
+        return _over_edges(ring, lambda p, q: ((p.x - o.x) * (q.y - o.y) - (q.x - o.x) * (p.y - o.y)) / 2)
+
+    return F.aggregate(F.transform(geom["rings"], of_ring), F.lit(0.0), lambda a, t: a + t)
+
+
+def perimeter(geom: Column) -> Column:
+    """Length of all rings."""
+    return _over_rings(geom, lambda p, q: F.hypot(q.x - p.x, q.y - p.y))
 
 
 def area(geom: Column) -> Column:
@@ -156,6 +170,45 @@ def hex_centre(q: Column, r: Column, edge_m: float) -> tuple[Column, Column]:
     return (q + r / 2) * (float(np.sqrt(3)) * edge_m), r * (1.5 * edge_m)
 
 
+def hex_boundary(q: Column, r: Column, edge_m: float, srid: int = 32619) -> Column:
+    """The cell as a polygon, from its lower right corner on."""
+    x, y = hex_centre(q, r, edge_m)
+    half = float(np.sqrt(3) / 2) * edge_m
+    corners = [(half, -edge_m / 2), (half, edge_m / 2), (0.0, edge_m), (-half, edge_m / 2), (-half, -edge_m / 2), (0.0, -edge_m)]
+    ring = F.array(*(point_struct(x + dx, y + dy) for dx, dy in [*corners, corners[0]]))
+    return F.struct(F.array(ring).alias("rings"), F.lit(srid).alias("srid"))
+
+
+def hex_cover(geom: Column, edge_m: float) -> Column:
+    """Array of the cells (q, r) whose centre lies in a polygon in metres, row by row: the centres between two crossings of its edges. Left borders count, right ones don't."""
+    tall, wide = 1.5 * edge_m, float(np.sqrt(3)) * edge_m
+    ys = F.transform(F.flatten(geom["rings"]), lambda p: p.y)
+    rows = F.filter(F.sequence(F.ceil(F.array_min(ys) / tall), F.ceil(F.array_max(ys) / tall)), lambda r: r * tall < F.array_max(ys))
+
+    def crossings(y: Column) -> Column:
+        def of_ring(ring: Column) -> Column:
+            def cross(i: Column) -> Column:
+                p, q = F.get(ring, i), F.get(ring, i + 1)
+                return F.when((p.y > y) != (q.y > y), p.x + (q.x - p.x) * (y - p.y) / (q.y - p.y))
+
+            return F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size(ring) - 2, F.lit(0))), cross), lambda x: x.isNotNull())
+
+        return F.array_sort(F.flatten(F.transform(geom["rings"], of_ring)))
+
+    def in_row(r: Column) -> Column:
+        def spans(xs: Column) -> Column:
+            def between(k: Column) -> Column:
+                start, end = F.ceil(F.get(xs, 2 * k) / wide - r / 2), F.ceil(F.get(xs, 2 * k + 1) / wide - r / 2) - 1
+                return F.transform(F.when(start <= end, F.sequence(start, end)).otherwise(F.array().cast("array<bigint>")), lambda q: F.struct(q.alias("q"), r.alias("r")))
+
+            pairs = F.floor(F.size(xs) / 2)
+            return F.flatten(F.transform(F.when(pairs > 0, F.sequence(F.lit(0).cast("long"), pairs - 1)).otherwise(F.array().cast("array<bigint>")), between))
+
+        return F.element_at(F.transform(F.array(crossings(r * tall)), spans), 1)
+
+    return F.flatten(F.transform(rows, in_row))
+
+
 def _null(geom) -> bool:
     return geom is None or geom["rings"] is None
 
@@ -166,84 +219,18 @@ def _rings(geom) -> list[np.ndarray]:
     return [np.array([(p["x"], p["y"]) for p in ring], float) for ring in geom["rings"] if ring is not None and len(ring) > 3]
 
 
-def _triangles(geom) -> list[tuple[float, np.ndarray]]:
-    """Signed triangles from each ring's first vertex, whose signed sum is the polygon."""
-    out = []
-    for ring in _rings(geom):
-        for p, q in pairwise(ring[1:-1]):
-            t = np.array([ring[0], p, q])
-            twice = (t[1, 0] - t[0, 0]) * (t[2, 1] - t[0, 1]) - (t[2, 0] - t[0, 0]) * (t[1, 1] - t[0, 1])
-            if twice:
-                out.append((np.sign(twice), t if twice > 0 else t[::-1]))
-    return out
-
-
-def _clip_area(subject: np.ndarray, clip: np.ndarray) -> float:
-    """Area of the intersection of two counter-clockwise triangles."""
-    poly = subject.tolist()
-    for (ax, ay), (bx, by) in zip(clip, np.roll(clip, -1, 0)):
-        side = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in poly]
-        out = []
-        for i, (p, s) in enumerate(zip(poly, side)):
-            q, t = poly[i - 1], side[i - 1]
-            if (s >= 0) != (t >= 0):
-                w = t / (t - s)
-                out.append([q[0] + w * (p[0] - q[0]), q[1] + w * (p[1] - q[1])])
-            if s >= 0:
-                out.append(p)
-        poly = out
-        if len(poly) < 3:
-            return 0.0
-    v = np.array(poly)
-    v -= v[0]
-    return float(abs(np.sum(v[:-1, 0] * v[1:, 1] - v[1:, 0] * v[:-1, 1])) / 2)
-
-
-def overlap(a, b) -> float | None:
-    """Intersection area of two geometries given as dicts."""
-    if _null(a) or _null(b):
-        return None
-    return float(sum(s * t * _clip_area(x, y) for s, x in _triangles(a) for t, y in _triangles(b)))
+def _batch(geom: dict | None) -> pa.Array:
+    kind = pa.struct([("rings", pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))), ("srid", pa.int32())])
+    return pa.array([None if _null(geom) else geom], kind)
 
 
-def _meet(a, b) -> bool | None:
-    """Two geometries share a point: edges meet, or one holds a vertex of the other."""
-    if _null(a) or _null(b):
-        return None
+def overlap(a: dict | None, b: dict | None) -> float | None:
+    """Intersection area of two geometries given as dicts."""
+    return overlap_area.func(_batch(a), _batch(b))[0].as_py()
+
 
-    def inside(geom, x: float, y: float) -> bool:
-        odd = False
-        for ring in _rings(geom):
-            for (px, py), (qx, qy) in pairwise(ring):
-                if (py > y) != (qy > y) and x < (qx - px) * (y - py) / (qy - py) + px:
-                    odd = not odd
-        return odd
-
-    turn = lambda o, p, q: (p[0] - o[0]) * (q[1] - o[1]) - (p[1] - o[1]) * (q[0] - o[0])
-    on = lambda p, q, r: min(p[0], q[0]) <= r[0] <= max(p[0], q[0]) and min(p[1], q[1]) <= r[1] <= max(p[1], q[1])
-    for r in _rings(a):
-        for s in _rings(b):
-            for p, q in pairwise(r):
-                for u, v in pairwise(s):
-                    d1, d2, d3, d4 = turn(u, v, p), turn(u, v, q), turn(p, q, u), turn(p, q, v)
-                    if d1 * d2 < 0 and d3 * d4 < 0:
-                        return True
-                    if (d1 == 0 and on(u, v, p)) or (d2 == 0 and on(u, v, q)) or (d3 == 0 and on(p, q, u)) or (d4 == 0 and on(p, q, v)):
-                        return True
-    ra, rb = _rings(a), _rings(b)
-    return bool(ra and rb and (inside(b, *ra[0][0]) or inside(a, *rb[0][0])))
-
-
-@F.pandas_udf(T.DoubleType())
-def overlap_area(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-    """Area of the intersection of two polygons, holes respected."""
-    return pd.Series([overlap(x, y) for x, y in zip(a.to_dict("records"), b.to_dict("records"))], dtype="float64")
-
-
-@F.pandas_udf(T.BooleanType())
-def intersects(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-    """Two polygons share a point, borders included."""
-    return pd.Series([_meet(x, y) for x, y in zip(a.to_dict("records"), b.to_dict("records"))])
+def _meet(a: dict | None, b: dict | None) -> bool | None:
+    return intersects.func(_batch(a), _batch(b))[0].as_py()
 
 
 def _surface_point(geom) -> tuple[float, float] | None:

@@ -26,7 +26,7 @@ def _levelled(df: DataFrame, cell: float, levels: int) -> DataFrame:
     return df.where("minx <= maxx AND miny <= maxy").withColumn("__own", F.least(F.lit(levels - 1), F.greatest(F.lit(0), own)).cast("int"))
 
 
-def _listed(df: DataFrame, struct: str, side: str, cell: float, others: list[int]) -> DataFrame:
+def _listed(df: DataFrame, struct: str, side: str, cell: float, others: list[int], on: list[str]) -> DataFrame:
     """df as a struct, with the sides, levels and cells it is listed under. Side `l`: the left shape is of the pair's level."""
     if side == "l":
         mine, above = "l", F.filter(F.array(*map(F.lit, others)), lambda x: x > F.col("__own"))
@@ -40,23 +40,24 @@ def _listed(df: DataFrame, struct: str, side: str, cell: float, others: list[int
     cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size()), F.floor(F.col(hi) / size()))
     columns = [c for c in df.columns if c != "__own"]
     out = df.withColumn("__e", F.explode(entries)).withColumn("__cx", F.explode(cells("minx", "maxx"))).withColumn("__cy", F.explode(cells("miny", "maxy")))
-    return out.select(F.struct(*columns).alias(struct), "__e.role", "__e.at", F.col("__cx").alias("cx"), F.col("__cy").alias("cy"))
+    return out.select(F.struct(*columns).alias(struct), "__e.role", "__e.at", F.col("__cx").alias("cx"), F.col("__cy").alias("cy"), *(F.col(k).alias(f"__on{i}") for i, k in enumerate(on)))
 
 
-def meetings(left: DataFrame, right: DataFrame, *, cell: float, levels: int = 24) -> DataFrame:
-    """Pairs of rows `l` and `r` that share a cell, once per cell, with that cell: role, at, cx, cy."""
+def meetings(left: DataFrame, right: DataFrame, *, cell: float, levels: int = 24, on: list[str] = ()) -> DataFrame:
+    """Pairs of rows `l` and `r` that share a cell, and the columns `on`, once per cell, with that cell: role, at, cx, cy."""
     a, b = (_levelled(df, cell, levels) for df in (left, right))
     found = a.select(F.lit("l").alias("s"), "__own").union(b.select(F.lit("r"), "__own")).distinct().collect()  # at most 2 * levels rows
     of = {side: sorted(r["__own"] for r in found if r.s == side) for side in "lr"}
-    return _listed(a, "l", "l", cell, of["r"]).join(_listed(b, "r", "r", cell, of["l"]), ["role", "at", "cx", "cy"])
+    keys = ["role", "at", "cx", "cy", *(f"__on{i}" for i in range(len(on)))]
+    return _listed(a, "l", "l", cell, of["r"], on).join(_listed(b, "r", "r", cell, of["l"], on), keys)
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, *, cell: float, levels: int = 24) -> DataFrame:
-    """All pairs whose boxes share a point, once each, as structs `l` and `r` of the rows. cell: about the size of the smaller shapes."""
+def candidate_pairs(left: DataFrame, right: DataFrame, *, cell: float, levels: int = 24, on: list[str] = ()) -> DataFrame:
+    """All pairs whose boxes share a point and whose columns `on` are equal, once each, as structs `l` and `r` of the rows. cell: about the size of the smaller shapes."""
     size = F.pow(F.lit(2.0), F.col("at")) * cell
     corner = lambda lo: F.floor(F.greatest(F.col(f"l.{lo}"), F.col(f"r.{lo}")) / size)
     once = (F.col("cx") == corner("minx")) & (F.col("cy") == corner("miny"))
-    return meetings(left, right, cell=cell, levels=levels).where(once & g.bbox_overlaps("l", "r")).select("l", "r")
+    return meetings(left, right, cell=cell, levels=levels, on=on).where(once & g.bbox_overlaps("l", "r")).select("l", "r")
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, cell: float, boxes: bool = False, levels: int = 24) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..operators.outlines import covered_area
 from ..operators.spatial import candidate_pairs
 from ..operators.tables import first_per
 
@@ -39,6 +40,34 @@ def label_grid(chips: DataFrame, polygons: DataFrame, *, chip_id: str, cells: in
     return made.where(hit).select(F.col(f"l.{chip_id}").alias(chip_id), "row", "col").distinct()
 
 
+def touched_grid(chips: DataFrame, polygons: DataFrame, *, chip_id: str, cells: int, cell: float) -> DataFrame:
+    """chip_id, row, col of the grid cells of a chip that a polygon touches: those its edges pass through and those whose centre it holds.
+
+    Every edge is followed row by row: within a row it runs from one x to another, and all columns between are touched.
+    A point on a line between cells belongs to the upper, right one; what lies outside of the chip is left out.
+    """
+    pairs = candidate_pairs(chips, polygons, cell=cell)
+    w, h = ((F.col(f"l.max{a}") - F.col(f"l.min{a}")) / cells for a in "xy")
+    edges = lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 2), lambda i: F.struct(F.get(r, i).alias("p"), F.get(r, i + 1).alias("q")))
+    rings = pairs.select("l", F.explode("r.geom.rings").alias("ring")).where("size(ring) > 3")
+    # in cells from the lower left corner
+    at = lambda k: ((F.col(f"e.{k}.x") - F.col("l.minx")) / w, (F.col(f"e.{k}.y") - F.col("l.miny")) / h)
+    (px, py), (qx, qy) = at("p"), at("q")
+    lines = rings.select("l", F.explode(edges(F.col("ring"))).alias("e")).select(F.col(f"l.{chip_id}").alias(chip_id), px.alias("px"), py.alias("py"), qx.alias("qx"), qy.alias("qy"))
+    clip = lambda c: F.least(F.greatest(F.floor(c), F.lit(0)), F.lit(cells - 1))
+    low, high = F.least("py", "qy"), F.greatest("py", "qy")
+    lines = lines.where((high >= 0) & (low < cells)).withColumn("j", F.explode(F.sequence(clip(low), clip(high))))
+    slope = (F.col("qx") - F.col("px")) / (F.col("qy") - F.col("py"))
+    x_at = lambda y: F.when(F.col("py") == F.col("qy"), F.col("px")).otherwise(F.col("px") + slope * (y - F.col("py")))
+    a, b = x_at(F.greatest(low, F.col("j").cast("double"))), x_at(F.least(high, F.col("j") + 1.0))
+    flat = F.col("py") == F.col("qy")
+    left, right = F.when(flat, F.least("px", "qx")).otherwise(F.least(a, b)), F.when(flat, F.greatest("px", "qx")).otherwise(F.greatest(a, b))
+    passed = lines.withColumns({"__a": left, "__b": right}).where((F.col("__b") >= 0) & (F.col("__a") < cells))
+    passed = passed.withColumn("i", F.explode(F.sequence(clip(F.col("__a")), clip(F.col("__b")))))
+    border = passed.select(chip_id, (F.lit(cells - 1) - F.col("j")).cast("int").alias("row"), F.col("i").cast("int").alias("col"))
+    return border.union(label_grid(chips, polygons, chip_id=chip_id, cells=cells, cell=cell)).distinct()
+
+
 def chip_labels(chips: DataFrame, polygons: DataFrame, *, chip_id: str, polygon_id: str, cells: int, cell: float, boxes: bool = False) -> DataFrame:
     """Per chip with a label: polygons that meet it, and labelled cells; chips without a labelled cell are left out."""
     n = candidate_pairs(chips, polygons, cell=cell).groupBy(F.col(f"l.{chip_id}").alias(chip_id)).agg(F.countDistinct(f"r.{polygon_id}").alias("polygons"))
@@ -56,13 +85,14 @@ def fetch_targets(footprints: DataFrame, cells: DataFrame, *, item_id: str, cell
     return rows.select(item_id, cell_id)
 
 
-def area_coverage(areas: DataFrame, footprints: DataFrame, *, area_id: str, item_id: str, source: str, cell: float, samples: int = 16) -> DataFrame:
-    """Per area: items that meet it, their sources by name, and the share of a grid of points in it that some item covers."""
+def area_coverage(areas: DataFrame, footprints: DataFrame, *, area_id: str, item_id: str, source: str, cell: float, boxes: bool = False) -> DataFrame:
+    """Per area: items that meet it, their sources by name, and the area that they cover of it, each spot once. boxes: all shapes are their boxes."""
     pairs = candidate_pairs(areas, footprints, cell=cell)
+    if not boxes:
+        pairs = pairs.where(g.intersects("l.geom", "r.geom"))
     items = pairs.groupBy(F.col(f"l.{area_id}").alias(area_id)).agg(F.countDistinct(f"r.{item_id}").alias("items"), F.array_join(F.array_sort(F.collect_set(f"r.{source}")), ", ").alias("sources"))
-    grid = label_grid(areas, footprints, chip_id=area_id, cells=samples, cell=cell, boxes=True).groupBy(area_id).agg((F.count("*") / F.lit(float(samples * samples))).alias("covered_share"))
-    out = areas.select(area_id).join(items, area_id, "left").join(grid, area_id, "left")
-    return out.select(area_id, F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("covered_share", F.lit(0.0)).alias("covered_share"))
+    out = areas.select(area_id).join(items, area_id, "left").join(covered_area(areas, footprints, area_id=area_id, cell=cell, boxes=boxes), area_id, "left")
+    return out.select(area_id, F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("covered", F.lit(0.0)).alias("covered"))
 
 
 def year_pivot(rows: DataFrame, by: str, date: str, years: list[int]) -> DataFrame:

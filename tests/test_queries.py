@@ -1,9 +1,11 @@
 import pytest
 
-from geoloom import more_queries, queries
+from geoloom import more_queries, queries, shape_queries
 
 
-QUERIES, ORACLE_SQL = queries.QUERIES | more_queries.QUERIES, queries.ORACLE_SQL | more_queries.ORACLE_SQL
+MODULES = (queries, more_queries, shape_queries)
+QUERIES = {n: f for m in MODULES for n, f in m.QUERIES.items()}
+ORACLE_SQL = {n: sql for m in MODULES for n, sql in m.ORACLE_SQL.items()}
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
