@@ -45,6 +45,8 @@ UNKNOWN = "und"
 _BLANK = 32
 _ODD = np.random.default_rng(13).integers(1 << 62, 1 << 64, 8, np.uint64) | np.uint64(1)
 _BLOCK = 1 << 14  # rows of a slice
+_TEXTS = 1 << 12  # of a run; a hash leaves as many low bits free as their number takes
+_HIGH = np.uint64((1 << 64) - _TEXTS)
 
 
 @cache
@@ -82,17 +84,26 @@ def ngrams(texts: list[bytes], lengths: tuple[int, ...]) -> Grams:
     seq = np.concatenate([[_BLANK], np.where(word, points, _BLANK)[kept]]).astype(np.uint64)
     text = np.repeat(np.arange(len(texts)), size)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(text))  # characters of the text from here on, without the border before
-    codes, owners = [], []
-    for n in lengths:
-        at = np.flatnonzero(left >= n - 1)  # the n-gram begins with the border, or character, before
-        code = np.full(len(at), n, np.uint64) * _ODD[1]
-        for j in range(n):
-            code = (code ^ seq[at + j]) * _ODD[0]
-            code ^= code >> np.uint64(32)
-        codes.append(code), owners.append(text[at])
+    at = np.flatnonzero(left >= min(lengths) - 1)  # an n-gram begins with the border, or character, before
+    code, codes, owners = np.full(len(at), _ODD[1]), [], []
+    for j in range(max(lengths)):
+        code = (code ^ seq[at + j]) * _ODD[0]
+        code ^= code >> np.uint64(32)
+        if j + 1 in lengths:
+            codes.append(code & _HIGH), owners.append(text[at])
+        longer = left[at] >= max(j + 1, min(lengths) - 1)
+        if not longer.all():
+            at, code = at[longer], code[longer]
     return Grams(np.concatenate(codes), np.concatenate(owners), letters)
 
 
+def small_runs(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of about 1 MB and of no more texts than have a number in the low bits."""
+    for first, run in runs(texts, 1 << 20):
+        for i in range(0, len(run), _TEXTS):
+            yield first + i, run[i : i + _TEXTS]
+
+
 def counted(rows: DataFrame, lengths: tuple[int, ...], at_once: int = 2_000_000) -> DataFrame:
     """(code, lang, n): in how many rows (text, lang) of a language an n-gram occurs; partial, to be summed."""
 
@@ -109,15 +120,14 @@ def counted(rows: DataFrame, lengths: tuple[int, ...], at_once: int = 2_000_000)
 
         for batch in batches:
             langs = batch.column("lang").to_numpy()
-            for first, run in runs(batch.column("text").to_pylist(), 4 << 20):
+            for first, run in small_runs(batch.column("text").to_pylist()):
                 for lang in np.unique(langs[first : first + len(run)]).tolist():
                     own = np.flatnonzero(langs[first : first + len(run)] == lang)
                     grams = ngrams([run[i] for i in own], lengths)
-                    order = np.lexsort((grams.code, grams.text))
-                    code, text = grams.code[order], grams.text[order]
-                    new = np.ones(len(code), bool)
-                    new[1:] = (code[1:] != code[:-1]) | (text[1:] != text[:-1])
-                    keys, n = np.unique(code[new], return_counts=True)
+                    seen = np.sort(grams.code | grams.text.astype(np.uint64))
+                    seen = seen[np.diff(seen, prepend=~seen[:1]) != 0] & _HIGH  # each n-gram once per text
+                    starts = np.flatnonzero(np.diff(seen, prepend=~seen[:1]) != 0)
+                    keys, n = seen[starts], np.diff(np.append(starts, len(seen)))
                     parts, ns = held.setdefault(lang, ([], []))
                     parts.append(keys), ns.append(n)
                     if sum(map(len, parts)) > at_once:
@@ -162,8 +172,11 @@ class Filters:
         found = self.languages(grams.code)
         n = np.bincount(grams.text, minlength=len(texts))
         hits = np.empty((len(texts), len(self.names)))
-        for i in range(len(self.names)):
-            hits[:, i] = np.bincount(grams.text[(found[:, i // 8] >> i % 8) & 1 > 0], minlength=len(texts))
+        bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+        for k in range(found.shape[1]):
+            sets = np.bincount(grams.text * 256 + found[:, k], minlength=256 * len(texts)).reshape(-1, 256)
+            own = slice(8 * k, min(8 * k + 8, len(self.names)))
+            hits[:, own] = (sets @ bits)[:, : own.stop - own.start]
         true = np.maximum(0, hits - n[:, None] * self.chance) / (1 - self.chance)
         best = true.argmax(1)
         score = np.clip(true[np.arange(len(texts)), best] / np.maximum(n, 1), 0, 1)
@@ -224,7 +237,7 @@ def predicted(docs: DataFrame, filters: Filters | None, *, doc_id: str = "doc_id
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, run in runs(batch.column("text").to_pylist(), 4 << 20):
+            for first, run in small_runs(batch.column("text").to_pylist()):
                 langs, score = sent.value.decide(run)
                 yield pa.RecordBatch.from_arrays([batch.column("id")[first : first + len(run)], pa.array(langs, pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
 

@@ -92,11 +92,11 @@ def test_filters_against_brute_force(spark):
 
 def _code(gram):
     """The hash of an n-gram by the module's own rule, on an array of its characters."""
-    code = np.full(1, len(gram), np.uint64) * op._ODD[1]
+    code = op._ODD[1:2].copy()
     for c in gram:
         code = (code ^ np.uint64(ord(c))) * op._ODD[0]
         code ^= code >> np.uint64(32)
-    return code
+    return code & op._HIGH
 
 
 def test_a_full_filter_is_corrected(spark):
