@@ -149,6 +149,26 @@ def projected(geom: Column, to=to_mercator, srid: int = 3857) -> Column:
     return F.struct(F.transform(geom["rings"], lambda r: F.transform(r, move)).alias("rings"), F.lit(srid).alias("srid"))
 
 
+def hilbert_key(x: Column, y: Column, bounds: tuple[float, float, float, float], bits: int = 16) -> Column:
+    """Place of a point on a Hilbert curve over bounds (minx, miny, maxx, maxy), of 2 ** bits steps each way; near places are mostly near each other. Points outside count as on the border."""
+    side = 1 << bits
+
+    def step(c: Column, low: float, high: float) -> Column:
+        at = F.floor((c - low) * (side / (high - low))) if high > low else c * 0
+        return F.least(F.greatest(at, F.lit(0)), F.lit(side - 1)).cast("long")
+
+    start = F.struct(step(x, bounds[0], bounds[2]).alias("x"), step(y, bounds[1], bounds[3]).alias("y"), F.lit(0).cast("long").alias("d"))
+
+    def quarter(a: Column, s: Column) -> Column:
+        right, upper = (a.x.bitwiseAND(s) > 0).cast("long"), (a.y.bitwiseAND(s) > 0).cast("long")
+        turned = lambda c: F.when(right == 1, F.lit(side - 1) - c).otherwise(c)
+        nx, ny = F.when(upper == 0, turned(a.y)).otherwise(a.x), F.when(upper == 0, turned(a.x)).otherwise(a.y)
+        return F.struct(nx.alias("x"), ny.alias("y"), (a.d + s * s * (right * 3).bitwiseXOR(upper)).alias("d"))
+
+    sizes = F.array(*(F.lit(1 << b).cast("long") for b in reversed(range(bits))))
+    return F.when(x.isNotNull() & y.isNotNull(), F.aggregate(sizes, start, quarter, lambda a: a.d))
+
+
 def hex_size_m(area_m2: float) -> float:
     """Edge of a regular hexagon of this area."""
     return float(np.sqrt(2 * area_m2 / (3 * np.sqrt(3))))

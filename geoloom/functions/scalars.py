@@ -5,14 +5,14 @@ Unless said otherwise a null input gives null, and nothing raises under ANSI mod
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-#: Letters with marks and what they become without.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
+from pyspark.sql import types as T
 
 #: Fixed value: estimates at or below are codes for missing.
 SENTINEL_FLOOR = -100_000_000
@@ -60,9 +60,25 @@ def text_or_empty(columns: list[str], name: str) -> Column:
     return F.coalesce(F.lower(F.col(f"`{name}`").cast("string")), F.lit("")) if name in columns else F.lit("")
 
 
+def plain_ascii(text: str) -> str:
+    """Case folded, compatibility characters taken apart, and of these what is ASCII: é is e, ß ss, ﬁ fi; letters without such a form go."""
+    return unicodedata.normalize("NFKD", text.casefold()).encode("ascii", "ignore").decode()
+
+
+@F.arrow_udf(T.StringType())
+def folded(text: pa.Array) -> pa.Array:
+    """plain_ascii of every text of a batch, each different one worked on once; ASCII texts are only lower-cased."""
+    words = pc.dictionary_encode(text.cast(pa.large_string()))
+    once = words.dictionary
+    rest = pc.invert(pc.string_is_ascii(once))
+    made = pc.replace_with_mask(pc.ascii_lower(once), rest, pa.array([plain_ascii(x) for x in once.filter(rest).to_pylist()], pa.large_string()))
+    return made.take(words.indices).cast(pa.string())
+
+
 def normal_label(c: Column) -> Column:
-    """Lower case, without accents, each run of other characters a blank, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(c, ACCENTED, PLAIN)), "[^a-z0-9]+", " "))
+    """Case folded, without accents and other marks in any script, each run of other characters a blank, trimmed; `nan` is empty."""
+    label = F.trim(F.regexp_replace(folded(c.cast("string")), "[^a-z0-9]+", " "))
+    return F.when(label == "nan", "").otherwise(label)
 
 
 def has_tokens(label: Column, include: list[str], exclude: list[str] = ()) -> Column:
@@ -188,9 +204,34 @@ def elevation(height: Column, floors: Column, storey: float = 3.2, least: float
     return F.greatest(F.coalesce(height, floors * storey, F.lit(least)), F.lit(least))
 
 
-def canonical_json(values: dict[str, Column]) -> Column:
-    """A JSON object with sorted keys; NaN and infinities become null, and nulls stay as fields."""
-    return F.to_json(F.struct(*(c.alias(n) for n, c in sorted(values.items()))), {"ignoreNullFields": "false"})
+def canonical(c: Column, kind: T.DataType) -> Column:
+    """A value of any type with fields and map keys in order, NaN and infinities null, bytes as hexadecimal digits."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return finite(c)
+    if isinstance(kind, T.BinaryType):
+        return F.lower(F.hex(c))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: canonical(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entry = lambda k: F.struct(k.cast("string").alias("key"), canonical(F.element_at(c, k), kind.valueType).alias("value"))
+        return F.map_from_entries(F.transform(F.array_sort(F.map_keys(c)), entry))
+    if isinstance(kind, T.StructType):
+        fields = [canonical(c.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(c.isNotNull(), F.struct(*fields)) if fields else c
+    return c
+
+
+def canonical_json(values: dict[str, Column], of: DataFrame | None = None) -> Column:
+    """A JSON object with sorted keys; nulls stay as fields, times have no zone.
+
+    of: the table the columns are of; then what is nested is sorted too, and NaN and infinities are null at any
+    depth. Without it only the object's own keys are sorted.
+    """
+    names = sorted(values)
+    if of is not None:
+        kinds = of.select(*(values[n].alias(n) for n in names)).schema
+        values = {n: canonical(values[n], kinds[n].dataType) for n in names}
+    return F.to_json(F.struct(*(values[n].alias(n) for n in names)), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"})
 
 
 def finite(c: Column) -> Column:

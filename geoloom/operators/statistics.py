@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import saved
+from ..sources.files import ranges_of, saved
 
 
 def weighted_mean(value: str, weight: str) -> Column:
@@ -35,11 +35,11 @@ def zonal_stats(pixels: DataFrame, zone: str, tile: str = "tile_id", value: str
     by_tile = valid.groupBy(zone, tile).agg(F.avg(value).alias("mean"), q.alias("q"), F.count("*").alias("n"))
     by_tile = by_tile.select(zone, "mean", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p90"), "n")
     out = by_tile.groupBy(zone).agg(*(weighted_mean(c, "n").alias(c) for c in ("mean", "p10", "p90")), F.sum("n").alias("pixel_count"))
-    pooled = valid.groupBy(zone).agg(q.alias("q")).select(zone, F.col("q")[0].alias("pooled_p10"), F.col("q")[1].alias("pooled_p90"))
+    pooled = percentiles(valid, value, [0.1, 0.9], [zone]).select(zone, F.col("q")[0].alias("pooled_p10"), F.col("q")[1].alias("pooled_p90"))
     return out.join(pooled, zone)
 
 
-def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] = (), parts: int = 64) -> DataFrame:
+def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] = (), parts: int | None = None) -> DataFrame:
     """Per group `q`: exact percentiles of the values that aren't null, interpolated; groups without any are left out.
 
     Equal values are counted first; then distinct ones are dealt into ranges, and running counts taken inside each
@@ -47,7 +47,7 @@ def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] =
     """
     x = F.col(value).cast("double").alias("__v")
     values = df.where(F.col(value).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("__n"))
-    dealt = saved(values.repartitionByRange(parts, *by, "__v").withColumn("__part", F.spark_partition_id()), "values")
+    dealt = saved(values.repartitionByRange(ranges_of(values, parts), *by, "__v").withColumn("__part", F.spark_partition_id()), "values")
     w = Window.partitionBy(*by)
     sums = dealt.groupBy(*by, "__part").agg(F.sum("__n").alias("__sum"))
     before = F.coalesce(F.sum("__sum").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import saved
+from ..sources.files import ranges_of, saved
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -95,13 +95,13 @@ def top_with_forced(df: DataFrame, order: list[Column], k: int, evidence: Column
     return pool.orderBy(*order).limit(k).unionByName(named).dropDuplicates([name])
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], parts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[Column], parts: int | None = None) -> DataFrame:
     """df with `position` (from 0) of each row in its group, and the group's `size`, without one task for a whole group.
 
     Rows are dealt into ranges of keys and order and written once; ranges are numbered in order, so a row's
     position is the number of its group's rows in earlier ranges and that within its own. The order must be total.
     """
-    dealt = saved(df.repartitionByRange(parts, *keys, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    dealt = saved(df.repartitionByRange(ranges_of(df, parts), *keys, *order).withColumn("__part", F.spark_partition_id()), "ranges")
     w = Window.partitionBy(*keys)
     counts = dealt.groupBy(*keys, "__part").count()
     counts = counts.withColumn("__before", F.coalesce(F.sum("count").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("size", F.sum("count").over(w))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.geometry import envelope
+from ..functions.geometry import box, envelope, intersects
 from ..functions.scalars import resolve_href, timestamp
 from ..operators.tables import first_per
+from ..sources.files import saved, shared_folder
 
 
 def extracted(columns: list[str], *names: str, properties: str = "properties") -> Column:
@@ -31,6 +34,29 @@ def bounds(bbox: Column) -> dict[str, Column]:
     return {"minx": pick(0, 0), "miny": pick(1, 1), "maxx": pick(2, 3), "maxy": pick(3, 4)}
 
 
+def box_bounds(items: DataFrame) -> dict[str, Column]:
+    """minx, miny, maxx, maxy of the column `bbox`: an array, or a struct or map of xmin, ymin, xmax, ymax or of minx, miny, maxx, maxy; null without one."""
+    names = ("minx", "miny", "maxx", "maxy")
+    kind = items.schema["bbox"].dataType if "bbox" in items.columns else None
+    if isinstance(kind, T.ArrayType):
+        return bounds(F.col("bbox"))
+    other = {"minx": "xmin", "miny": "ymin", "maxx": "xmax", "maxy": "ymax"}
+    if isinstance(kind, T.MapType):
+        pick = lambda ns: [F.try_element_at("bbox", F.lit(n)).cast("double") for n in ns]
+        sets = [pick([other[n] for n in names]), pick(names)]
+    elif isinstance(kind, T.StructType):
+        sets = [[F.col(f"bbox.{n}").cast("double") for n in ns] for ns in ([other[n] for n in names], names) if set(ns) <= set(kind.names)]
+    else:
+        sets = []
+    out = dict.fromkeys(names, F.lit(None).cast("double"))
+    for four in reversed(sets):
+        whole = F.lit(True)
+        for c in four:
+            whole = whole & c.isNotNull()
+        out = {n: F.when(whole, c).otherwise(out[n]) for n, c in zip(names, four)}
+    return out
+
+
 def self_link(href: Column, links: Column) -> Column:
     return F.coalesce(href, F.get(F.filter(links, lambda x: x.rel == "self"), 0).href)
 
@@ -95,8 +121,8 @@ TEXTS = {"item_id": ("id",), "collection_id": ("collection",), "stac_version": (
 NUMBERS = {"gsd": ("gsd", "eo:gsd", "proj:gsd"), "cloud_cover": ("eo:cloud_cover", "cloud_cover"), "view_off_nadir": ("view:off_nadir", "sat:off_nadir")}
 
 
-def catalog_rows(items: DataFrame, source: str, strategy: str) -> DataFrame:
-    """The catalog's columns for items of any source: ids, time, texts, numbers, projection, five chosen assets, asset names, box.
+def catalog_rows(items: DataFrame, source: str, strategy: str, keep: dict[str, Column] | None = None) -> DataFrame:
+    """The catalog's columns for items of any source: ids, time, texts, numbers, projection, five chosen assets, asset names, box; and those of `keep`.
 
     The box is bbox's or, without a usable one, that of `geom`; items with neither are left out. Blank texts and
     numbers that don't parse are null. The primary asset stands in for a missing visual one.
@@ -105,7 +131,7 @@ def catalog_rows(items: DataFrame, source: str, strategy: str) -> DataFrame:
     text = lambda *names: F.nullif(F.trim(extracted(c, *names)), F.lit(""))
     assets = F.col("assets") if "assets" in c else F.lit(None).cast("array<struct<name:string,href:string,title:string,roles:array<string>>>")
     chosen = {k: picked_asset(assets, *ladder, fallback=k == "primary") for k, ladder in LADDERS.items()}
-    corners = bounds(F.col("bbox")) if "bbox" in c else dict.fromkeys(("minx", "miny", "maxx", "maxy"), F.lit(None).cast("double"))
+    corners = box_bounds(items)
     if "geom" in c:
         corners = {k: F.when(corners["maxy"].isNotNull(), v).otherwise(envelope(F.col("geom"))[k]) for k, v in corners.items()}
     out = items.withColumns({f"__{k}": v for k, v in chosen.items()})
@@ -129,22 +155,68 @@ def catalog_rows(items: DataFrame, source: str, strategy: str) -> DataFrame:
         F.greatest(F.coalesce(F.size(assets), F.lit(0)), F.lit(0)).alias("asset_count"),
         F.coalesce(F.to_json(F.array_sort(F.transform(assets, lambda a: a["name"]))), F.lit("[]")).alias("available_asset_names"),
         *(v.alias(f"bbox_{k}") for k, v in corners.items()),
+        *(v.alias(k) for k, v in (keep or {}).items()),
     )
     return rows.where("bbox_minx IS NOT NULL AND bbox_miny IS NOT NULL AND bbox_maxx IS NOT NULL AND bbox_maxy IS NOT NULL")
 
 
+#: How the consolidated table chooses where it differs, and its columns.
+CONSOLIDATED_VISUAL = (["visual", "image"], ["visual"], ["visual", "rgb"], ["thumbnail", "preview"])
+CONSOLIDATED = [
+    "source", "item_id", "collection_id", "acquired_at", "platform", "constellation", "gsd", "cloud_cover", "self_href", "visual_asset_href", "analytic_asset_href", "preview_asset_href", "thumbnail_asset_href",
+    "asset_count", "bbox_minx", "bbox_miny", "bbox_maxx", "bbox_maxy", "geometry",
+]
+
+
+def consolidated_rows(items: DataFrame, source: str, boundary: Column) -> DataFrame:
+    """The consolidated table's 19 columns for items of any source whose geometry meets the boundary.
+
+    The geometry is `geom` or, where that is null or empty, the box as a polygon; items with neither are left out. A
+    missing box is the geometry's. The visual asset is the first of all that aren't ruled out if none fits better.
+    """
+    corners = box_bounds(items)
+    own = F.when(F.size("geom.rings") > 0, F.col("geom")) if "geom" in items.columns else F.lit(None)
+    shape = F.coalesce(own, F.when(corners["maxy"].isNotNull(), box(*corners.values())))
+    assets = F.col("assets") if "assets" in items.columns else F.lit(None).cast("array<struct<name:string,href:string,title:string,roles:array<string>>>")
+    visual = picked_asset(assets, *CONSOLIDATED_VISUAL, fallback=True)
+    kept = items.withColumns({"geom": shape, "__shown": visual["href"]}).where("geom IS NOT NULL")
+    kept = kept.where(intersects("geom", boundary))
+    rows = catalog_rows(kept, source, "", keep={"geometry": F.col("geom"), "__shown": F.col("__shown")})
+    return rows.withColumn("visual_asset_href", F.col("__shown")).select(CONSOLIDATED)
+
+
+def merged_items(frames: list[DataFrame], order: list[Column] = ()) -> DataFrame:
+    """Union of frames of items (id, collection, datetime or properties): of equal collection and id that of the latest frame stays, latest items first.
+
+    Ids and collections are trimmed, a blank collection is none, and items without an id go. Within a frame the last
+    in `order` stays; without an order, or among ties, the greatest by the text of all its plain columns. Sorted by
+    time as text, collection and id, all descending.
+    """
+    clean = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit(""))
+    marked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("__frame", F.lit(i)) for i, f in enumerate(frames)])
+    plain = [c for c, t in marked.dtypes if not t.startswith("map") and c != "__frame"]
+    has = lambda c: clean(c) if c in marked.columns else F.lit("")
+    rows = marked.withColumns({"__id": has("id"), "__collection": has("collection")}).where("__id <> ''")
+    tie = F.to_json(F.struct(*plain), {"ignoreNullFields": "false"})
+    last = first_per(rows, ["__collection", "__id"], [F.desc("__frame"), *order, F.desc(tie)])
+    times = [F.nullif(clean("datetime"), F.lit(""))] if "datetime" in last.columns else []
+    if "properties" in last.columns:
+        times += [F.nullif(F.trim(F.try_element_at("properties", F.lit(n))), F.lit("")) for n in ("datetime", "start_datetime")]
+    when = F.coalesce(*times, F.lit(""))
+    return last.orderBy(F.desc(when), F.desc("__collection"), F.desc("__id")).drop("__frame", "__id", "__collection")
+
+
 def consolidated(sources: dict[str, Callable[[], DataFrame]], empty: DataFrame) -> tuple[DataFrame, list[tuple[str, str, int]]]:
     """Union of sources, of rows with equal (source, item_id) the latest; and (source, note, rows) each. A source that fails gives no rows and its error as note."""
     parts, notes = [empty], []
     for name, read in sources.items():
         try:
-            df = read().select(empty.columns)
-            n = df.count()
+            df = saved(read().select(empty.columns), "source")  # read once, so that it can't fail later
         except Exception as e:  # one source must not take the others down
             notes.append((name, f"{type(e).__name__}: {str(e).splitlines()[0][:200]}", 0))
             continue
         parts.append(df)
-        notes.append((name, "ok", n))
+        notes.append((name, "ok", df.count()))
     rows = reduce(DataFrame.unionByName, parts)
     return first_per(rows, ["source", "item_id"], [F.desc_nulls_last("acquired"), F.asc_nulls_last("asset_href")]), notes
 
@@ -161,7 +233,7 @@ def traversed(docs: DataFrame, roots: DataFrame, save: Callable[[DataFrame], Dat
 
     docs: url, links array<struct<rel, href>>, and what `prune` and `keep_item` need. Catalogs for which prune
     isn't true are reached but not followed; items for which keep_item isn't true are left out, and links of items
-    aren't followed. Each level is an anti-join with what was seen, written by `save`; it ends when a level is
+    aren't followed. Each level is an anti-join with what was seen, written into a folder of its own; `save` keeps the links; it ends when a level is
     empty, which happens however deep links go, as no document is reached twice. Null links lead nowhere;
     documents that aren't in docs are left out.
     """
@@ -169,15 +241,23 @@ def traversed(docs: DataFrame, roots: DataFrame, save: Callable[[DataFrame], Dat
     links = follow.select(F.col("url").alias("base"), F.explode("links").alias("x")).where(F.col("x.rel").isin("child", "item") & F.col("x.href").isNotNull())
     edges = save(links.select("base", F.col("x.rel").alias("rel"), resolve_href(F.col("base"), F.col("x.href")).alias("url")).distinct())
     known = docs.select("url").distinct()
-    now = save(known.join(roots.select("url").distinct(), "url", "left_semi").select("url", F.lit(0).alias("level")))
-    seen, n = now, 0
+    spark = docs.sparkSession
+    root, n = f"{shared_folder(spark)}/levels-{uuid.uuid4().hex}", 0
+
+    def put(urls: DataFrame, level: int) -> DataFrame:
+        """Write a level beside the earlier ones; none of these is written again."""
+        urls.select("url").write.parquet(f"{root}/level={level}")
+        return spark.read.schema("url string").parquet(f"{root}/level={level}")
+
+    reached = lambda: spark.read.schema("url string, level int").parquet(root)
+    now = put(known.join(roots.select("url").distinct(), "url", "left_semi"), 0)
     while children:
         n += 1
         step = edges.where("rel = 'child'").join(now.select(F.col("url").alias("base")), "base", "left_semi").select("url").distinct()
-        now = save(step.join(seen, "url", "left_anti").join(known, "url", "left_semi").select("url", F.lit(n).alias("level")))
+        now = put(step.join(reached(), "url", "left_anti").join(known, "url", "left_semi"), n)
         if now.isEmpty():
             break
-        seen = save(seen.unionByName(now))  # its plan would grow with every level
+    seen = reached()
     items = edges.where("rel = 'item'").join(seen.withColumnRenamed("url", "base"), "base").groupBy("url").agg((F.min("level") + 1).alias("level"))
     fit = docs if keep_item is None else docs.where(F.coalesce(keep_item, F.lit(False)))
     items = items.join(fit.select("url").distinct(), "url", "left_semi").join(seen, "url", "left_anti")

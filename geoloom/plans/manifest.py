@@ -9,7 +9,7 @@ from ..functions.geometry import hex_cell, hex_centre, to_utm
 from ..functions.scalars import equal_area_radius, lookup
 from ..operators.spatial import dominant_per_cell
 from ..operators.tables import first_per, first_values, updated
-from ..sources.files import saved
+from ..sources.files import ranges_of, saved
 
 #: Imagery qualities from best to worst.
 QUALITY_RANK = {"HIGH": 0, "MEDIUM": 1, "LOW": 2, "BASE": 3}
@@ -105,17 +105,17 @@ def probe_summary(probe: DataFrame, cutoff: str, by: list[str]) -> tuple[DataFra
     return tiles, failed
 
 
-def within_budget(manifest: DataFrame, order: list[str], costs: Column, cap: int, parts: int = 64) -> DataFrame:
+def within_budget(manifest: DataFrame, order: list[str], costs: Column, cap: int, parts: int | None = None) -> DataFrame:
     """Rows in order while the sum of costs before them stays below the cap; costs aren't negative, a null one is 0.
 
-    Rows are dealt into ranges of `order` (a sorted repartition); only the sums of ranges, at most `parts`, are
+    Rows are dealt into ranges of `order` (a sorted repartition); only the sums of ranges, as many as `parts` or shuffle partitions, are
     put in one order, and running sums are taken inside each range. Rows that are equal in `order` come in the
     order of a hash of all their columns.
     """
     plain = [c for c, t in manifest.dtypes if not t.startswith("map")]
     rows = manifest.withColumn("__cost", F.coalesce(costs.cast("double"), F.lit(0.0))).withColumn("__tie", F.xxhash64(*plain))
     keys = [*order, "__tie"]
-    dealt = saved(rows.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "ranges")
+    dealt = saved(rows.repartitionByRange(ranges_of(rows, parts), *keys).withColumn("__part", F.spark_partition_id()), "ranges")
     bounds = dealt.groupBy("__part").agg(F.sum("__cost").alias("__sum"))  # ranges are numbered in order
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     bounds = bounds.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0.0))).where(F.col("__before") < cap).drop("__sum")

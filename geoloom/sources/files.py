@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geometry import envelope, intersects
+from ..functions.geometry import envelope, hilbert_key, intersects
 
 
 def clean_names(df: DataFrame) -> DataFrame:
@@ -36,6 +36,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranges_of(df: DataFrame, parts: int | None) -> int:
+    """The number of ranges into which a table is dealt: as given, else that of shuffle partitions, which goes with the data; four at least."""
+    return parts or max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def parquet_stream(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table, one file or a folder of files, as a stream of its files; new ones in a folder follow."""
     schema = spark.read.parquet(path).schema
@@ -135,9 +140,28 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
 
 
 def exact_scan(df: DataFrame, area: tuple[float, float, float, float], geometry: Column, geom: str = "geom", order: str = "datetime") -> DataFrame:
-    """Rows whose nested bbox meets the area's box, which reaches the scan, and of these those whose geometry meets the given one; sorted by `order` if there is such a column."""
-    found = overlapping_box(df, area).where(intersects(F.col(geom), geometry))
-    return found.orderBy(order) if order in df.columns else found
+    """Rows whose geometry meets the given one, latest first by `order`, nulls last, if there is such a column.
+
+    If the table has a nested `bbox`, rows whose box misses the area's are skipped by plain comparisons, which reach
+    the scan; a null box isn't in it.
+    """
+    near = overlapping_box(df, area) if "bbox" in df.columns else df
+    found = near.where(intersects(F.col(geom), geometry))
+    return found.orderBy(F.desc_nulls_last(order)) if order in df.columns else found
+
+
+def write_by_place(df: DataFrame, path: str, x: str, y: str, partitions: int, bits: int = 16) -> None:
+    """Parquet files that each hold a range of a Hilbert curve through the points (x, y), sorted along it, so that a box touches few files and row groups.
+
+    The curve lies over the bounds of the table, one row. Rows without a place come first.
+    """
+    span = df.agg(*(f(c).alias(f"{n}_{c}") for c in (x, y) for n, f in (("min", F.min), ("max", F.max)))).first()
+    if span[0] is None or span[2] is None:
+        df.repartition(partitions).write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return
+    key = hilbert_key(F.col(x), F.col(y), (span[f"min_{x}"], span[f"min_{y}"], span[f"max_{x}"], span[f"max_{y}"]), bits)
+    dealt = df.withColumn("__key", key).repartitionByRange(partitions, "__key").sortWithinPartitions("__key")
+    dealt.drop("__key").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def write_table(df: DataFrame, name: str, path: str | None = None, *, nulls: dict[str, str] | None = None) -> DataFrame:
