@@ -139,10 +139,50 @@ def seeded_sample(df: DataFrame, seed: str, key: str, n: int) -> DataFrame:
     return df.orderBy(hash_order(seed, key), key).limit(n)
 
 
-def picks_and_random(df: DataFrame, key: str, picks: list, seed: str, n: int) -> DataFrame:
-    """The named rows and n others at random."""
+def picks_and_random(df: DataFrame, key: str, picks: list, seed: str | None, n: int, fallback: int = 0) -> DataFrame:
+    """The named rows and n others at random (none without a seed); if that is nothing, the first `fallback` rows by key."""
     chosen = df.where(F.col(key).isin(picks)) if picks else df.limit(0)
-    return chosen.unionByName(seeded_sample(df.where(~F.col(key).isin(picks)) if picks else df, seed, key, n))
+    if seed is not None and n > 0:
+        chosen = chosen.unionByName(seeded_sample(df.where(~F.col(key).isin(picks)) if picks else df, seed, key, n))
+    return df.orderBy(F.asc_nulls_last(key)).limit(fallback) if fallback and chosen.isEmpty() else chosen
+
+
+def first_groups(df: DataFrame, group: list[str], order: list[Column], most: int) -> DataFrame:
+    """All rows of the first `most` groups. A group's place is that of its first row in order, ties by the group's columns."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    first = df.withColumn("__n", F.row_number().over(w)).where("__n = 1").orderBy(*order, *(F.asc_nulls_first(c) for c in group)).limit(most)
+    keys = first.select(*(F.col(c).alias(f"__{c}") for c in group))
+    same = F.lit(True)
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return df.join(keys, same, "left_semi")
+
+
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """The different values of a column that aren't null, in order."""
+    return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
+
+
+def table_summary(df: DataFrame, assigned: str, top: int = 20) -> DataFrame:
+    """One row: rows, assigned and unassigned ones, and `top`: the values with most rows, n and value, ties by value."""
+    counts = df.groupBy(F.col(assigned).cast("string").alias("value")).agg(F.count("*").alias("n"))
+    best = counts.where("value IS NOT NULL").orderBy(F.desc("n"), "value").limit(top)
+    listed = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "value"))).alias("top"))  # at most `top` entries
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("assigned"))
+    return total.join(F.broadcast(listed)).select("rows", "assigned", (F.col("rows") - F.col("assigned")).alias("unassigned"), F.transform("top", lambda t: F.struct((-t.n).alias("n"), t.value.alias("value"))).alias("top"))
+
+
+def with_metadata(stage: DataFrame, found: DataFrame, *, stage_id: str, found_id: str, prefix: str, columns: list[str]) -> DataFrame:
+    """stage with the non-null values of columns of `found`, whose numeric ids, behind a prefix such as `way/`, are those of stage.
+
+    Ids of stage without the prefix, or whose rest isn't digits, keep what they have. found has one row per id.
+    """
+    number = F.regexp_extract(F.col(stage_id), f"^{prefix}([0-9]+)$", 1)
+    new = found.select(F.col(found_id).cast("long").cast("string").alias("__id"), *(F.col(c).alias(f"__new_{c}") for c in columns))
+    own = F.when(number != "", F.regexp_replace(number, "^0+(?=.)", ""))
+    out = stage.withColumn("__own", own).join(new, F.col("__own") == F.col("__id"), "left")
+    have = lambda c: F.coalesce(f"__new_{c}", c) if c in stage.columns else F.col(f"__new_{c}")
+    return out.withColumns({c: have(c) for c in columns}).drop("__own", "__id", *(f"__new_{c}" for c in columns))
 
 
 def split_of(df: DataFrame, seed: str, key: str, share: float, by: list[str] = ()) -> DataFrame:

@@ -64,6 +64,32 @@ def demographic_metrics(df: DataFrame, *, groups: list[str], total: str, owner:
     )
 
 
+def survey_frame(
+    raw: DataFrame, *, level: str, names: dict[str, str], parts: dict[str, int], geoid_column: str, sums: dict[str, list[str]], shares: dict[str, tuple[list[str], str]], groups: list[str] = (), total: str = "", keep: list[str] = ()
+) -> DataFrame:
+    """A survey's raw rows as a table of one level: coded columns by name, numbers, an identifier, sums and shares.
+
+    names: code to name; parts: the identifier's columns and widths, in order. sums: name to columns, null if all
+    of them are null. shares: name to columns and base, nulls of the columns counting 0, null over a null or zero
+    base. groups and total: for the diversity index. Columns: level, parts, identifier, `keep`, the named ones, sums, index,
+    shares, each once and only if the table has it. Codes that the table hasn't are skipped; codes for missing are null.
+    """
+    have = {c: n for c, n in names.items() if c in raw.columns}
+    out = raw.withColumns({c: without_sentinel(numeric(F.col(c).cast("string"))) for c in have}).withColumnsRenamed(have)
+    out = out.withColumns({geoid_column: geoid(*((F.col(c), w) for c, w in parts.items())), "geography_level": F.lit(level)})
+    known = lambda cols: [F.col(c) for c in cols if c in have.values()] or [F.lit(None).cast("double")]
+    out = out.withColumns({k: row_sum(known(cols), True) for k, cols in sums.items()})
+    made = [c for c in sums]
+    base = lambda c: F.col(c) if c in [*have.values(), *made] else F.lit(None).cast("double")
+    of = lambda cols: row_sum([base(c) for c in cols], False)
+    single = lambda cols: base(cols[0]) if len(cols) == 1 else of(cols)  # noqa: E731  one column alone stays null
+    out = out.withColumns({k: safe_ratio(single(cols), base(b)) for k, (cols, b) in shares.items()})
+    if groups:
+        out = out.withColumn("diversity_index", diversity([base(c) for c in groups], base(total)))
+    order = ["geography_level", *parts, geoid_column, *keep, *names.values(), *sums, "diversity_index", *shares]
+    return out.select(*dict.fromkeys(c for c in order if c in out.columns))
+
+
 def urban_rollup(areas: DataFrame, blocks: DataFrame, acs: DataFrame, *, name: str) -> DataFrame:
     """Areas of a level (geoid, land_m2) with sums over their urban blocks and demographic counts; shares null without a base."""
     sums = blocks.groupBy(parent(F.col("block_geoid"), name).alias("geoid")).agg(
@@ -115,6 +141,13 @@ def vintage_comparison(old: DataFrame, new: DataFrame, *, near: float = 0.999) -
     return out.withColumns({"distance_m": far, "status": status}).drop("a", "b")
 
 
+def vintage_overlaps(status: DataFrame) -> DataFrame:
+    """One row over the areas of both vintages: rows, and mean, least and greatest of either share, and of the distance."""
+    both = status.where(F.col("old_share").isNotNull() & F.col("new_share").isNotNull())
+    names = {"avg": F.avg, "min": F.min, "max": F.max}
+    return both.agg(F.count("*").alias("rows"), *(f(c).alias(f"{n}_{c}") for c in ("old_share", "new_share", "distance_m") for n, f in names.items()))
+
+
 def vintage_guidance(status: DataFrame) -> DataFrame:
     """One row: the number of each status, and advice. No rows at all count as equal vintages; null statuses don't count."""
     n = lambda s: F.coalesce(F.sum((F.col("status") == s).cast("int")), F.lit(0))

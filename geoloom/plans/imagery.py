@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators.outlines import covered_area
 from ..operators.spatial import candidate_pairs
-from ..operators.tables import first_per
+from ..operators.tables import first_groups, first_per
 
 
 def chip_bounds(x: Column, y: Column, span: Column) -> dict[str, Column]:
@@ -75,13 +75,15 @@ def chip_labels(chips: DataFrame, polygons: DataFrame, *, chip_id: str, polygon_
     return n.join(grid, chip_id)
 
 
-def fetch_targets(footprints: DataFrame, cells: DataFrame, *, item_id: str, cell_id: str, cell: float, order: list[Column], most_items: int | None = None) -> DataFrame:
-    """item_id, cell_id for each occupied cell's footprints, once each, in order; a cap on items counts items, not rows."""
+def fetch_targets(footprints: DataFrame, cells: DataFrame, *, item_id: str, cell_id: str, cell: float, order: list[Column], most_items: int | None = None, asset_group: list[str] = (), most_assets: int | None = None) -> DataFrame:
+    """item_id, cell_id for each occupied cell's footprints, once each. Caps count items, and groups of rows with equal columns `asset_group`, not rows; both take the first in order."""
     pairs = candidate_pairs(footprints, cells, cell=cell)
     rows = pairs.select(F.col("l.*"), F.col(f"r.{cell_id}").alias(cell_id)).dropDuplicates([item_id, cell_id])
     if most_items is not None:
         top = footprints.join(rows.select(item_id).distinct(), item_id, "left_semi").orderBy(*order).limit(most_items).select(item_id)
         rows = rows.join(top, item_id, "left_semi")
+    if most_assets is not None:
+        rows = first_groups(rows, list(asset_group) or [item_id], order, most_assets)
     return rows.select(item_id, cell_id)
 
 

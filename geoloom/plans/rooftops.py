@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import envelope, intersects
+from ..functions.scalars import elevation, text_or_empty
 from ..operators.spatial import candidate_pairs
 from ..operators.statistics import flagged, weighted_mean
 from ..operators.tables import first_per
@@ -159,3 +161,42 @@ def least_known(*columns: Column, otherwise: float = -1.0) -> Column:
 def computed_if_missing(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
     """df with those of the metrics that it has no column of."""
     return df.withColumns({n: c for n, c in metrics.items() if n not in df.columns})
+
+
+def pv_counts(areas: DataFrame, *, area_id: str, name: str, clean: DataFrame | None = None, stage: DataFrame | None = None, flag: str = "has_pv", cell: float = 0.02) -> tuple[DataFrame, str]:
+    """Per area (area_id, name) the number of panels, most first, and which source it comes from.
+
+    clean: panels with their area; only areas with panels are listed. Else stage: raw shapes with geom and tags, of
+    which the photovoltaic ones that meet an area count. Else the areas' own flag, as 0 or 1.
+    """
+    if clean is not None:
+        out, source = clean.groupBy(area_id, name).agg(F.count("*").alias("panels")), "clean"
+    elif stage is not None:
+        tag = lambda c: text_or_empty(stage.columns, c)
+        solar = (tag("generator:method") == "photovoltaic") | (tag("generator:source") == "solar") | (tag("generator:type") == "solar_photovoltaic_panel")
+        cold = ~tag("content").isin("hot_water", "hot", "water") & (tag("generator:output:hot_water") != "yes")
+        shapes = stage.where(solar & cold).select("geom").withColumns(envelope(F.col("geom")))
+        pairs = candidate_pairs(areas, shapes, cell=cell).where(intersects("l.geom", "r.geom"))
+        n = pairs.groupBy(F.col(f"l.{area_id}").alias(area_id)).agg(F.count("*").alias("panels"))
+        out, source = areas.select(area_id, name).join(n, area_id, "left").withColumn("panels", F.coalesce("panels", F.lit(0))), "stage"
+    else:
+        out, source = areas.select(area_id, name, F.coalesce(F.col(flag).cast("boolean"), F.lit(False)).cast("long").alias("panels")), "flag"
+    return out.orderBy(F.desc("panels"), name), source
+
+
+def preview_subset(buildings: DataFrame, group: str, value: str, limit: int, clip: Column | None = None, key: str = "building_id") -> DataFrame:
+    """Up to limit buildings of a group: those that meet a clip geometry, by key; without one, or if none does, the tallest, a null height being 0."""
+    own = buildings.where(F.col(group) == value)
+    if clip is not None:
+        near = own.where(intersects(F.col("geom"), clip)).orderBy(key).limit(limit)
+        if not near.isEmpty():
+            return near
+    return own.orderBy(F.desc(F.coalesce(F.col("height"), F.lit(0.0))), key).limit(limit)
+
+
+def preview_heights(buildings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """buildings with elevation and where it comes from (height, floors or default), and one row of counts of these."""
+    origin = F.when(F.col("height").isNotNull(), "height").when(F.col("floors").isNotNull(), "floors").otherwise("default")
+    out = buildings.withColumns({"elevation": elevation(F.col("height"), F.col("floors")), "elevation_from": origin})
+    n = lambda k: F.coalesce(F.sum((F.col("elevation_from") == k).cast("long")), F.lit(0)).alias(f"from_{k}")
+    return out, out.agg(F.count("*").alias("rows"), *(n(k) for k in ("height", "floors", "default")))

@@ -88,6 +88,25 @@ def raster_files(listing: DataFrame) -> DataFrame:
     return out.withColumns({"tile_id": part(1), "layer": part(2), "quality": part(3), "bg": F.try_element_at(parts, F.lit(-2)), "municipio": F.try_element_at(parts, F.lit(-3))}).drop("__name")
 
 
+def with_sidecars(rasters: DataFrame, sidecars: DataFrame, columns: list[str], cutoff: str, *, qualities: list[str], layers: list[str] = ("rgb",)) -> DataFrame:
+    """raster_files with the columns of each tile's sidecar beside it, imagery_date as date, and item_id, post_cutoff, training_eligible and inference_eligible.
+
+    sidecars: path and content, as `read_sidecars` gives them; that of a tile is `tile_meta.json` in the raster's
+    folder. Rasters without one, or with one that doesn't parse, have nulls and aren't eligible; a date that isn't
+    one is null. Underscores in a municipio's folder are blanks.
+    """
+    folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
+    beside = F.concat(folder(F.col("path")), F.lit("/"), F.col("tile_id"), F.lit("_meta.json"))
+    known = sidecars.where("content IS NOT NULL").select(F.col("path").alias("__sidecar"), *(F.col(f"content.{c}").alias(f"__s_{c}") for c in columns)).dropDuplicates(["__sidecar"])
+    out = rasters.withColumn("__beside", beside).join(known, F.col("__beside") == F.col("__sidecar"), "left")
+    out = out.withColumns({c: F.col(f"__s_{c}") for c in columns}).drop("__beside", "__sidecar", *(f"__s_{c}" for c in columns))
+    date = F.try_to_date(F.substring(F.col("imagery_date").cast("string"), 1, 10), "yyyy-MM-dd")
+    out = out.withColumns({"imagery_date": date, "municipio": F.replace("municipio", F.lit("_"), F.lit(" ")), "item_id": F.concat_ws("_", "tile_id", "layer", "quality")})
+    post = F.coalesce(F.col("imagery_date") >= F.lit(cutoff).cast("date"), F.lit(False))
+    shown = F.col("layer").isin(list(layers))
+    return out.withColumns({"post_cutoff": post, "training_eligible": post & F.col("quality").isin(qualities) & shown, "inference_eligible": post & shown})
+
+
 def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """path, modified, bytes of the files below a folder, without their content."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)

@@ -1,9 +1,9 @@
 import pytest
 
-from geoloom import more_queries, queries, shape_queries
+from geoloom import item_queries, more_queries, queries, shape_queries
 
 
-MODULES = (queries, more_queries, shape_queries)
+MODULES = (queries, more_queries, shape_queries, item_queries)
 QUERIES = {n: f for m in MODULES for n, f in m.QUERIES.items()}
 ORACLE_SQL = {n: sql for m in MODULES for n, sql in m.ORACLE_SQL.items()}
 
