@@ -14,7 +14,6 @@ import struct
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -239,18 +238,21 @@ def _rings(geom) -> list[np.ndarray]:
     return [np.array([(p["x"], p["y"]) for p in ring], float) for ring in geom["rings"] if ring is not None and len(ring) > 3]
 
 
-def _batch(geom: dict | None) -> pa.Array:
-    kind = pa.struct([("rings", pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))), ("srid", pa.int32())])
-    return pa.array([None if _null(geom) else geom], kind)
+_ARROW = pa.struct([("rings", pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))), ("srid", pa.int32())])
+
+
+def geometries(found: list[dict | None]) -> pa.Array:
+    """Geometries given as dicts as an Arrow array; None is a geometry of nulls."""
+    return pa.array([x or {"rings": None, "srid": None} for x in found], _ARROW)
 
 
 def overlap(a: dict | None, b: dict | None) -> float | None:
     """Intersection area of two geometries given as dicts."""
-    return overlap_area.func(_batch(a), _batch(b))[0].as_py()
+    return overlap_area.func(geometries([a]), geometries([b]))[0].as_py()
 
 
 def _meet(a: dict | None, b: dict | None) -> bool | None:
-    return intersects.func(_batch(a), _batch(b))[0].as_py()
+    return intersects.func(geometries([a]), geometries([b]))[0].as_py()
 
 
 def _surface_point(geom) -> tuple[float, float] | None:
@@ -259,19 +261,19 @@ def _surface_point(geom) -> tuple[float, float] | None:
         return None
     ys = sorted({y for r in rings for _, y in r})
     middle = (ys[0] + ys[-1]) / 2
-    above = next((y for y in ys if y > middle), ys[-1])
-    below = max((y for y in ys if y <= middle), default=ys[0])
-    y = (above + below) / 2
-    xs = sorted((q[0] - p[0]) * (y - p[1]) / (q[1] - p[1]) + p[0] for r in rings for p, q in pairwise(r) if (p[1] > y) != (q[1] > y))
-    width, x = max(((b - a, (a + b) / 2) for a, b in zip(xs[::2], xs[1::2])), default=(0, None))
-    return None if x is None else (x, y)
+    for y in sorted(((a + b) / 2 for a, b in pairwise(ys)), key=lambda y: (abs(y - middle), y)):  # parts can leave some rows empty
+        xs = sorted((q[0] - p[0]) * (y - p[1]) / (q[1] - p[1]) + p[0] for r in rings for p, q in pairwise(r) if (p[1] > y) != (q[1] > y))
+        width, x = max(((b - a, (a + b) / 2) for a, b in zip(xs[::2], xs[1::2])), default=(0, None))
+        if x is not None and width > 0:
+            return x, y
+    return None
 
 
-@F.pandas_udf(_POINT)
-def point_on_surface(geom: pd.DataFrame) -> pd.DataFrame:
+@F.arrow_udf(_POINT)
+def point_on_surface(geom: pa.Array) -> pa.Array:
     """A point inside: the middle of the widest span of a scan line near half height."""
-    found = [_surface_point(g) or (None, None) for g in geom.to_dict("records")]
-    return pd.DataFrame(found, columns=["x", "y"], dtype="float64")
+    found = [_surface_point(x) or (None, None) for x in geom.to_pylist()]
+    return pa.array([{"x": x, "y": y} for x, y in found], pa.struct([("x", pa.float64()), ("y", pa.float64())]))
 
 
 def encode_wkb(geom) -> bytes | None:
@@ -321,12 +323,11 @@ def decode_wkb(data: bytes | None, srid: int = 4326) -> dict | None:
     return {"rings": rings, "srid": srid}
 
 
-@F.pandas_udf(T.BinaryType())
-def to_wkb(geom: pd.DataFrame) -> pd.Series:
-    return pd.Series([encode_wkb(g) for g in geom.to_dict("records")])
+@F.arrow_udf(T.BinaryType())
+def to_wkb(geom: pa.Array) -> pa.Array:
+    return pa.array([encode_wkb(x) for x in geom.to_pylist()], pa.binary())
 
 
-@F.pandas_udf(_GEOMETRY)
-def from_wkb(data: pd.Series) -> pd.DataFrame:
-    found = [decode_wkb(x) or {"rings": None, "srid": None} for x in data]
-    return pd.DataFrame({"rings": [f["rings"] for f in found], "srid": pd.array([f["srid"] for f in found], dtype="Int32")})
+@F.arrow_udf(_GEOMETRY)
+def from_wkb(data: pa.Array) -> pa.Array:
+    return geometries([decode_wkb(x) for x in data.to_pylist()])

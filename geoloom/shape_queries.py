@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .fixtures import expanded, fixture, with_box
 from .functions import geometry as g
+from .functions import wkt
 from .operators import outlines, overlay
 from .plans import imagery
 from .queries import SMALL
@@ -219,6 +220,24 @@ r AS (SELECT geoid, x0, x1, unnest(range(CAST(ceil(y0 / 1050) AS BIGINT), CAST(c
 q AS (SELECT geoid, r, unnest(range(CAST(ceil(x0 / (700 * sqrt(3::DOUBLE)) - r / 2) AS BIGINT), CAST(ceil(x1 / (700 * sqrt(3::DOUBLE)) - r / 2) AS BIGINT))) q FROM r)
 SELECT geoid, count(*) cells, CAST(sum(q) AS BIGINT) q, CAST(sum(r) AS BIGINT) r FROM q GROUP BY 1"""
 
+def wkt_shapes(spark, d) -> DataFrame:
+    """Shapes written as text and read again: text, area, type, and whether they are valid; some are bow ties, some have two parts."""
+    k, w, h = F.col("p_partkey"), (F.col("p_size") + 1).cast("double"), F.lit(3.0)
+    ring = lambda *pts: F.array(*(g.point_struct(k + x, y) for x, y in [*pts, pts[0]]))
+    zero = F.lit(0.0)
+    box, tie = ring((zero, zero), (w, zero), (w, h), (zero, h)), ring((zero, zero), (w, h), (w, zero), (zero, h))
+    second = ring((w + 1, zero), (w + 2, zero), (w + 2, F.lit(0.5)))
+    shape = F.when(k % 3 == 0, _shape(tie)).when(k % 3 == 1, _shape(box, second)).otherwise(_shape(box))
+    rows = fixture(spark, d, "part").select("p_partkey", wkt.to_wkt(shape).alias("text")).withColumn("back", wkt.from_wkt("text"))
+    return rows.select("p_partkey", "text", g.area(F.col("back")).alias("area"), wkt.geometry_type(F.col("back")).alias("kind"), wkt.is_valid(F.col("back")).alias("valid"))
+
+
+WKT_SQL = """
+WITH p AS (SELECT p_partkey k, p_partkey + p_size + 1 e FROM part)
+SELECT k p_partkey, CASE k % 3 WHEN 0 THEN format('POLYGON (({0} 0, {1} 3, {1} 0, {0} 3, {0} 0))', k, e) WHEN 1 THEN format('MULTIPOLYGON ((({0} 0, {1} 0, {1} 3, {0} 3, {0} 0)), (({2} 0, {3} 0, {3} 0.5, {2} 0)))', k, e, e + 1, e + 2)
+  ELSE format('POLYGON (({0} 0, {1} 0, {1} 3, {0} 3, {0} 0))', k, e) END AS text,
+  CASE k % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 * (e - k) + 0.25 ELSE 3 * (e - k) END::DOUBLE area, CASE WHEN k % 3 = 1 THEN 'MULTIPOLYGON' ELSE 'POLYGON' END kind, k % 3 <> 0 AS valid FROM p"""
+
 _ALL = {
     "county_boundaries": (county_boundaries, COUNTY_SQL),
     "island_area": (island_area, ISLAND_SQL),
@@ -229,7 +248,8 @@ _ALL = {
     "clip_metrics": (clip_metrics, CLIP_SQL),
     "touched_cells": (touched_cells, TOUCH_SQL),
     "county_hexagons": (county_hexagons, HEXAGON_SQL),
+    "wkt_shapes": (wkt_shapes, WKT_SQL),
 }
 
 QUERIES = {n: f for n, (f, _) in _ALL.items()}
-ORACLE_SQL = {n: expanded(sql) for n, (_, sql) in _ALL.items()}
+ORACLE_SQL = {n: sql if n == "wkt_shapes" else expanded(sql) for n, (_, sql) in _ALL.items()}
