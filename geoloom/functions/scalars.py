@@ -255,3 +255,10 @@ def whole_number(c: Column) -> Column:
     """A text or number as long if it has no fraction, else null."""
     x = c.try_cast("double")
     return F.when((x == F.floor(x)) & (F.abs(x) < 2.0**53), x.cast("long"))
+
+
+def resolution_text(metres: Column) -> Column:
+    """A resolution as text: below a metre in whole centimetres, else in metres with up to two decimals; `unknown` for null, zero and less."""
+    cm = F.format_string("%d cm", F.round(metres * 100).cast("long"))
+    m = F.concat(F.regexp_replace(F.format_string("%.2f", metres), r"\.?0+$", ""), F.lit(" m"))
+    return F.when(metres > 0, F.when(F.round(metres * 100) < 100, cm).otherwise(m)).otherwise("unknown")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .fixtures import expanded, fixture, with_box
 from .functions import geometry as g
 from .functions import scalars as s
-from .operators import tables
-from .operators.spatial import points_within
+from .operators import statistics, tables
+from .operators.spatial import areas_of, assign_any, contiguity, points_within
 from .plans import catalog, census, rooftops
 from .sources import files
 from .sources.files import parquet_stream, shared_folder
@@ -195,6 +195,43 @@ f AS (SELECT *, row_number() OVER (PARTITION BY part, l_returnflag ORDER BY l_ex
 t AS (SELECT part, l_returnflag FROM f WHERE k = 1 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, part, l_returnflag LIMIT 50)
 SELECT part, l_returnflag, count(*) n, CAST(max(l_extendedprice) AS DOUBLE) most FROM l JOIN t USING (part, l_returnflag) GROUP BY 1, 2"""
 
+def morans_permuted(spark, d) -> DataFrame:
+    """Moran's I of population per county with 999 permutations: pseudo p and z."""
+    bg = with_box(fixture(spark, d, "block_groups"))
+    values = bg.join(fixture(spark, d, "acs").select(F.col("bg_geoid").alias("geoid"), "population"), "geoid")
+    out = statistics.morans_i(values, contiguity(bg, area_id="geoid"), area_id="geoid", value="population", by="county_geoid", permutations=999)
+    return out.select("county_geoid", "n", _r("moran_i").alias("moran_i"), _r("pseudo_p", 4).alias("pseudo_p"), _r("z", 4).alias("z"))
+
+
+PERMUTED_SQL = """
+WITH v AS (SELECT g.county_geoid c, g.geoid, minx, maxx, miny, a.population - avg(a.population) OVER (PARTITION BY county_geoid) z, count(*) OVER (PARTITION BY county_geoid) n, row_number() OVER (PARTITION BY county_geoid ORDER BY g.geoid) p
+  FROM {block_groups} g JOIN {acs} a ON a.bg_geoid = g.geoid),
+e AS (SELECT a.c, a.p s, b.p t, 1.0::DOUBLE / count(*) OVER (PARTITION BY a.geoid) w FROM v a JOIN v b ON a.c = b.c AND a.geoid <> b.geoid AND abs(a.minx - b.minx) < 1.05 * (a.maxx - a.minx) AND abs(a.miny - b.miny) < 0.035),
+d AS (SELECT c, k, z, n, row_number() OVER (PARTITION BY c, k ORDER BY CASE WHEN k = 0 THEN '' ELSE md5('1-' || k || '-' || geoid) END, geoid) p FROM v, (SELECT unnest(range(1000)) k) WHERE n >= 5),
+i AS (SELECT e.c, a.k, sum(w * a.z * b.z) / sum(w) m FROM e JOIN d a ON a.c = e.c AND a.p = e.s JOIN d b ON b.c = e.c AND b.p = e.t AND b.k = a.k GROUP BY 1, 2),
+j AS (SELECT i.c, k, m * q.n / q.zz i, q.n FROM i JOIN (SELECT c, count(*) n, sum(z * z) zz FROM v GROUP BY 1) q ON q.c = i.c),
+o AS (SELECT c, n, i FROM j WHERE k = 0)
+SELECT o.c county_geoid, o.n, round(o.i, 6) moran_i, round((least(count(*) FILTER (j.i >= o.i), 999 - count(*) FILTER (j.i >= o.i)) + 1) / 1000::DOUBLE, 4) pseudo_p, round((o.i - avg(j.i)) / stddev_pop(j.i), 4) z
+FROM o JOIN j ON j.c = o.c AND k > 0 GROUP BY o.c, o.n, o.i"""
+
+
+def panels_by_area(spark, d) -> DataFrame:
+    """Panels by the county that holds their centre, else one they meet: number, projected area, its mean, and the largest panel."""
+    p = with_box(fixture(spark, d, "panels"))
+    p = p.withColumns({"x": (F.col("minx") + F.col("maxx")) / 2 + 0.04, "y": (F.col("miny") + F.col("maxy")) / 2})
+    own = assign_any(p.withColumns({"maxx": F.col("maxx") + 0.04}), with_box(fixture(spark, d, "counties")), left_id="panel_id", area_id="geoid", x="x", y="y", cell=0.02, boxes=True)
+    out = areas_of(own.where("geoid IS NOT NULL"), ["geoid"], to=g.to_mercator, id_column="panel_id")
+    return out.select("geoid", "shapes", _r("area", 2).alias("area"), _r("mean_area", 3).alias("mean_area"))
+
+
+_MERC_X, _MERC_Y = "6378137 * radians({0})", "6378137 * ln(tan(pi() / 4 + radians({0}) / 2))"
+AREAS_SQL = f"""
+WITH p AS (SELECT panel_id, minx, maxx, miny, maxy, maxx + 0.04::DOUBLE mx, (minx + maxx) / 2 + 0.04::DOUBLE x, (miny + maxy) / 2 y FROM {{panels}}), c AS (SELECT * FROM {{counties}}),
+i AS (SELECT panel_id, min(geoid) geoid FROM p JOIN c ON x >= c.minx AND x < c.maxx AND y >= c.miny AND y < c.maxy GROUP BY 1),
+m AS (SELECT panel_id, min(geoid) geoid FROM p JOIN c ON p.minx <= c.maxx AND c.minx <= p.mx AND p.miny <= c.maxy AND c.miny <= p.maxy GROUP BY 1),
+a AS (SELECT coalesce(i.geoid, m.geoid) geoid, ({_MERC_X.format("p.maxx")} - {_MERC_X.format("p.minx")}) * ({_MERC_Y.format("p.maxy")} - {_MERC_Y.format("p.miny")}) size FROM p LEFT JOIN i ON i.panel_id = p.panel_id LEFT JOIN m ON m.panel_id = p.panel_id)
+SELECT geoid, count(*) shapes, round(sum(size), 2) area, round(avg(size), 3) mean_area FROM a WHERE geoid IS NOT NULL GROUP BY 1"""
+
 _ALL = {
     "newest_items": (newest_items, NEWEST_SQL),
     "canonical_nested": (canonical_nested, NESTED_SQL),
@@ -206,6 +243,8 @@ _ALL = {
     "survey_shares": (survey_shares, SURVEY_SQL),
     "pv_sources": (pv_sources, SOURCES_SQL),
     "asset_groups": (asset_groups, GROUPS_SQL),
+    "morans_permuted": (morans_permuted, PERMUTED_SQL),
+    "panels_by_area": (panels_by_area, AREAS_SQL),
 }
 
 QUERIES = {n: f for n, (f, _) in _ALL.items()}

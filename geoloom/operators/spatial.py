@@ -100,6 +100,23 @@ def assign_two_stage(left: DataFrame, areas: DataFrame, *, left_id: str, area_id
     return out.withColumn(area_id, F.coalesce("__point", area_id)).drop("__point")
 
 
+def assign_any(left: DataFrame, areas: DataFrame, *, left_id: str, area_id: str, x: str, y: str, cell: float, boxes: bool = False) -> DataFrame:
+    """left with the area that holds its point, else any that it meets, borders included; several: the smallest id."""
+    inside = points_within(left, areas, point_id=left_id, area_id=area_id, x=x, y=y, cell=cell, boxes=boxes).groupBy(left_id).agg(F.min(area_id).alias("__point"))
+    rest = left.join(inside, left_id, "left_anti")
+    met = overlap_pairs(rest, areas, left_id=left_id, right_id=area_id, cell=cell, boxes=boxes).groupBy(left_id).agg(F.min(area_id).alias("__met"))
+    out = left.join(inside, left_id, "left").join(met, left_id, "left")
+    return out.withColumn(area_id, F.coalesce("__point", "__met")).drop("__point", "__met")
+
+
+def areas_of(shapes: DataFrame, by: list[str], *, to=None, id_column: str | None = None) -> DataFrame:
+    """Per group: shapes, their area in the coordinates' units or, with a projection `to`, in those of the projected ones, its mean, and the largest (its id, ties to the smaller)."""
+    geom = F.col("geom") if to is None else g.projected(F.col("geom"), to)
+    sized = shapes.withColumn("__a", g.area(geom))
+    largest = [F.min_by(id_column, F.struct((-F.coalesce("__a", F.lit(-1.0))).alias("a"), F.col(id_column).alias("id"))).alias("largest")] if id_column else []
+    return sized.groupBy(*by).agg(F.count("*").alias("shapes"), F.coalesce(F.sum("__a"), F.lit(0.0)).alias("area"), F.avg("__a").alias("mean_area"), *largest)
+
+
 def flag_intersecting(left: DataFrame, pairs: DataFrame, *, left_id: str, flag: str) -> DataFrame:
     """left with a boolean: it is in one of the pairs."""
     keys = pairs.select(left_id).distinct().withColumn("__hit", F.lit(True))

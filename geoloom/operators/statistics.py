@@ -102,7 +102,8 @@ def morans_i(values: DataFrame, edges: DataFrame, *, area_id: str, value: str, b
     """Per group: n, moran_i and, with permutations, pseudo_p and z; groups with fewer than `least` areas are left out.
 
     edges: src, dst, w, of which those between areas of one group with a value count, each row's weights scaled to 1.
-    A permutation deals a group's values anew in the order of a hash of seed, permutation and area.
+    A permutation deals a group's values anew in the order of the MD5 of seed, permutation and area, joined by
+    hyphens, so that any engine gets the same ones.
     """
     rows = values.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(area_id).alias("id"), F.col(value).cast("double").alias("v"))
     stats = rows.groupBy("g").agg(F.avg("v").alias("m"), F.count("*").alias("n")).where(F.col("n") >= least)
@@ -111,7 +112,7 @@ def morans_i(values: DataFrame, edges: DataFrame, *, area_id: str, value: str, b
     inner = edges.join(src, "src").join(dst, "dst").where("gs = gd")
     inner = inner.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select(F.col("gs").alias("g"), "src", "dst", "w")
     draws = z.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    order = F.when(F.col("perm") == 0, F.lit(0)).otherwise(F.xxhash64(F.lit(seed), "perm", "id"))
+    order = F.when(F.col("perm") == 0, F.lit("")).otherwise(F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col("perm").cast("string"), F.col("id").cast("string"))))
     position = F.row_number().over(Window.partitionBy("g", "perm").orderBy(order, "id"))
     place = F.row_number().over(Window.partitionBy("g").orderBy("id"))
     dealt = draws.withColumn("p", position).select("g", "perm", "p", "z")

@@ -29,6 +29,18 @@ def sheet_summary(cells: DataFrame) -> DataFrame:
     return cells.groupBy("sheet").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("columns"), F.count("value").alias("filled"))
 
 
+def sheet_report(cells: DataFrame, *, period: list[str], capacity: list[str], clients: list[str], period_col: int = 1, first: int = 12) -> DataFrame:
+    """Per sheet: rows, columns, the row that holds all three labels first (null without one), its first labels, and the least and greatest date in the column of periods."""
+    label = cells.where("value IS NOT NULL").withColumn("label", normal_label(F.col("value")))
+    marks = [F.max(has_tokens(F.col("label"), t)).alias(k) for k, t in (("p", period), ("c", capacity), ("n", clients))]
+    head = label.groupBy("sheet", "row").agg(*marks).where("p AND c AND n").groupBy("sheet").agg(F.min("row").alias("header_row"))
+    own = label.join(head, "sheet").where("row = header_row").select("sheet", "col", "label")
+    labels = own.groupBy("sheet").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("col", "label"))), lambda x: x.label), 1, first).alias("labels"))
+    dates = cells.where(F.col("col") == period_col).groupBy("sheet").agg(*(f(F.col("value").try_cast("date")).alias(f"period_{n}") for n, f in (("min", F.min), ("max", F.max))))
+    out = sheet_summary(cells).join(head, "sheet", "left").join(labels, "sheet", "left").join(dates, "sheet", "left")
+    return out.select("sheet", "rows", "columns", "filled", "header_row", "labels", "period_min", "period_max")
+
+
 def quarterly(monthly: DataFrame, start: str | None = None, end: str | None = None, by: list[str] = ()) -> DataFrame:
     """The last month of each quarter, with quarter columns and changes to the quarter before; growth of 0 is null.
 

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geometry import box, envelope, intersects
-from ..functions.scalars import resolve_href, timestamp
+from ..functions.geometry import box, envelope, intersects, signed_area
+from ..functions.scalars import canonical_json, resolve_href, timestamp
 from ..operators.tables import first_per
 from ..sources.files import saved, shared_folder
 
@@ -206,6 +206,29 @@ def merged_items(frames: list[DataFrame], order: list[Column] = ()) -> DataFrame
     return last.orderBy(F.desc(when), F.desc("__collection"), F.desc("__id")).drop("__frame", "__id", "__collection")
 
 
+def item_json(items: DataFrame, geom: str = "geom") -> Column:
+    """A row of items as a JSON item: keys in order at any depth, the geometry as GeoJSON, the box as four numbers, type Feature if it has none."""
+    ring = lambda r: F.transform(r, lambda p: F.array(p.x, p.y))
+    values = {c: F.col(f"`{c}`") for c in items.columns if c not in (geom, "bbox")}
+    if geom in items.columns:
+        # a shell, counter-clockwise, starts a polygon; its holes follow
+        empty = F.array().cast("array<array<array<array<double>>>>")
+
+        def add(done: Column, r: Column) -> Column:
+            starts = (signed_area(F.struct(F.array(r).alias("rings"))) >= 0) | (F.size(done) == 0)
+            joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(F.element_at(done, -1), F.array(ring(r)))))
+            return F.when(starts, F.concat(done, F.array(F.array(ring(r))))).otherwise(joined)
+
+        parts = F.aggregate(F.col(f"{geom}.rings"), empty, add)
+        shape = F.struct(parts.alias("coordinates"), F.lit("MultiPolygon").alias("type"))
+        values["geometry"] = F.when(F.size(f"{geom}.rings") > 0, shape)
+    if "bbox" in items.columns:
+        corners = box_bounds(items)
+        values["bbox"] = F.when(corners["maxy"].isNotNull(), F.array(*corners.values()))
+    values["type"] = F.coalesce(values.get("type", F.lit(None)), F.lit("Feature"))
+    return canonical_json(values, of=items)
+
+
 def consolidated(sources: dict[str, Callable[[], DataFrame]], empty: DataFrame) -> tuple[DataFrame, list[tuple[str, str, int]]]:
     """Union of sources, of rows with equal (source, item_id) the latest; and (source, note, rows) each. A source that fails gives no rows and its error as note."""
     parts, notes = [empty], []

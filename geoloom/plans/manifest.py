@@ -105,6 +105,13 @@ def probe_summary(probe: DataFrame, cutoff: str, by: list[str]) -> tuple[DataFra
     return tiles, failed
 
 
+def manifest_preview(manifest: DataFrame, by: list[str] = ("priority", "municipio", "required_quality")) -> DataFrame:
+    """Tiles, points and buildings per group of a manifest, by its columns that are there, in their order."""
+    have = [c for c in by if c in manifest.columns]
+    total = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("points", "building_count") if c in manifest.columns]
+    return manifest.groupBy(*have).agg(F.count("*").alias("tiles"), *total).orderBy(*(F.desc_nulls_last(c) if c == "priority" else F.asc_nulls_last(c) for c in have))
+
+
 def within_budget(manifest: DataFrame, order: list[str], costs: Column, cap: int, parts: int | None = None) -> DataFrame:
     """Rows in order while the sum of costs before them stays below the cap; costs aren't negative, a null one is 0.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -58,6 +59,32 @@ def read_delimited(spark: SparkSession, path: str, *, sep: str = ",", encoding:
     return df if keep is None else df.where(keep)
 
 
+def read_after_preamble(spark: SparkSession, path: str, names: list[str], *, sep: str = ",", encoding: str = "UTF-8", above: int = 1) -> DataFrame:
+    """All columns as text from files whose header comes after `above` lines; columns `names`, found in the header by their cleaned names whatever their place, null where it hasn't one.
+
+    Each file has its own header. Lines are those of files read whole, so files are small ones, such as catalogs; quoted fields may
+    hold separators and doubled quotes, but no line ends. Blank lines go.
+    """
+    if encoding.upper() not in ("UTF-8", "UTF8"):
+        raw = spark.read.format("binaryFile").load(path).select(F.col("path"), F.decode("content", encoding).alias("text"))
+    else:
+        raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    lines = F.filter(F.split(F.regexp_replace("text", "^\ufeff", ""), "\r?\n"), lambda x: F.trim(x) != "")
+    quoted = f'"(?:[^"]|"")*"|[^{re.escape(sep)}]*'
+    # every field is followed by a separator
+    fields = lambda x: F.transform(F.regexp_extract_all(F.concat(x, F.lit(sep)), F.lit(f"({quoted}){re.escape(sep)}"), F.lit(1)), bare)
+
+    def bare(f: Column) -> Column:
+        return F.when(f.rlike('^".*"$'), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
+
+    rows = raw.select(lines.alias("l")).where(F.size("l") > above)
+    clean = lambda f: F.trim(F.regexp_replace(f, "\s+", " "))
+    head = F.transform(fields(F.get("l", F.lit(above))), clean)
+    body = rows.select(head.alias("h"), F.explode(F.slice("l", above + 2, 1 << 30)).alias("x")).select("h", fields(F.col("x")).alias("f"))
+    place = lambda n: F.array_position("h", n).cast("int")
+    return body.select(*(F.nullif(F.when(place(n) > 0, F.get("f", place(n) - 1)), F.lit("")).alias(n) for n in names))
+
+
 def read_lines_of_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON object per line; lines that don't parse are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -243,6 +270,12 @@ def preview(spark: SparkSession, name: str, rows: int = 5) -> tuple[list[tuple[s
     return df.dtypes, df.limit(rows)
 
 
+def tables_of(spark: SparkSession, pattern: str = "*") -> DataFrame:
+    """name and kind (table or view) of the tables and temporary views whose name fits a pattern with asterisks, by name."""
+    found = [(x.name, "view" if x.isTemporary or x.tableType == "VIEW" else "table") for x in spark.catalog.listTables(pattern=pattern)]
+    return spark.createDataFrame(sorted(found), "name string, kind string")
+
+
 def drop_relation(spark: SparkSession, name: str) -> str:
     """Drop a table or temporary view; returns which it was, or none."""
     if spark.catalog.dropTempView(name):

@@ -121,3 +121,67 @@ def test_projection_of_shapes(spark):
     df = spark.createDataFrame([(RING,), (None,)], f"geom {g.GEOMETRY}")
     rows = df.select(g.projected(F.col("geom")).alias("p")).collect()
     assert rows[0].p.srid == 3857 and rows[0].p.rings[0][1].x == pytest.approx(445277.963, abs=1e-2) and rows[1].p.rings is None
+
+
+def test_files_with_a_preamble(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("\ufeffList of tables,,\n\nTable  ID,Table\tTitle,Year\nB1,\"Age, \"\"sex\"\"\",2020\nB2,Añ\n".encode())
+    (tmp_path / "b.csv").write_bytes(b"x\r\nYear,Table ID\r\n2021,B3\r\n")
+    rows = files.read_after_preamble(spark, str(tmp_path / "*.csv"), ["Table ID", "Table Title", "Year", "None"]).collect()
+    assert sorted(map(tuple, rows)) == [("B1", 'Age, "sex"', "2020", None), ("B2", "Añ", None, None), ("B3", None, "2021", None)]
+    (tmp_path / "c.txt").write_bytes("x\nk;v\né;1\n".encode("latin-1"))
+    assert [tuple(r) for r in files.read_after_preamble(spark, str(tmp_path / "c.txt"), ["k", "v"], sep=";", encoding="ISO-8859-1").collect()] == [("é", "1")]
+
+
+def test_sheet_report(spark):
+    from geoloom.plans import capacity
+
+    grid = [["Title"], [None, "Período", "Capacidad (kW)", "Clientes NEM"], [None, "2020-01-01", "5", "1"], [None, "2019-03-01", "6", None], [None, "total", "11", None]]
+    cells = [("s", r, c, v) for r, row in enumerate(grid) for c, v in enumerate(row)] + [("empty", 0, 0, "x")]
+    rows = {r.sheet: r for r in capacity.sheet_report(spark.createDataFrame(cells, "sheet string, row int, col int, value string"), period=["periodo"], capacity=["capacidad"], clients=["clientes"]).collect()}
+    r = rows["s"]
+    assert (r.rows, r.columns, r.header_row, r.labels, str(r.period_min), str(r.period_max)) == (5, 4, 1, ["periodo", "capacidad kw", "clientes nem"], "2019-03-01", "2020-01-01")
+    assert (rows["empty"].header_row, rows["empty"].labels, rows["empty"].period_min) == (None, None, None)
+
+
+def test_tables_are_listed(spark):
+    spark.range(1).createOrReplaceTempView("listed_view")
+    assert ("listed_view", "view") in {tuple(r) for r in files.tables_of(spark, "listed*").collect()}
+    assert files.tables_of(spark, "nothing_like_it").isEmpty()
+
+
+def test_resolution_text(spark):
+    from geoloom.functions import scalars as s
+
+    df = spark.createDataFrame([(0.3,), (0.076,), (0.999,), (1.0,), (1.5,), (2.25,), (10.0,), (0.0,), (None,)], "m double")
+    assert [r[0] for r in df.select(s.resolution_text(F.col("m"))).collect()] == ["30 cm", "8 cm", "1 m", "1 m", "1.5 m", "2.25 m", "10 m", "unknown", "unknown"]
+
+
+def test_items_as_json(spark):
+    import json
+
+    from .test_wkt import TWO
+
+    rows = [("b", {"z": 1.0, "a": float("nan")}, [0.0, 1.0, 2.0, 3.0], TWO), ("n", None, None, None)]
+    df = spark.createDataFrame(rows, f"id string, properties map<string,double>, bbox array<double>, geom {g.GEOMETRY}")
+    got = [json.loads(r[0]) for r in df.select(catalog.item_json(df)).collect()]
+    assert list(got[0]) == ["bbox", "geometry", "id", "properties", "type"] and got[0]["properties"] == {"a": None, "z": 1.0} and got[0]["bbox"] == [0, 1, 2, 3]
+    shape = got[0]["geometry"]
+    assert shape["type"] == "MultiPolygon" and [len(p) for p in shape["coordinates"]] == [2, 1] and shape["coordinates"][1][0][0] == [9, 9]
+    assert got[1] == {"bbox": None, "geometry": None, "id": "n", "properties": None, "type": "Feature"}
+
+
+def test_any_area(spark):
+    kind = "minx double, miny double, maxx double, maxy double"
+    left = spark.createDataFrame([(1, 0.5, 0.5, 0.0, 0.0, 1.0, 1.0), (2, 9.0, 9.0, 0.5, 0.5, 2.5, 1.0), (3, 9.0, 9.0, 8.0, 8.0, 8.5, 8.5)], f"k int, x double, y double, {kind}")
+    areas = spark.createDataFrame([("b", 0.0, 0.0, 1.0, 1.0), ("a", 2.0, 0.0, 3.0, 1.0)], f"area string, {kind}")
+    assert {r.k: r.area for r in spatial.assign_any(left, areas, left_id="k", area_id="area", x="x", y="y", cell=1.0, boxes=True).collect()} == {1: "b", 2: "a", 3: None}
+    shapes = spark.createDataFrame([("p", 2, rect(0, 0, 2, 2)), ("p", 1, rect(0, 0, 2, 2)), ("p", 0, rect(0, 0, 1, 1)), ("q", 9, None)], f"k string, id int, geom {g.GEOMETRY}")
+    rows = {r.k: tuple(r)[1:] for r in spatial.areas_of(shapes, ["k"], id_column="id").collect()}
+    assert rows == {"p": (3, 9.0, 3.0, 1), "q": (1, 0.0, None, 9)}
+
+
+def test_manifest_preview(spark):
+    from geoloom.plans import manifest
+
+    df = spark.createDataFrame([(1, "a", "HIGH", 2), (3, "b", "HIGH", 0), (1, "a", "HIGH", 5), (None, None, "LOW", 1)], "priority int, municipio string, required_quality string, points int")
+    assert [tuple(r) for r in manifest.manifest_preview(df).collect()] == [(3, "b", "HIGH", 1, 0), (1, "a", "HIGH", 2, 7), (None, None, "LOW", 1, 1)]
