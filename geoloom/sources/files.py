@@ -78,7 +78,7 @@ def read_after_preamble(spark: SparkSession, path: str, names: list[str], *, sep
         return F.when(f.rlike('^".*"$'), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
 
     rows = raw.select(lines.alias("l")).where(F.size("l") > above)
-    clean = lambda f: F.trim(F.regexp_replace(f, "\s+", " "))
+    clean = lambda f: F.trim(F.regexp_replace(f, r"\s+", " "))
     head = F.transform(fields(F.get("l", F.lit(above))), clean)
     body = rows.select(head.alias("h"), F.explode(F.slice("l", above + 2, 1 << 30)).alias("x")).select("h", fields(F.col("x")).alias("f"))
     place = lambda n: F.array_position("h", n).cast("int")
