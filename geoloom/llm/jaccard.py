@@ -5,11 +5,14 @@ a text's shingles, and texts that agree in a band meet. At a similarity of 0.8,
 with a probability of 3 in 100,000, and less above. Every candidate is then checked on the whole sets of
 64-bit shingle hashes, so what is linked is similar.
 
-In a band's bucket with more than `pairwise` texts, rows grow with the number of texts and not with its square:
-all are compared with one text, that of least hash, so that it tends to be the same in all bands. Those not
-similar to it are compared, in every band, with another of the bucket's texts and with one of their own kind,
-different ones in each band. So of a group of near copies a text is linked directly or through any of some forty
-others; a text that is similar to members of the group but to none of these isn't found.
+In a band's bucket with more than `pairwise` texts not all pairs meet. First large groups are gathered: all texts are
+compared with one, that of least hash, so that it tends to be the same in all bands; those not similar to it with
+another one of theirs, and so on for a few rounds, or until a round gathers little. What links then are still
+missing join texts of crowded buckets whose components differ, one of them apart from its bucket's first text. These
+are found exactly, by prefix filtering: shingles are ordered by rarity among the texts concerned, and two texts of
+similarity `least` share one of the first few (the longer text looks up its first |x| - least |x| + 1 shingles among the
+first |x| - 2 least / (1 + least) |x| + 1 of shorter ones), at places that leave room for enough others. So texts that share
+boilerplate, but less than it takes, don't meet, as what is common comes last. No partner and no candidate is left out.
 
 Edge cases: null and empty texts have no shingles and no links; a text of fewer words than a shingle has is
 one shingle. Copies of a text are one text. Empty tables give no rows.
@@ -17,6 +20,7 @@ one shingle. Copies of a text are one text. Empty tables give no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
+from .components import components
 from .simhash import shingle_hashes
 
 
@@ -48,7 +53,7 @@ def band_keys(hashes: np.ndarray, odd: np.ndarray, mask: np.ndarray, bands: int)
     return key.view(np.int64)
 
 
-def similar_texts(docs: DataFrame, *, text: str = "text", shingle: int = 5, least: float = 0.8, bands: int = 20, rows: int = 4, pairwise: int = 8) -> DataFrame:
+def similar_texts(docs: DataFrame, *, text: str = "text", shingle: int = 5, least: float = 0.8, bands: int = 20, rows: int = 4, pairwise: int = 8, rounds: int = 6) -> DataFrame:
     """Edges (a, b), a < b: xxhash64 of two texts of similarity `least` or more."""
     odd, mask = factors(bands * rows)
 
@@ -64,8 +69,8 @@ def similar_texts(docs: DataFrame, *, text: str = "text", shingle: int = 5, leas
     texts = docs.select(F.xxhash64(text).alias("key"), F.col(text).cast("binary").alias("text"))
     sketches = texts.mapInArrow(sketch, "key long, size long, bands array<long>").dropDuplicates(["key"])
     members = saved(sketches.select("key", "size", F.posexplode("bands").alias("band", "bucket")), "bands")
-    counts = members.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key").alias("order"), "key", "size")).alias("first"), F.min(F.struct(F.xxhash64("key", "band").alias("order"), "key", "size")).alias("second"))
-    counts = saved(counts.where("n > 1").select("band", "bucket", "n", F.col("first.key").alias("key0"), F.col("first.size").alias("size0"), F.col("second.key").alias("key1"), F.col("second.size").alias("size1")), "buckets")
+    counts = members.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key").alias("order"), "key", "size")).alias("first"))
+    counts = saved(counts.where("n > 1").select("band", "bucket", "n", F.col("first.key").alias("key0"), F.col("first.size").alias("size0")), "buckets")
     like = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)
 
     some = saved(members.join(counts.where(F.col("n") <= pairwise).select("band", "bucket"), ["band", "bucket"], "left_semi"), "light")
@@ -97,16 +102,95 @@ def similar_texts(docs: DataFrame, *, text: str = "text", shingle: int = 5, leas
         return saved(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "similar")
 
     links = verified(pairs)
-    # of crowded buckets, those that aren't linked to the one all were compared with
-    crowd = counts.where(F.col("n") > pairwise).select("band", "bucket", "key0", "key1", "size1")
-    near = links.select(F.col("a").alias("key"), F.col("b").alias("key0")).union(links.select("b", "a"))
-    rest = members.join(crowd, ["band", "bucket"]).where("key <> key0").join(near, ["key", "key0"], "left_anti")
-    rest = saved(rest.select("band", "bucket", "key", "size", "key1", "size1"), "rest")
-    if rest.isEmpty():
+    first = counts.where(F.col("n") > pairwise).select("band", "bucket", "key0")
+    crowd = saved(members.join(first, ["band", "bucket"]), "crowd")
+    if crowd.isEmpty():
         return links
-    own = rest.groupBy("band", "bucket").agg(F.min(F.struct(F.xxhash64("key", "band").alias("order"), "key", "size")).alias("own"))
-    own = saved(own.select("band", "bucket", F.col("own.key").alias("key2"), F.col("own.size").alias("size2")), "own")
-    with_own = rest.join(own, ["band", "bucket"])
-    both = [rows.where((F.col("key") != F.col(k)) & like(F.col("size"), F.col(n))).select(F.least("key", k).alias("a"), F.greatest("key", k).alias("b")) for rows, k, n in ((rest, "key1", "size1"), (with_own, "key2", "size2"))]
-    more = both[0].union(both[1]).distinct().join(pairs, ["a", "b"], "left_anti")
-    return links.union(verified(saved(more, "candidates"))).distinct()
+    # gather the groups in crowded buckets: what isn't linked to one text is compared with the next
+    rest, n, pivot, found = crowd.select("band", "bucket", "key", "size"), None, first.withColumnRenamed("key0", "pivot"), links
+    for _ in range(rounds):
+        near = found.select(F.col("a").alias("key"), F.col("b").alias("pivot")).union(found.select("b", "a"))
+        left = rest.join(pivot, ["band", "bucket"]).where("key <> pivot").join(near, ["key", "pivot"], "left_anti")
+        rest, before = saved(left.select("band", "bucket", "key", "size"), "rest"), n
+        n = rest.count()
+        if not n or before is not None and n > 0.9 * before:
+            break
+        pivot = rest.groupBy("band", "bucket").agg(F.min(F.struct(F.xxhash64("key").alias("order"), F.col("key").alias("pivot"), F.col("size").alias("size1"))).alias("p"))
+        pivot = saved(pivot.select("band", "bucket", "p.pivot", "p.size1"), "pivots")
+        more = rest.join(pivot, ["band", "bucket"]).where((F.col("key") != F.col("pivot")) & like(F.col("size"), F.col("size1")))
+        found = verified(saved(more.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct(), "candidates"))
+        links = saved(links.union(found).distinct(), "links")
+    # texts of crowded buckets by component, and which of them are apart from the first text of a bucket
+    label = components(links).select(F.col("node").alias("key"), "root")
+    texts_of = crowd.select("key", "size").distinct().join(label, "key", "left").select("key", "size", F.coalesce("root", "key").alias("root"))
+    texts_of = saved(texts_of, "crowded")
+    root = texts_of.select("key", "root")
+    ends = crowd.select("key", "key0").distinct().join(root, "key").join(root.select(F.col("key").alias("key0"), F.col("root").alias("root0")), "key0")
+    apart = saved(ends.where("root <> root0").select("key").distinct(), "apart")
+    if apart.isEmpty():
+        return links
+    again = prefix_pairs(texts.join(texts_of, "key").dropDuplicates(["key"]), apart, shingle=shingle, least=least)
+    return links.union(verified(saved(again.join(links, ["a", "b"], "left_anti"), "candidates"))).distinct()
+
+
+_SLOTS = 1 << 20
+
+
+def prefix_pairs(texts: DataFrame, apart: DataFrame, *, shingle: int, least: float) -> DataFrame:
+    """Pairs (a, b), a < b, of keys of texts (key, text, root) with different roots, one of the two in `apart`, that can be similar by prefix, size and place.
+
+    The driver gathers, and sends, how often shingles occur, in 2 ** 20 slots by hash, and which of these slots the
+    first shingles of texts apart have: 5 MB whatever the tables. Any counts give right pairs; good ones few.
+    """
+    mask = np.uint64(_SLOTS - 1)
+    texts = texts.join(apart.withColumn("apart", F.lit(True)), "key", "left").select("key", "root", "text", F.coalesce("apart", F.lit(False)).alias("apart"))
+    texts = saved(texts, "texts")
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.zeros(_SLOTS, np.int64)
+            for t in batch.column("text").to_pylist():
+                np.add.at(n, (np.unique(shingle_hashes(t, shingle)) & mask).astype(np.int64), 1)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["slot", "n"])
+
+    counts = texts.select("text").mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(_SLOTS, np.int64)
+    often[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(often)
+    prefix = lambda n, share: n - math.ceil(share * n - 1e-9) + 1
+
+    def ordered(text: bytes) -> np.ndarray:
+        h = np.unique(shingle_hashes(text, shingle))
+        return h[np.lexsort((h, sent.value[(h & mask).astype(np.int64)]))]
+
+    def first_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = np.zeros(_SLOTS, bool)
+            for t in batch.column("text").to_pylist():
+                h = ordered(t)
+                seen[(h[: prefix(len(h), least)] & mask).astype(np.int64)] = True
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], ["slot"])
+
+    wanted = np.zeros(_SLOTS, bool)
+    wanted[texts.where("apart").select("text").mapInArrow(first_slots, "slot long").distinct().toArrow().column("slot").to_numpy()] = True
+    asked = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, root, text, own in zip(*(batch.column(c).to_pylist() for c in ("key", "root", "text", "apart"))):
+                h = ordered(text)
+                n = len(h)
+                h = h[: prefix(n, least)]
+                at = np.flatnonzero(asked.value[(h & mask).astype(np.int64)])
+                same = lambda v, kind: pa.array(np.full(len(at), v), kind)  # noqa: E731, B023
+                cols = [pa.array(h[at].view(np.int64)), same(key, pa.int64()), same(root, pa.int64()), same(own, pa.bool_()), same(n, pa.int64()), pa.array(n - at), pa.array(at < prefix(n, 2 * least / (1 + least)))]
+                yield pa.RecordBatch.from_arrays(cols, ["token", "key", "root", "apart", "n", "left", "listed"])
+
+    rows = saved(texts.mapInArrow(prefixes, "token long, key long, root long, apart boolean, n long, left long, listed boolean"), "prefixes")
+    a, b = rows.where("listed").alias("a"), rows.alias("b")
+    c = F.col
+    shorter = (c("a.n") < c("b.n")) | ((c("a.n") == c("b.n")) & (c("a.key") < c("b.key")))
+    room = F.least("a.left", "b.left") * (1 + least) >= least * (c("a.n") + c("b.n")) - 1e-6
+    on = (c("a.token") == c("b.token")) & (c("a.root") != c("b.root")) & (c("a.apart") | c("b.apart")) & shorter & (c("a.n") >= least * c("b.n")) & room
+    return a.join(b, on).select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
