@@ -16,7 +16,7 @@ Edge cases: a vector that is null, zero, or holds a null or non-finite component
 one without an id or of another length than the most common one (of equally common ones the longest), which
 has no inner product with the others. Of
 rows that share an id, the least vector counts. With fewer candidates than k, all are returned. Equal
-scores rank by id. Empty tables give no rows; other columns are ignored.
+scores rank by id; products beyond the range of doubles are infinite, and equal as such. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,8 +75,9 @@ def one_bit_index(rows: DataFrame, size: int, seed: int = 7) -> DataFrame:
 def exact_scores(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Inner products of rows i of a with rows j of b (both given transposed), component by component in order."""
     total = np.zeros(len(i))
-    for x, y in zip(a, b):
-        total += x[i] * y[j]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for x, y in zip(a, b):
+            total += x[i] * y[j]
     return total
 
 
@@ -103,7 +104,8 @@ def some_of_best(bound: np.ndarray, few: int, width: int = 16) -> np.ndarray:
 
 def products(q: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray, at_once: int = 20_000) -> np.ndarray:
     """Inner products of rows i of q with rows j of v, in any order of addition."""
-    parts = [np.einsum("ij,ij->i", q[i[a : a + at_once]], v[j[a : a + at_once]]) for a in range(0, len(i), at_once)]
+    with np.errstate(over="ignore", invalid="ignore"):
+        parts = [np.einsum("ij,ij->i", q[i[a : a + at_once]], v[j[a : a + at_once]]) for a in range(0, len(i), at_once)]
     return np.concatenate([np.zeros(0), *parts])
 
 
@@ -131,15 +133,18 @@ def best_of_block(queries: pa.Table, block: pa.Table, size: int, k: int, turn: n
         bar = np.sort(score, axis=1)[:, -k] if few >= k else np.full(len(bound), -np.inf)
         np.put_along_axis(bound, first, np.inf, 1)
         bound[mine] = -np.inf
-        unit = largest * q_norm[some]
-        chosen = bound >= np.where(np.isneginf(bar), -1e30, bar / unit - 1e-5).astype(np.float32)[:, None]
-        least = bar - 1e-12 * np.abs(bar) - 1e-12 * unit
+        with np.errstate(over="ignore", invalid="ignore"):
+            unit = largest * q_norm[some]
+            known = np.isfinite(bar) & np.isfinite(unit)  # else products leave the range of doubles, and all are scored
+            chosen = (bound >= np.where(known, bar / unit - 1e-5, -1e30).astype(np.float32)[:, None]) | ~known[:, None] & ~np.isneginf(bound)
+            least = np.where(known, bar - 1e-12 * np.abs(bar) - 1e-12 * unit, -np.inf)
         if np.count_nonzero(chosen) * 16 > chosen.size:  # one product of all costs less than picking so many rows
-            chosen &= q[some] @ v.T >= least[:, None]
+            with np.errstate(over="ignore", invalid="ignore"):
+                chosen &= ~(q[some] @ v.T < least[:, None])
             row, col = np.divmod(np.flatnonzero(chosen), len(ids))
         else:
             row, col = np.divmod(np.flatnonzero(chosen), len(ids))
-            near = products(q[some], v, row, col) >= least[row]
+            near = ~(products(q[some], v, row, col) < least[row])
             row, col = row[near], col[near]
         score = exact_scores(q[some].T, v.T, row, col)
         order = np.lexsort((ids[col], -score, row))

@@ -50,6 +50,20 @@ def test_magnitudes(spark):
             assert got == want
 
 
+def test_products_beyond_the_range(spark):
+    rng = np.random.default_rng(8)
+    v = rng.uniform(0.5, 1, (60, 4)) * np.where(np.arange(60) % 3 == 0, 1e160, 1.0)[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    rows = op.nearest(df, F.col("id") % 20 == 0, k=10).collect()
+    assert len(rows) == 30
+    with np.errstate(over="ignore"):
+        s = v @ v.T
+    np.fill_diagonal(s, -np.inf)
+    for q in (0, 20, 40):
+        got = [r.vec_id for r in sorted((r for r in rows if r.query_id == q), key=lambda r: r.rank)]
+        assert got == np.lexsort((np.arange(60), -s[q]))[:10].tolist()
+
+
 def test_one_large_vector_among_small_ones(spark):
     rng = np.random.default_rng(6)
     v = rng.standard_normal((400, 16))
