@@ -4,15 +4,19 @@ How pieces are packed depends on their lengths alone, and there are at most `siz
 length histogram comes to the driver, a configuration is a multiset of lengths that fits a sequence, and
 the plan is a list of configurations with multiplicities:
 
-1. Configuration linear program: cover every length's count by configurations, using as few as possible.
-   Multiplicative weights solve it approximately: a length's price starts in proportion to the length and
-   falls exponentially with how far it is covered; each round prices configurations by a knapsack dynamic
-   program over capacities and adds, for each length, the best configuration that has it, full or not, if no
-   other is worth much more. Prices also give a lower bound of the number of sequences.
-2. Rounding: fractions are rounded, and the program is solved anew for what is left as long as that still
-   places a good part. What remains goes best-fit, also into room that configurations leave, longest first,
-   all pieces of a length at once: runs of sequences with equal room are kept as one, so the steps don't grow
-   with the number of pieces. If that misses the bound and best-fit alone needs fewer sequences, it counts.
+1. Configuration linear program: lengths are grouped into classes of about equal numbers of pieces (with few
+   pieces of each length, no configuration of single lengths can be used even once). Cover every class's count
+   by configurations, a class counting as its largest length, using as few as possible. Multiplicative weights
+   solve it approximately: a class's price starts in proportion to the length and falls exponentially with how
+   far it is covered; each round prices configurations by a knapsack dynamic program over capacities and adds,
+   for each class, the best configuration that has it, full or not, if no other is worth much more.
+2. Rounding: fractions are rounded down, but to one at least, and the program is solved anew for what is left,
+   until `share` of the pieces are placed. A configuration's slots take the longest pieces left of their
+   classes, the last slot the longest of all that fits, so little room is lost. The other pieces go best-fit,
+   into room that is left first, longest first, all pieces of a length at once: runs of sequences with equal room
+   are kept as one, so the steps don't grow with the number of pieces. If that takes more sequences than there
+   are tokens for, the program over single lengths, whose prices also give a lower bound, and best-fit
+   alone are tried, too, and the plan of fewest sequences counts.
 3. Every piece gets its rank among the pieces of its length, and the rank its place: the plan is a list of
    rank ranges per length, each with the first sequence and the offset.
 
@@ -291,21 +295,103 @@ class _Places:
                     open_rooms |= 1 << (room - l)
 
 
-def plan_and_bound(counts: np.ndarray, rounds: int = 120) -> tuple[tuple[np.ndarray, ...], int, int]:
-    """Rank ranges (length, first rank, number, first sequence, offset), by length and rank; the number of sequences; a lower bound of it.
+def length_classes(counts: np.ndarray, classes: int) -> dict[int, list[int]]:
+    """Lengths in classes of about equal numbers of pieces, by the largest length of each, in falling order. Full sequences aren't in any."""
+    lengths = np.flatnonzero(counts[:-1])[::-1]
+    place = np.cumsum(counts[lengths]) - counts[lengths]
+    number = place * classes // max(1, int(counts[lengths].sum()))
+    found: dict[int, list[int]] = {}
+    for same in np.split(lengths, np.flatnonzero(np.diff(number)) + 1):
+        if len(same):
+            found[int(same[0])] = same.tolist()
+    return found
 
-    counts[l]: pieces of length l, for l from 0 to the sequence's size.
-    """
+
+class _Slots(_Places):
+    """Pieces put into the slots of configurations over classes of lengths."""
+
+    def __init__(self, counts: np.ndarray, classes: dict[int, list[int]]):
+        super().__init__(counts)
+        self.classes = classes
+        self.there = sum(1 << int(l) for l in np.flatnonzero(self.left))  # bit l is set if a piece of length l is left
+        self.by_program = 0
+
+    def add(self, l: int, times: int, first: int, offset: int) -> None:
+        super().add(l, times, first, offset)
+        if not self.left[l]:
+            self.there &= ~(1 << l)
+
+    def in_class(self) -> np.ndarray:
+        """How many pieces are left, by class."""
+        out = np.zeros(self.size + 1, np.int64)
+        for largest, lengths in self.classes.items():
+            out[largest] = self.left[lengths].sum()
+        return out
+
+    def fill(self, config: tuple[tuple[int, int], ...], times: int) -> int:
+        """Fill up to `times` sequences: all slots but the last with the longest pieces left of their class, the last with the longest of all that fits. Returns how many."""
+        slots = [c for c, n in config for _ in range(n)]
+        done = 0
+        while done < times:
+            need: dict[int, int] = {}
+            chosen, room = [], self.size
+            for c in slots[:-1]:
+                l = next((x for x in self.classes[c] if self.left[x] > need.get(x, 0)), None)
+                if l is None:
+                    return done
+                need[l] = need.get(l, 0) + 1
+                chosen.append(l)
+                room -= l
+            fits = self.there & ((1 << (room + 1)) - 1)
+            while fits and self.left[last := fits.bit_length() - 1] <= need.get(last, 0):
+                fits &= ~(1 << last)
+            if fits:
+                chosen.append(last)
+                need[last] = need.get(last, 0) + 1
+                room -= last
+            elif not chosen:
+                return done
+            run = min(times - done, *(int(self.left[l]) // n for l, n in need.items()))
+            offset = 0
+            for l in chosen:
+                self.add(l, run, self.sequences, offset)
+                offset += l
+            if room:
+                self.rooms.setdefault(room, []).append((self.sequences, run))
+            self.sequences += run
+            self.by_program += run * len(chosen)
+            done += run
+        return done
+
+
+def by_classes(counts: np.ndarray, *, classes: int = 128, share: float = 0.8, rounds: int = 120, solved: int = 3) -> _Slots:
+    """A plan of the program over classes of lengths, rounded: `share` of the pieces are put into configurations, the others fill what room these leave."""
+    found = _Slots(counts, length_classes(counts, classes))
+    if counts[-1]:
+        found.place(((len(counts) - 1, 1),), int(counts[-1]))
+    rest = int((1 - share) * int(found.left.sum()))
+    for n in range(solved):
+        if int(found.left.sum()) <= rest:
+            break
+        some, _ = configurations(found.in_class(), rounds=rounds if not n else max(1, rounds // 3))
+        for config, x in sorted(some.items(), key=lambda x: (-x[1], x[0])):
+            if int(found.left.sum()) <= rest:
+                break
+            found.fill(config, max(1, int(x)))
+    found.best_fit()
+    return found
+
+
+def by_lengths(counts: np.ndarray, rounds: int = 120) -> tuple[_Places, int]:
+    """A plan of the program over single lengths, rounded as long as that places a good part; and a lower bound of the number of sequences."""
     size = len(counts) - 1
-    bound = -(-int(counts @ np.arange(size + 1)) // size)
-    found = _Places(counts)
+    found, bound, first = _Places(counts), 0, True
     if counts[size]:
         found.place(((size, 1),), int(counts[size]))
-    first = True
     while (before := int(found.left.sum())) > 0:
         some, least = configurations(found.left, rounds=rounds)
         if first:
-            first, bound = False, max(bound, int(counts[size]) + int(np.ceil(least * (1 - 1e-9))))
+            first, bound = False, int(counts[size]) + int(np.ceil(least * (1 - 1e-9)))
         for config, x in sorted(some.items(), key=lambda x: (-x[1], x[0])):
             if times := min(int(x + 0.5), *(int(found.left[l]) // n for l, n in config)):
                 found.place(config, times)
@@ -313,10 +399,25 @@ def plan_and_bound(counts: np.ndarray, rounds: int = 120) -> tuple[tuple[np.ndar
         if not placed or 4 * placed < before:
             break
     found.best_fit()
-    if found.sequences > bound:  # rounding can lose more than the program gains
+    return found, bound
+
+
+def plan_and_bound(counts: np.ndarray, rounds: int = 120) -> tuple[tuple[np.ndarray, ...], int, int]:
+    """Rank ranges (length, first rank, number, first sequence, offset), by length and rank; the number of sequences; a lower bound of it.
+
+    counts[l]: pieces of length l, for l from 0 to the sequence's size. Of the plans over classes, over single
+    lengths, and by best fit alone that of fewest sequences counts, the first one among equals; once one needs no
+    more sequences than there are tokens for, the rest aren't made.
+    """
+    size = len(counts) - 1
+    bound = -(-int(counts @ np.arange(size + 1)) // size)
+    found: _Places = by_classes(counts, rounds=rounds)
+    if found.sequences > bound:
+        other, least = by_lengths(counts, rounds)
+        bound = max(bound, least)
         plain = _Places(counts)
         plain.best_fit()
-        found = min(found, plain, key=lambda p: p.sequences)
+        found = min(found, other, plain, key=lambda p: p.sequences)
     return tuple(np.array(sorted(found.rows), np.int64).reshape(-1, 5).T), found.sequences, bound
 
 

@@ -77,6 +77,20 @@ def test_plan_places_every_piece():
         assert len(length) < 40 * 257 * 12
 
 
+def test_most_pieces_go_by_the_program(spark):
+    for sf, most in (("sf0.01", 1), ("sf0.1", 0)):
+        cut = op.pieces(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), op.word_bpe())
+        counts = np.zeros(4097, np.int64)
+        for r in cut.groupBy("length").count().collect():
+            counts[r.length] = r["count"]
+        found = op.by_classes(counts)
+        assert found.by_program >= 0.75 * counts[:-1].sum() and not found.left.any()
+        _, n, bound = op.plan_and_bound(counts)
+        plain = op._Places(counts)
+        plain.best_fit()
+        assert found.sequences == n <= plain.sequences and n <= bound + most
+
+
 def test_hot_length(spark):
     df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("hello world").alias("text"))
     rows = op.packed(df, op.word_bpe()).collect()
