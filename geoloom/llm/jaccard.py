@@ -12,7 +12,9 @@ missing join texts of crowded buckets whose components differ, one of them apart
 are found exactly, by prefix filtering: shingles are ordered by rarity among the texts concerned, and two texts of
 similarity `least` share one of the first few (the longer text looks up its first |x| - least |x| + 1 shingles among the
 first |x| - 2 least / (1 + least) |x| + 1 of shorter ones), at places that leave room for enough others. So texts that share
-boilerplate, but less than it takes, don't meet, as what is common comes last. No partner and no candidate is left out.
+boilerplate, but less than it takes, don't meet, as what is common comes last. Pairs also need bitmaps, of the
+parity of their shingles' hashes, that differ in no more bits than the sets may in shingles. No partner and no
+candidate is left out.
 
 Edge cases: null and empty texts have no shingles and no links; a text of fewer words than a shingle has is
 one shingle. Copies of a text are one text. Empty tables give no rows.
@@ -134,6 +136,7 @@ def similar_texts(docs: DataFrame, *, text: str = "text", shingle: int = 5, leas
 
 
 _SLOTS = 1 << 20
+_BITS = 512
 
 
 def prefix_pairs(texts: DataFrame, apart: DataFrame, *, shingle: int, least: float) -> DataFrame:
@@ -181,16 +184,22 @@ def prefix_pairs(texts: DataFrame, apart: DataFrame, *, shingle: int, least: flo
             for key, root, text, own in zip(*(batch.column(c).to_pylist() for c in ("key", "root", "text", "apart"))):
                 h = ordered(text)
                 n = len(h)
+                odd = np.bincount((h >> np.uint64(40) & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) % 2 == 1
+                bitmap = np.packbits(odd).view("<i8").tolist()
                 h = h[: prefix(n, least)]
                 at = np.flatnonzero(asked.value[(h & mask).astype(np.int64)])
                 same = lambda v, kind: pa.array(np.full(len(at), v), kind)  # noqa: E731, B023
-                cols = [pa.array(h[at].view(np.int64)), same(key, pa.int64()), same(root, pa.int64()), same(own, pa.bool_()), same(n, pa.int64()), pa.array(n - at), pa.array(at < prefix(n, 2 * least / (1 + least)))]
-                yield pa.RecordBatch.from_arrays(cols, ["token", "key", "root", "apart", "n", "left", "listed"])
+                cols = [pa.array(h[at].view(np.int64)), same(key, pa.int64()), same(root, pa.int64()), same(own, pa.bool_()), same(n, pa.int64()), pa.array(n - at), pa.array(at < prefix(n, 2 * least / (1 + least))), *(same(x, pa.int64()) for x in bitmap)]
+                yield pa.RecordBatch.from_arrays(cols, ["token", "key", "root", "apart", "n", "left", "listed", *words])
 
-    rows = saved(texts.mapInArrow(prefixes, "token long, key long, root long, apart boolean, n long, left long, listed boolean"), "prefixes")
+    words = [f"b{i}" for i in range(_BITS // 64)]
+    kind = "token long, key long, root long, apart boolean, n long, left long, listed boolean" + "".join(f", {w} long" for w in words)
+    rows = saved(texts.mapInArrow(prefixes, kind), "prefixes")
     a, b = rows.where("listed").alias("a"), rows.alias("b")
     c = F.col
     shorter = (c("a.n") < c("b.n")) | ((c("a.n") == c("b.n")) & (c("a.key") < c("b.key")))
     room = F.least("a.left", "b.left") * (1 + least) >= least * (c("a.n") + c("b.n")) - 1e-6
-    on = (c("a.token") == c("b.token")) & (c("a.root") != c("b.root")) & (c("a.apart") | c("b.apart")) & shorter & (c("a.n") >= least * c("b.n")) & room
+    apart_bits = sum((F.bit_count(c(f"a.{w}").bitwiseXOR(c(f"b.{w}"))) for w in words[1:]), F.bit_count(c(f"a.{words[0]}").bitwiseXOR(c(f"b.{words[0]}"))))
+    near = apart_bits * (1 + least) <= (1 - least) * (c("a.n") + c("b.n")) + 1e-6
+    on = (c("a.token") == c("b.token")) & (c("a.root") != c("b.root")) & (c("a.apart") | c("b.apart")) & shorter & (c("a.n") >= least * c("b.n")) & room & near
     return a.join(b, on).select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
