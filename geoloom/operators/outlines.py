@@ -8,6 +8,8 @@ should be metres.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,12 +18,16 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..sources.files import saved
 from .graphs import groups_of
-from .overlay import boundary, boundary_area, chained, overlay
+from .overlay import PER_TASK, boundary, boundary_area, chained, overlay
 from .spatial import candidate_pairs
 
 #: Fixed value: corners that reach further than this, in widths, are cut off straight.
 MITRE = 5.0
 
+#: Fixed value: how often an area's box is quartered at most where many footprints end.
+QUARTERED = 12
+_TILE = ["tx0", "ty0", "tx1", "ty1"]
+
 
 def once(value: Column, use) -> Column:
     """use(value), with value computed once."""
@@ -220,17 +226,65 @@ def union_of_boxes(boxes: np.ndarray) -> float:
     return total
 
 
+def _tiles(pieces: DataFrame, area_id: str) -> tuple[DataFrame, DataFrame]:
+    """Tiles that one footprint covers whole, and the pieces of footprints in the others (area_id, tile and geom).
+
+    A footprint that covers a tile leaves nothing to be found there, whatever else lies in it. Other tiles are quartered,
+    with their pieces, while they have more edges than a task takes at once. So what is worked on are the surroundings
+    of the covered area's boundary, however many footprints lie one upon the other.
+    """
+    key = [area_id, *_TILE]
+    whole, small = [], []
+    for level in range(QUARTERED + 1):
+        size = (F.col("tx1") - F.col("tx0")) * (F.col("ty1") - F.col("ty0"))
+        full = (F.size("geom.rings") == 1) & (g.area(F.col("geom")) >= size * (1 - 1e-12))
+        # copies of a piece are one
+        one = pieces.withColumns({"__p": F.xxhash64("geom"), "__q": F.xxhash64(F.lit(1), "geom"), "__full": full}).dropDuplicates([*key, "__p", "__q"])
+        one = saved(one.drop("__p", "__q"), "pieces")
+        n = F.aggregate("geom.rings", F.lit(0).cast("long"), lambda a, r: a + F.size(r))
+        tiles = saved(one.groupBy(*key).agg(F.max("__full").alias("__any"), F.sum(n).alias("__n")), "tiles")
+        whole.append(tiles.where("__any").select(key))
+        last = level == QUARTERED
+        crowded = F.lit(False) if last else F.col("__n") > PER_TASK // 2
+        small.append(one.join(tiles.where(~F.col("__any") & ~crowded).select(key), key, "left_semi").select(*key, "geom"))
+        rest = tiles.where(~F.col("__any") & crowded).select(key)
+        if last or rest.isEmpty():
+            break
+        mx, my = (F.col("tx0") + F.col("tx1")) / 2, (F.col("ty0") + F.col("ty1")) / 2
+        quarters = [(a, b, c, d) for a, c in ((F.col("tx0"), mx), (mx, F.col("tx1"))) for b, d in ((F.col("ty0"), my), (my, F.col("ty1")))]
+        quarter = F.explode(F.array(*(F.struct(*(c.alias(k) for k, c in zip(_TILE, q))) for q in quarters)))
+        cut = one.join(rest, key, "left_semi").select(area_id, quarter.alias("t"), "geom")
+        box = g.envelope(F.col("geom"))
+        cut = cut.where((box["minx"] < F.col("t.tx1")) & (box["maxx"] > F.col("t.tx0")) & (box["miny"] < F.col("t.ty1")) & (box["maxy"] > F.col("t.ty0")))
+        cut = cut.select(area_id, *(F.col(f"t.{k}").alias(k) for k in _TILE), clipped(F.col("geom"), *(F.col(f"t.{k}") for k in _TILE)).alias("geom"))
+        pieces = cut.where("size(geom.rings) > 0")
+    return reduce(DataFrame.unionByName, whole), reduce(DataFrame.unionByName, small)
+
+
+def _covered_by_tiles(pairs: DataFrame, areas: DataFrame, area_id: str, cell: float, digits: int) -> DataFrame:
+    """area_id, covered: over pairs of a footprint and an area."""
+    key = [area_id, *_TILE]
+    bounds = [F.col(f"r.{c}").alias(k) for k, c in zip(_TILE, ("minx", "miny", "maxx", "maxy"))]
+    pieces = pairs.select(F.col(f"r.{area_id}").alias(area_id), *bounds, clipped(F.col("l.geom"), *(F.col(f"r.{c}") for c in ("minx", "miny", "maxx", "maxy"))).alias("geom"))
+    whole, small = _tiles(pieces.where("size(geom.rings) > 0"), area_id)
+    own = lambda tiles: tiles.join(areas.select(area_id, F.col("geom").alias("__area")), area_id).select(*key, clipped(F.col("__area"), *map(F.col, _TILE)).alias("geom"))
+    inside = own(whole).select(area_id, g.area(F.col("geom")).alias("covered"))
+    edges = boundary(small, key, cell=cell, other=own(small.select(key).distinct()), result="intersection", digits=digits)
+    parts = boundary_area(edges, key, "covered").select(area_id, "covered")
+    return inside.unionByName(parts).groupBy(area_id).agg(F.sum("covered").alias("covered"))
+
+
 def covered_area(areas: DataFrame, footprints: DataFrame, *, area_id: str, cell: float, boxes: bool = False, per_strip: int = 1024, digits: int = 9) -> DataFrame:
     """area_id, covered: the area that footprints cover of each area, each spot once; areas that none meets are left out.
 
     boxes: all shapes are their boxes. Then an area with many footprints is cut into strips, as many as it has
-    `per_strip` footprints, so that no task sweeps all of them. Else the boundary of what footprints and area have
-    in common is found by `boundary`, and its area summed over edges.
+    `per_strip` footprints, so that no task sweeps all of them. Else an area's box is quartered again and again, see
+    `_tiles`, and the boundary of what footprints and area have in common is found by `boundary` tile by tile, and its
+    area summed over edges.
     """
     pairs = candidate_pairs(footprints, areas, cell=cell)
     if not boxes:
-        own = pairs.select(F.col(f"r.{area_id}").alias(area_id), F.col("l.geom").alias("geom"))
-        return boundary_area(boundary(own, [area_id], cell=cell, other=areas.select(area_id, "geom"), result="intersection", digits=digits), [area_id], "covered")
+        return _covered_by_tiles(pairs, areas, area_id, cell, digits)
     side = lambda f, c: f(F.col(f"l.{c}"), F.col(f"r.{c}")).alias(c)
     cut = pairs.select(F.col(f"r.{area_id}").alias(area_id), F.col("r.minx").alias("x0"), F.col("r.maxx").alias("x1"), side(F.greatest, "minx"), side(F.greatest, "miny"), side(F.least, "maxx"), side(F.least, "maxy"))
     cut = saved(cut.where("minx < maxx AND miny < maxy").distinct(), "cut")

@@ -1,6 +1,8 @@
 """Unions, intersections and differences of groups of polygons, from their edges.
 
-A boundary is found in joins and groupings over edges; no task sees a group's polygons together:
+Groups of at most `PER_TASK` edges are worked on by `functions/arrangement.py`, many in a task, after one shuffle. The
+boundary of larger ones is found in joins and groupings over edges; no task sees such a group's polygons together.
+The steps are the same:
 
 1. Vertices are rounded to `digits` decimals and polygons cut into directed edges, the inside to the left. For a
    union, an edge that polygons use in both directions is inside and cancels.
@@ -9,8 +11,8 @@ A boundary is found in joins and groupings over edges; no task sees a group's po
 3. Same edges are grouped; which sides of an edge are covered follows from the polygons that own it and from those
    that hold its middle. Edges with the result on one side only are its boundary.
 
-`boundary` returns these edges; areas are sums over them. `overlay` chains a group's edges to rings, in one task per
-group, as its result is one value. Polygons may overlap, repeat and have holes; those of a group are simple, with
+`boundary` returns these edges; areas are sums over them. `overlay` chains a group's edges to rings, each group in one
+task, as its result is one value. Polygons may overlap, repeat and have holes; those of a group are simple, with
 shells counter-clockwise.
 
 Null and empty geometries are left out; groups without any give no row. Nulls in `by` are a group of their own.
@@ -25,10 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrangement import boundaries, numbered
 from ..functions.geometry import contains_point, envelope, point_struct
-from ..sources.files import saved
+from ..functions.polygons import edges_of
+from ..sources.files import ranges_of, saved
 from .spatial import candidate_pairs
 
+#: Groups of up to so many edges are worked on in one task, and as many groups together as have about `AT_ONCE` edges.
+PER_TASK = 512
+AT_ONCE = 8192
+
 #: What belongs to the result, from whether first and second polygons cover a side.
 RESULTS: dict[str, Callable[[Column, Column], Column]] = {
     "union": lambda a, b: a | b,
@@ -39,13 +47,17 @@ _ENDS = ["ux", "uy", "vx", "vy"]
 
 
 def _shapes(df: DataFrame, by: list[str], second: bool, digits: int) -> DataFrame:
-    """g, second, pid, geom with rounded vertices; equal shapes of a group once."""
+    """g, second, geom with rounded vertices."""
     snap = lambda p: point_struct(F.round(p.x, digits), F.round(p.y, digits))
     geom = F.struct(F.transform("geom.rings", lambda r: F.transform(r, snap)).alias("rings"), F.col("geom.srid").alias("srid"))
     group = F.struct(*by) if by else F.struct(F.lit(0).alias("none"))
-    rows = df.where("size(geom.rings) > 0").select(group.alias("g"), F.lit(second).alias("second"), geom.alias("geom"))
+    return df.where("size(geom.rings) > 0").select(group.alias("g"), F.lit(second).alias("second"), geom.alias("geom"))
+
+
+def _identified(shapes: DataFrame) -> DataFrame:
+    """With pid; equal shapes of a group once."""
     pid = F.concat_ws("-", F.xxhash64("geom"), F.xxhash64(F.lit(1), "geom"))
-    return rows.withColumn("pid", pid).dropDuplicates(["g", "second", "pid"])
+    return shapes.withColumn("pid", pid).dropDuplicates(["g", "second", "pid"])
 
 
 def _ordered(p: Column, q: Column, same: Column) -> list[Column]:
@@ -110,6 +122,35 @@ def boundary(polygons: DataFrame, by: list[str] = (), *, cell: float, other: Dat
     if other is not None:
         shapes = shapes.unionByName(_shapes(other, by, True, digits))
     shapes = saved(shapes, "shapes")
+    n = F.aggregate("geom.rings", F.lit(0).cast("long"), lambda a, r: a + F.size(r))
+    sizes = shapes.groupBy("g").agg(F.sum(n).alias("n"))
+    crowded = saved(sizes.where(F.col("n") > PER_TASK).select("g"), "crowded")
+    if crowded.isEmpty():
+        return _of_small_groups(shapes, by, result, digits)
+    small = _of_small_groups(shapes.join(crowded, "g", "left_anti"), by, result, digits)
+    return small.unionByName(_of_large_groups(shapes.join(crowded, "g", "left_semi"), by, cell, result, digits))
+
+
+def _of_small_groups(shapes: DataFrame, by: list[str], result: str, digits: int) -> DataFrame:
+    total = shapes.agg(F.sum(F.aggregate("geom.rings", F.lit(0).cast("long"), lambda a, r: a + F.size(r)))).first()[0] or 0
+    names = [f"k{i}" for i in range(len(by))]
+    bucket = F.pmod(F.xxhash64("g"), F.lit(total // AT_ONCE + 1)).alias("bucket")
+    rows = shapes.select(bucket, *(F.col(f"g.{k}").alias(n) for k, n in zip(by, names)), "second", "geom")
+    out = "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in names)
+
+    def of_bucket(table: pa.Table) -> pa.Table:
+        first, group = numbered(table, names)
+        second = table.column("second").to_numpy()
+        of, ends = boundaries(edges_of(table.column("geom").combine_chunks()), group, second, RESULTS[result], digits)
+        at = pa.array(first[of])
+        return pa.table([*(table.column(n).take(at) for n in names), *map(pa.array, ends)], [*names, "x1", "y1", "x2", "y2"])
+
+    found = rows.groupBy("bucket").applyInArrow(of_bucket, f"{out}x1 double, y1 double, x2 double, y2 double")
+    return found.withColumnsRenamed(dict(zip(names, by)))
+
+
+def _of_large_groups(shapes: DataFrame, by: list[str], cell: float, result: str, digits: int) -> DataFrame:
+    shapes = saved(_identified(shapes), "shapes")
     edges = saved(_edges(shapes), "edges")
     lines = edges.groupBy("g", *_ENDS).agg(F.max("forward").alias("plus"), F.max(~F.col("forward")).alias("minus"))
     if result == "union":
@@ -121,7 +162,9 @@ def boundary(polygons: DataFrame, by: list[str] = (), *, cell: float, other: Dat
     steps = F.transform(F.sequence(F.lit(0), F.size("s") - 2), lambda i: F.struct(F.get("s", i).alias("p"), F.get("s", i + 1).alias("q")))
     parts = stops.select("g", *_ENDS, F.explode(steps).alias("e")).where("e.p != e.q")
     owned = edges.join(parts, ["g", *_ENDS]).select("g", "second", "pid", *_ordered(F.col("e.p"), F.col("e.q"), F.col("forward")))
-    owned = saved(owned, "owned")
+    # a polygon that runs along an edge there and back isn't beside it
+    net = owned.groupBy("g", *_ENDS, "second", "pid").agg(F.sum(F.when(F.col("forward"), 1).otherwise(-1)).alias("net")).where("net <> 0")
+    owned = saved(net.select("g", *_ENDS, "second", "pid", (F.col("net") > 0).alias("forward")), "owned")
 
     side = lambda second, c: F.max(F.when(F.col("second") == second, c).otherwise(F.lit(False)))
     sides = owned.groupBy("g", *_ENDS).agg(
@@ -226,17 +269,26 @@ def chained(edges: DataFrame, by: list[str], *, srid: int = 4326, digits: int =
     kind = pa.struct([("rings", pa.list_(pa.list_(point))), ("srid", pa.int32())])
     keys = edges.select(*by).schema if by else None
 
-    def of_group(table: pa.Table) -> pa.Table:
-        rings = _rings_of(*(table.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")), 10.0**-digits)
-        found = _in_parts(rings)
-        shapes = found if parts else [[r for part in found for r in part]]
+    def of_groups(table: pa.Table) -> pa.Table:
+        first, number = numbered(table, by)
+        order = np.argsort(number, kind="stable")
+        ends = [table.column(c).to_numpy()[order] for c in ("x1", "y1", "x2", "y2")]
+        stops = np.searchsorted(number[order], np.arange(len(first) + 1))
+        at, part, shapes = [], [], []
         as_rings = lambda rs: {"rings": [[{"x": v.real, "y": v.imag} for v in r.tolist()] for r in rs], "srid": srid}
-        at = pa.array(np.zeros(len(shapes), np.int64))
-        cols = [table.column(k).take(at) for k in by]
-        return pa.table([*cols, pa.array(np.arange(len(shapes)), pa.int32()), pa.array([as_rings(s) for s in shapes], kind)], [*by, "part", "geom"])
+        for k, row in enumerate(first.tolist()):
+            found = _in_parts(_rings_of(*(c[stops[k] : stops[k + 1]] for c in ends), 10.0**-digits))
+            own = found if parts else [[r for p in found for r in p]]
+            at += [row] * len(own)
+            part += range(len(own))
+            shapes += map(as_rings, own)
+        cols = [table.column(k).take(pa.array(at, pa.int64())) for k in by]
+        return pa.table([*cols, pa.array(part, pa.int32()), pa.array(shapes, kind)], [*by, "part", "geom"])
 
     names = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keys) if by else ""
-    out = edges.groupBy(*by).applyInArrow(of_group, f"{names}part int, geom struct<rings:array<array<struct<x:double,y:double>>>,srid:int>")
+    # groups go by buckets, several of them to a partition, as a call for each small group would cost more than its rings
+    bucket = F.pmod(F.xxhash64(*by), F.lit(16 * ranges_of(edges, None))) if by else F.lit(0)
+    out = edges.withColumn("__bucket", bucket).groupBy("__bucket").applyInArrow(of_groups, f"{names}part int, geom struct<rings:array<array<struct<x:double,y:double>>>,srid:int>")
     return out if parts else out.drop("part")
 
 

@@ -229,3 +229,57 @@ def test_groups(spark):
     got = {r.node: r.group for r in groups_of(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 90, 90: 90, 95: 90, 41: 41, 200: 41}
     assert groups_of(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def counted(monkeypatch):
+    """Rows that operators write, in a list."""
+    rows = []
+
+    def keep(df, name):
+        out = saved(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(overlay, "saved", keep)
+    monkeypatch.setattr(outlines, "saved", keep)
+    return rows
+
+
+def test_footprints_upon_each_other_are_not_cut_by_each_other(spark, monkeypatch):
+    rng = random.Random(5)
+    rects = [(x, y, x + rng.uniform(2, 5), y + rng.uniform(2, 5)) for x, y in ((rng.uniform(-4, 9), rng.uniform(-4, 9)) for _ in range(600))]
+    foot = outlines.boxed(spark.createDataFrame([(rect(*r),) for r in rects], f"geom {g.GEOMETRY}"))
+    areas = outlines.boxed(spark.createDataFrame([("a", rect(0, 0, 12, 12)), ("b", L_SHAPE)], f"id string, geom {g.GEOMETRY}"))
+    written = counted(monkeypatch)
+    found = {r.id: r.covered for r in outlines.covered_area(areas, foot, area_id="id", cell=1.0).collect()}
+    inside = [(max(r[0], 0), max(r[1], 0), min(r[2], 12), min(r[3], 12)) for r in rects]
+    assert found["a"] == pytest.approx(union_of_rects([r for r in inside if r[0] < r[2] and r[1] < r[3]]), abs=1e-6)
+    assert 0 < found["b"] <= 12
+    assert sum(written) < 20 * len(rects)
+
+
+def test_tiles_of_concave_footprints(spark):
+    shapes = [turned(L_SHAPE, 17 * k, 3 + k % 5, 3 + k % 3) for k in range(40)] + [RING, L_SHAPE]
+    foot = outlines.boxed(spark.createDataFrame([(s,) for s in shapes], f"geom {g.GEOMETRY}"))
+    areas = outlines.boxed(spark.createDataFrame([("a", rect(0, 0, 9, 9))], f"id string, geom {g.GEOMETRY}"))
+    found = outlines.covered_area(areas, foot, area_id="id", cell=1.0).first().covered
+    whole = overlay.boundary(foot.select(F.lit("a").alias("k"), "geom"), ["k"], cell=1.0, other=areas.select(F.col("id").alias("k"), "geom"), result="intersection")
+    assert found == pytest.approx(overlay.boundary_area(whole, ["k"]).first().area, abs=1e-6)
+
+
+@pytest.mark.parametrize("result", list(overlay.RESULTS))
+def test_small_groups_as_large_ones(spark, monkeypatch, result):
+    rng = random.Random(11)
+    some = lambda n: [(rng.choice("abc") if rng.random() < 0.9 else None, turned(rng.choice([L_SHAPE, RING, rect(0, 0, 2, 1)]), rng.choice([0, 0, 90, 33]), rng.randint(0, 4), rng.randint(0, 4))) for _ in range(n)]
+    first, second = (spark.createDataFrame(some(n), SCHEMA) for n in (14, 9))
+
+    def areas():
+        edges = overlay.boundary(first, ["k"], cell=1.0, other=second, result=result)
+        return {r.k: r.area for r in overlay.boundary_area(edges, ["k"]).collect()}, edges.count()
+
+    written = counted(monkeypatch)
+    small, n = areas()
+    assert sum(written) <= 23  # the shapes, once
+    monkeypatch.setattr(overlay, "PER_TASK", 0)
+    large, m = areas()
+    assert small == pytest.approx(large, abs=1e-6) and n == m
