@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import ranges_of, saved
 
+#: Groups of up to so many areas are permuted by arrays, so many permutations in a task; larger ones by joins.
+PER_TASK = 1 << 18
+AT_ONCE = 50
+
 
 def weighted_mean(value: str, weight: str) -> Column:
     """Sum of value * weight by sum of weight; null if that is 0."""
@@ -98,6 +106,50 @@ def contrast_stretch(pixels: DataFrame, by: list[str], value: str = "value") ->
     return pixels.join(q, by).withColumn("stretched", F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))).drop("__q")
 
 
+def _dealt_by_joins(z: DataFrame, links: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """g, perm, num, s0: the sum over links of weight and both values as dealt, and that of weights. Permutation 0 is the given order."""
+    draws = z.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
+    order = F.when(F.col("perm") == 0, F.lit("")).otherwise(F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col("perm").cast("string"), F.col("id").cast("string"))))
+    position = F.row_number().over(Window.partitionBy("g", "perm").orderBy(order, "id"))
+    dealt = draws.withColumn("at", position).select("g", "perm", "at", "z")
+    a = dealt.select("g", "perm", F.col("at").alias("ps"), F.col("z").alias("zs"))
+    b = dealt.select("g", "perm", F.col("at").alias("pd"), F.col("z").alias("zd"))
+    return links.join(a, ["g", "ps"]).join(b, ["g", "pd", "perm"]).groupBy("g", "perm").agg(F.sum(F.col("w") * F.col("zs") * F.col("zd")).alias("num"), F.sum("w").alias("s0"))
+
+
+def _dealt_by_arrays(z: DataFrame, links: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """As `_dealt_by_joins`: a group's areas and links go once to each task of `AT_ONCE` permutations, where they are arrays."""
+    near = links.groupBy("g", F.col("ps").alias("p")).agg(F.array_sort(F.collect_list(F.struct("pd", "w"))).alias("near"))
+    chunk = F.explode(F.sequence(F.lit(0), F.lit(permutations // AT_ONCE)))
+    rows = z.join(near, ["g", "p"], "left").select("g", chunk.alias("chunk"), F.col("id").cast("string").alias("id"), "p", "z", F.col("near.pd").alias("to"), F.col("near.w").alias("w"))
+
+    def of_chunk(table: pa.Table) -> pa.Table:
+        table = table.sort_by("p").combine_chunks()
+        values, to = table.column("z").to_numpy(), table.column("to").combine_chunks()
+        src = to.value_parent_indices().to_numpy()
+        dst, w = to.flatten().to_numpy() - 1, table.column("w").combine_chunks().flatten().to_numpy()
+        names = [n.encode() for n in table.column("id").to_pylist()]
+        lo = table.column("chunk")[0].as_py() * AT_ONCE
+        perms = range(lo, min(lo + AT_ONCE, permutations + 1)) if len(src) else ()
+        num = []
+        for perm in perms:
+            drawn = values
+            if perm:
+                start = hashlib.md5(f"{seed}-{perm}-".encode(), usedforsecurity=False)
+                digests = bytearray()
+                for n in names:
+                    h = start.copy()
+                    h.update(n)
+                    digests += h.digest()
+                key = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2)
+                drawn = values[np.lexsort((key[:, 1], key[:, 0]))]
+            num.append(float(np.sum(w * drawn[src] * drawn[dst])))
+        at = pa.array(np.zeros(len(num), np.int64))
+        return pa.table([table.column("g").take(at), pa.array(list(perms), pa.int32()), pa.array(num, pa.float64()), pa.array([float(w.sum())] * len(num), pa.float64())], ["g", "perm", "num", "s0"])
+
+    return rows.groupBy("g", "chunk").applyInArrow(of_chunk, f"g {rows.schema['g'].dataType.simpleString()}, perm int, num double, s0 double")
+
+
 def morans_i(values: DataFrame, edges: DataFrame, *, area_id: str, value: str, by: str, permutations: int = 0, seed: int = 1, least: int = 5) -> DataFrame:
     """Per group: n, moran_i and, with permutations, pseudo_p and z; groups with fewer than `least` areas are left out.
 
@@ -107,19 +159,20 @@ def morans_i(values: DataFrame, edges: DataFrame, *, area_id: str, value: str, b
     """
     rows = values.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(area_id).alias("id"), F.col(value).cast("double").alias("v"))
     stats = rows.groupBy("g").agg(F.avg("v").alias("m"), F.count("*").alias("n")).where(F.col("n") >= least)
-    z = rows.join(stats, "g").select("g", "id", (F.col("v") - F.col("m")).alias("z"), "n")
-    src, dst = z.select(F.col("g").alias("gs"), F.col("id").alias("src"), "n"), z.select(F.col("g").alias("gd"), F.col("id").alias("dst"))
-    inner = edges.join(src, "src").join(dst, "dst").where("gs = gd")
-    inner = inner.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select(F.col("gs").alias("g"), "src", "dst", "w")
-    draws = z.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    order = F.when(F.col("perm") == 0, F.lit("")).otherwise(F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col("perm").cast("string"), F.col("id").cast("string"))))
-    position = F.row_number().over(Window.partitionBy("g", "perm").orderBy(order, "id"))
     place = F.row_number().over(Window.partitionBy("g").orderBy("id"))
-    dealt = draws.withColumn("p", position).select("g", "perm", "p", "z")
-    dealt = dealt.join(z.withColumn("p", place).select("g", "p", "id", "n"), ["g", "p"]).select("g", "perm", "id", "z", "n")
-    a = dealt.select("g", "perm", F.col("id").alias("src"), F.col("z").alias("zs"))
-    b = dealt.select("g", "perm", F.col("id").alias("dst"), F.col("z").alias("zd"))
-    cross = inner.join(a, ["g", "src"]).join(b, ["g", "dst", "perm"]).groupBy("g", "perm").agg(F.sum(F.col("w") * F.col("zs") * F.col("zd")).alias("num"), F.sum("w").alias("s0"))
+    z = rows.join(stats, "g").select("g", "id", (F.col("v") - F.col("m")).alias("z"), "n").withColumn("p", place)
+    z = saved(z, "areas") if permutations else z
+    src, dst = z.select(F.col("g").alias("gs"), F.col("id").alias("src"), "n", F.col("p").alias("ps")), z.select(F.col("g").alias("gd"), F.col("id").alias("dst"), F.col("p").alias("pd"))
+    inner = edges.join(src, "src").join(dst, "dst").where("gs = gd")
+    inner = inner.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select(F.col("gs").alias("g"), "n", "ps", "pd", "w")
+    if not permutations:
+        cross = _dealt_by_joins(z, inner, permutations, seed)
+    else:
+        inner = saved(inner, "links")
+        few, many = F.col("n") <= PER_TASK, F.col("n") > PER_TASK
+        cross = _dealt_by_arrays(z.where(few), inner.where(few), permutations, seed)
+        if not stats.where(many).isEmpty():
+            cross = cross.unionByName(_dealt_by_joins(z.where(many), inner.where(many), permutations, seed))
     scale = z.groupBy("g").agg(F.sum(F.col("z") * F.col("z")).alias("zz"), F.first("n").alias("n"))
     i = cross.join(scale, "g").withColumn("i", F.try_divide(F.col("n") * F.col("num"), F.nullif(F.col("s0") * F.col("zz"), F.lit(0.0))))
     seen = i.where("perm = 0").select("g", "n", F.col("i").alias("moran_i"))

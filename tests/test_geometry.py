@@ -109,3 +109,20 @@ def test_morans_permutations(spark):
         w[i, j] = 1
     w /= w.sum(1, keepdims=True)
     assert r.moran_i == pytest.approx(float(z @ w @ z / (z @ z))) and r.pseudo_p <= 0.05 and r.z > 2
+
+
+def test_permutations_by_arrays_as_by_joins(spark, monkeypatch):
+    df = spark.range(60).select(F.concat(F.lit("a"), "id").alias("id"), F.when(F.col("id") % 9 == 0, None).otherwise((F.col("id") * 37) % 11).alias("v"), F.concat(F.lit("g"), F.col("id") % 3).alias("g"))
+    e = spark.range(57).select(F.explode(F.array(F.struct(F.col("id").alias("a"), (F.col("id") + 3).alias("b")), F.struct((F.col("id") + 3).alias("a"), F.col("id").alias("b")))).alias("e"))
+    e = e.where("e.a % 3 <> 2").select(F.concat(F.lit("a"), "e.a").alias("src"), F.concat(F.lit("a"), "e.b").alias("dst"), F.lit(0.5).alias("w"))
+
+    def rows():
+        out = statistics.morans_i(df, e, area_id="id", value="v", by="g", permutations=120)
+        return sorted((r.g, r.n, round(r.moran_i, 9), r.pseudo_p, round(r.z, 9)) for r in out.collect())
+
+    by_joins, called = statistics._dealt_by_joins, []
+    monkeypatch.setattr(statistics, "_dealt_by_joins", lambda *a: called.append(1) or by_joins(*a))
+    arrays = rows()
+    assert not called and len(arrays) == 2
+    monkeypatch.setattr(statistics, "PER_TASK", 0)
+    assert rows() == arrays and called
