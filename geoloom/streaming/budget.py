@@ -14,13 +14,29 @@ _OUT = "k string, ts timestamp, id long, cost double, spent_before double"
 _STATE = "spent double, waiting string"
 
 
+def _below(costs: pd.Series, spent: float, cap: float) -> pd.Series:
+    """Which entries, in order, have less than the cap spent before them."""
+    return costs.shift(fill_value=spent).cumsum() < cap
+
+
+def _affordable(entries: list[tuple], spent: float, cap: float) -> list[tuple]:
+    """Entries in order, up to where the cap is reached."""
+    kept = []
+    for entry in sorted(map(tuple, entries)):
+        if not spent < cap:
+            break
+        kept.append(entry)
+        spent += entry[2]
+    return kept
+
+
 def budgeted(stream: DataFrame, *, key: Column, ts: str, entry_id: str, cost: Column, cap: float, late: str) -> DataFrame:
     """k, ts, id, cost, spent_before of the entries within the budget of their key; append mode.
 
     An entry's turn comes when the watermark has passed its time, as until then an earlier one can still come;
     entries of one time go by id. Entries that come later than allowed are left out by Spark. State per key: what
-    is spent, and the entries whose turn hasn't come; once the cap is reached no entry waits any more. Costs aren't
-    negative, and a null one is 0; entries without time or id are left out. So the result is that of a running sum
+    is spent, and the entries whose turn hasn't come; once the cap is reached no entry waits any more, nor does one
+    wait behind others whose costs reach it: earlier entries only add to these. Costs aren't negative, and a null one is 0; entries without time or id are left out. So the result is that of a running sum
     over the whole table, whatever the batches, and after a restart from its checkpoint, too.
     """
     rows = stream.select(key.cast("string").alias("k"), F.col(ts).cast("timestamp").alias("ts"), F.col(entry_id).cast("long").alias("id"), F.coalesce(cost.cast("double"), F.lit(0.0)).alias("cost"))
@@ -31,7 +47,10 @@ def budgeted(stream: DataFrame, *, key: Column, ts: str, entry_id: str, cost: Co
         waiting = json.loads(text)
         if not state.hasTimedOut:
             for f in frames:
-                waiting += zip((f["ts"].astype("datetime64[us]").astype("int64")).tolist(), f["id"].tolist(), f["cost"].tolist())
+                f = f.assign(ts=f["ts"].astype("datetime64[us]").astype("int64")).sort_values(["ts", "id", "cost"])
+                f = f[_below(f["cost"], spent, cap)]
+                waiting += zip(f["ts"].tolist(), f["id"].tolist(), f["cost"].tolist())
+                waiting = _affordable(waiting, spent, cap)
         passed = state.getCurrentWatermarkMs() * 1000
         out, rest = [], []
         for at, number, price in sorted(map(tuple, waiting)):

@@ -61,3 +61,17 @@ def test_late_entries_and_nulls(spark):
     late = [("2024-01-01 00:30:00", 5, "a", 9.0), ("2024-01-01 01:59:00", 6, "a", 0.5), ("2025-01-01 00:00:00", 7, "b", 0.0)]
     as_rows(late).coalesce(1).write.mode("append").parquet(f"{root}/in")
     assert [(r.id, r.spent_before) for r in run() if r.k == "a"] == [(0, 0.0), (1, 0.0), (6, 5.0), (4, 5.5)]
+
+
+def test_what_cannot_be_paid_does_not_wait(spark):
+    import random
+
+    entries = [(t, i, random.Random(i).choice([0.0, 0.1, 1.0])) for i, t in enumerate(random.Random(3).choices(range(50), k=400))]
+    kept = budget._affordable(random.Random(1).sample(entries, 400), 0.5, 6.0)
+    spent, want = 0.5, []
+    for e in sorted(entries):
+        if spent < 6.0:
+            want.append(e)
+        spent += e[2]
+    assert kept == want and len(want) < 60
+    assert budget._affordable(entries, 6.0, 6.0) == []
