@@ -40,11 +40,12 @@ def label_grid(chips: DataFrame, polygons: DataFrame, *, chip_id: str, cells: in
     return made.where(hit).select(F.col(f"l.{chip_id}").alias(chip_id), "row", "col").distinct()
 
 
-def touched_grid(chips: DataFrame, polygons: DataFrame, *, chip_id: str, cells: int, cell: float) -> DataFrame:
+def touched_grid(chips: DataFrame, polygons: DataFrame, *, chip_id: str, cells: int, cell: float, held: DataFrame | None = None) -> DataFrame:
     """chip_id, row, col of the grid cells of a chip that a polygon touches: those its edges pass through and those whose centre it holds.
 
     Every edge is followed row by row: within a row it runs from one x to another, and all columns between are touched.
     A point on a line between cells belongs to the upper, right one; what lies outside of the chip is left out.
+    held: the rows of `label_grid`, if they are there already.
     """
     pairs = candidate_pairs(chips, polygons, cell=cell)
     w, h = ((F.col(f"l.max{a}") - F.col(f"l.min{a}")) / cells for a in "xy")
@@ -65,7 +66,8 @@ def touched_grid(chips: DataFrame, polygons: DataFrame, *, chip_id: str, cells:
     passed = lines.withColumns({"__a": left, "__b": right}).where((F.col("__b") >= 0) & (F.col("__a") < cells))
     passed = passed.withColumn("i", F.explode(F.sequence(clip(F.col("__a")), clip(F.col("__b")))))
     border = passed.select(chip_id, (F.lit(cells - 1) - F.col("j")).cast("int").alias("row"), F.col("i").cast("int").alias("col"))
-    return border.union(label_grid(chips, polygons, chip_id=chip_id, cells=cells, cell=cell)).distinct()
+    held = label_grid(chips, polygons, chip_id=chip_id, cells=cells, cell=cell) if held is None else held
+    return border.union(held.select(chip_id, "row", "col")).distinct()
 
 
 def chip_labels(chips: DataFrame, polygons: DataFrame, *, chip_id: str, polygon_id: str, cells: int, cell: float, boxes: bool = False) -> DataFrame:

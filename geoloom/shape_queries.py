@@ -11,6 +11,7 @@ from .functions import wkt
 from .operators import outlines, overlay
 from .plans import imagery
 from .queries import SMALL
+from .sources.files import saved, spread
 
 
 def _r(c, digits: int = 6):
@@ -192,8 +193,9 @@ FROM k LEFT JOIN p ON k.building_id = p.building_id LEFT JOIN r ON k.building_id
 def touched_cells(spark, d) -> DataFrame:
     """Cells of a grid over each county that footprints touch, and those whose centre they hold."""
     c, foot = fixture(spark, d, "counties"), _footprints(spark, d)
-    touched = imagery.touched_grid(c, foot, chip_id="geoid", cells=64, cell=0.05).groupBy("geoid").agg(F.count("*").alias("touched"), F.sum("row").alias("rows"), F.sum("col").alias("cols"))
-    centred = imagery.label_grid(c, foot, chip_id="geoid", cells=64, cell=0.05).groupBy("geoid").agg(F.count("*").alias("centred"))
+    held = saved(imagery.label_grid(c, foot, chip_id="geoid", cells=64, cell=0.05), "held")
+    touched = imagery.touched_grid(c, foot, chip_id="geoid", cells=64, cell=0.05, held=held).groupBy("geoid").agg(F.count("*").alias("touched"), F.sum("row").alias("rows"), F.sum("col").alias("cols"))
+    centred = held.groupBy("geoid").agg(F.count("*").alias("centred"))
     return c.select("geoid").join(touched, "geoid", "left").join(centred, "geoid", "left").na.fill(0)
 
 
@@ -228,7 +230,7 @@ def wkt_shapes(spark, d) -> DataFrame:
     box, tie = ring((zero, zero), (w, zero), (w, h), (zero, h)), ring((zero, zero), (w, h), (w, zero), (zero, h))
     second = ring((w + 1, zero), (w + 2, zero), (w + 2, F.lit(0.5)))
     shape = F.when(k % 3 == 0, _shape(tie)).when(k % 3 == 1, _shape(box, second)).otherwise(_shape(box))
-    rows = fixture(spark, d, "part").select("p_partkey", wkt.to_wkt(shape).alias("text")).withColumn("back", wkt.from_wkt("text"))
+    rows = spread(fixture(spark, d, "part").select("p_partkey", "p_size")).select("p_partkey", wkt.to_wkt(shape).alias("text")).withColumn("back", wkt.from_wkt("text"))
     return rows.select("p_partkey", "text", g.area(F.col("back")).alias("area"), wkt.geometry_type(F.col("back")).alias("kind"), wkt.is_valid(F.col("back")).alias("valid"))
 
 

@@ -42,6 +42,11 @@ def ranges_of(df: DataFrame, parts: int | None) -> int:
     return parts or max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to as many tasks as there are shuffle partitions: for few bytes with much work on each row, as a file of them is read by one task."""
+    return df.repartition(ranges_of(df, None))
+
+
 def parquet_stream(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table, one file or a folder of files, as a stream of its files; new ones in a folder follow."""
     schema = spark.read.parquet(path).schema

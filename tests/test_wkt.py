@@ -85,3 +85,9 @@ def test_a_long_ring(spark):
     knot = [*circle[:1000], (0.0, -2.0), *circle[1000:]]
     df = spark.createDataFrame([("ok", poly([*circle, circle[0]])), ("knot", poly([*knot, knot[0]]))], f"k string, geom {g.GEOMETRY}")
     assert {r.k: r.w for r in df.select("k", wkt.invalid_reason("geom").alias("w")).collect()} == {"ok": None, "knot": "edges meet"}
+
+
+def test_one_file_is_worked_on_by_many_tasks(spark, data):
+    from geoloom import shape_queries
+
+    assert shape_queries.wkt_shapes(spark, data).rdd.getNumPartitions() >= 4
