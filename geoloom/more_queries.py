@@ -12,7 +12,7 @@ from .functions import geometry as g
 from .functions import scalars as s
 from .operators import spatial, tables
 from .plans import catalog, manifest, rooftops
-from .sources.files import shared_folder
+from .sources.files import shared_folder, spread
 
 SMALL = 2e-4
 _MEET = "a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy"
@@ -238,7 +238,7 @@ SELECT p_partkey, CASE k WHEN 1 THEN 'visual' WHEN 2 THEN 'b1' WHEN 3 THEN 'Visu
 
 def catalog_walk(spark, d) -> DataFrame:
     """Documents linked as a tree with cycles, walked from its root, some pruned; counts by level and kind."""
-    p = fixture(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    p = spread(fixture(spark, d, "part").select(F.col("p_partkey").alias("k")))
     link = lambda rel, href: F.struct(F.lit(rel).alias("rel"), href.alias("href"))
     at = lambda e: e.cast("string")
     k = F.col("k")

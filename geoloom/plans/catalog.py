@@ -263,7 +263,9 @@ def traversed(docs: DataFrame, roots: DataFrame, save: Callable[[DataFrame], Dat
     follow = docs if prune is None else docs.where(F.coalesce(prune, F.lit(False)))
     links = follow.select(F.col("url").alias("base"), F.explode("links").alias("x")).where(F.col("x.rel").isin("child", "item") & F.col("x.href").isNotNull())
     edges = save(links.select("base", F.col("x.rel").alias("rel"), resolve_href(F.col("base"), F.col("x.href")).alias("url")).distinct())
-    known = docs.select("url").distinct()
+    known, starts = docs.select("url").distinct(), roots.select("url").distinct()
+    # links to nowhere and back to the roots go once, so that a level joins only the rest
+    child = save(edges.where("rel = 'child'").select("base", "url").join(starts, "url", "left_anti").join(known, "url", "left_semi").select("base", "url")) if children else None
     spark = docs.sparkSession
     root, n = f"{shared_folder(spark)}/levels-{uuid.uuid4().hex}", 0
 
@@ -273,11 +275,11 @@ def traversed(docs: DataFrame, roots: DataFrame, save: Callable[[DataFrame], Dat
         return spark.read.schema("url string").parquet(f"{root}/level={level}")
 
     reached = lambda: spark.read.schema("url string, level int").parquet(root)
-    now = put(known.join(roots.select("url").distinct(), "url", "left_semi"), 0)
+    now = put(known.join(starts, "url", "left_semi"), 0)
     while children:
         n += 1
-        step = edges.where("rel = 'child'").join(now.select(F.col("url").alias("base")), "base", "left_semi").select("url").distinct()
-        now = put(step.join(reached(), "url", "left_anti").join(known, "url", "left_semi"), n)
+        step = child.join(now.select(F.col("url").alias("base")), "base", "left_semi").select("url").distinct()
+        now = put(step.join(reached(), "url", "left_anti"), n)
         if now.isEmpty():
             break
     seen = reached()

@@ -185,3 +185,32 @@ def test_manifest_preview(spark):
 
     df = spark.createDataFrame([(1, "a", "HIGH", 2), (3, "b", "HIGH", 0), (1, "a", "HIGH", 5), (None, None, "LOW", 1)], "priority int, municipio string, required_quality string, points int")
     assert [tuple(r) for r in manifest.manifest_preview(df).collect()] == [(3, "b", "HIGH", 1, 0), (1, "a", "HIGH", 2, 7), (None, None, "LOW", 1, 1)]
+
+
+def test_walk_keeps_only_links_that_can_lead_on(spark):
+    from geoloom.plans import catalog
+    from geoloom.sources.files import saved
+
+    link = lambda rel, n: (rel, f"http://h/{n}")
+    docs = [(f"http://h/{k}", [link("child", 0), link("child", k + 1), link("child", 100 + k)]) for k in range(6)]
+    kept = []
+
+    def save(df):
+        out = saved(df, "walk")
+        kept.append(out.count())
+        return out
+
+    frame = spark.createDataFrame(docs, "url string, links array<struct<rel:string,href:string>>")
+    found = catalog.traversed(frame, spark.createDataFrame([("http://h/0",)], "url string"), save)
+    assert sorted((r.url, r.level) for r in found.collect()) == [(f"http://h/{k}", k) for k in range(6)]
+    assert kept == [18, 5]
+
+
+def test_touched_cells_test_centres_once(spark, data, monkeypatch):
+    from geoloom import shape_queries
+    from geoloom.plans import imagery
+
+    made, grid = [], imagery.label_grid
+    monkeypatch.setattr(imagery, "label_grid", lambda *a, **k: made.append(1) or grid(*a, **k))
+    assert shape_queries.touched_cells(spark, data).count() == 25
+    assert made == [1]
