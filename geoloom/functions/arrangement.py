@@ -34,7 +34,7 @@ def _distinct(*cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], number
 
 
-def _spread(n: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def spread(n: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each thing i its n[i] partners from start[i] on, in chunks of bounded size."""
     total, at = np.cumsum(n), 0
     while at < len(n):
@@ -65,7 +65,7 @@ def _cut(group: np.ndarray, ends: Ends, n_groups: int, digits: int) -> tuple[np.
     low, high = np.minimum(uy, vy), np.maximum(uy, vy)
     count, start = _runs(group, n_groups)
     line, at, px, py = ([a] for a in (np.tile(np.arange(len(ux)), 2), np.repeat([-1.0, 2.0], len(ux)), np.concatenate([ux, vx]), np.concatenate([uy, vy])))
-    for i, j in _spread(count[group], start[group]):
+    for i, j in spread(count[group], start[group]):
         met = (i != j) & (ux[i] <= vx[j]) & (ux[j] <= vx[i]) & (low[i] <= high[j]) & (low[j] <= high[i])
         i, j = i[met], j[met]
         for x, y in ((ux[j], uy[j]), (vx[j], vy[j])):
@@ -106,7 +106,7 @@ def boundaries(e: Edges, group: np.ndarray, second: np.ndarray, of_sides: Callab
     # whose edge a side is: a polygon that runs there and back isn't beside it
     n_parts, at = _runs(part_line, len(first))
     keys, ways = [], []
-    for i, j in _spread(n_parts[line_of], at[line_of]):
+    for i, j in spread(n_parts[line_of], at[line_of]):
         keys.append(side_of[j] * e.n + row[i])
         ways.append(np.where(ahead[i] == keeps[j], 1, -1))
     key, number = np.unique(np.concatenate([*keys, np.empty(0, np.int64)]), return_inverse=True)
@@ -124,7 +124,7 @@ def boundaries(e: Edges, group: np.ndarray, second: np.ndarray, of_sides: Callab
     count, start = _runs(group, n_groups)
     edge_count, edge_start = _runs(row, e.n)
     ux, uy, vx, vy = ends
-    for i, j in _spread(count[side_group], start[side_group]):
+    for i, j in spread(count[side_group], start[side_group]):
         j = by_group[j]
         near = (box[j, 0] <= x[i]) & (x[i] <= box[j, 2]) & (box[j, 1] <= y[i]) & (y[i] <= box[j, 3])
         i, j = i[near], j[near]
@@ -133,7 +133,7 @@ def boundaries(e: Edges, group: np.ndarray, second: np.ndarray, of_sides: Callab
         other = owner[place] != mine if len(owner) else np.ones(len(i), bool)
         i, j = i[other], j[other]
         crossed = np.zeros(len(i), np.int64)
-        for k, m in _spread(edge_count[j], edge_start[j]):
+        for k, m in spread(edge_count[j], edge_start[j]):
             over = (uy[m] > y[i[k]]) != (vy[m] > y[i[k]])
             k, m = k[over], m[over]
             hit = x[i[k]] < (vx[m] - ux[m]) * (y[i[k]] - uy[m]) / (vy[m] - uy[m]) + ux[m]

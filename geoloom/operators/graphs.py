@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +27,17 @@ def groups_of(links: DataFrame) -> DataFrame:
         if new.where("changed").isEmpty():
             return new.select("node", "group")
         names = new.select("node", "group")
+
+
+def least_linked(name: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least number that each one is linked to, by links i, j and those that led to `name` so far (at first each one's own number)."""
+    while len(i):
+        low = np.minimum(name[i], name[j])
+        new = name.copy()
+        np.minimum.at(new, name[i], low)
+        np.minimum.at(new, name[j], low)
+        while (new[new] != new).any():
+            new = new[new]
+        name, open_ = new, new[i] != new[j]
+        i, j = i[open_], j[open_]
+    return name

@@ -12,12 +12,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..sources.files import saved
-from .graphs import groups_of
+from ..functions.arrangement import numbered
+from ..functions.arrangement import spread as spread_pairs
+from ..sources.files import ranges_of, saved
+from .graphs import groups_of, least_linked
 from .overlay import PER_TASK, boundary, boundary_area, chained, overlay
 from .spatial import candidate_pairs
 
@@ -26,6 +29,10 @@ MITRE = 5.0
 
 #: Fixed value: how often an area's box is quartered at most where many footprints end.
 QUARTERED = 12
+#: Boxes are linked in tiles so many cells wide, of so many boxes at most.
+TILE = 64
+PER_TILE = 4096
+
 _TILE = ["tx0", "ty0", "tx1", "ty1"]
 
 
@@ -102,12 +109,15 @@ def _strips_of(polygons: DataFrame, by: list[str], width: float, inward: bool) -
     return _as_polygons(polygons.select(*by, F.col("geom.srid").alias("__srid"), rings.alias("__r")), by)
 
 
-def _grown_pieces(polygons: DataFrame, by: list[str], width: float) -> DataFrame:
-    """Polygons whose union is what grows: of a convex one its moved outline, of others itself and its strips."""
+def _pieces(geom: Column, width: float) -> Column:
+    """Array of polygons whose union is what grows: of a convex one its moved outline, of others itself and its strips."""
     w = F.lit(float(width))
-    rows = polygons.select(*by, "geom", F.col("geom.srid").alias("__srid"), offset(F.col("geom"), w).alias("__r"))
-    convex, rest = rows.where("__r IS NOT NULL"), rows.where("__r IS NULL")
-    return _as_polygons(convex, by).unionByName(rest.select(*by, "geom")).unionByName(_strips_of(rest, by, width, False))
+    polygon = lambda ring: F.struct(F.array(ring).alias("rings"), geom["srid"].alias("srid"))
+    return once(offset(geom, w), lambda r: F.when(r.isNotNull(), F.array(polygon(r))).otherwise(F.concat(F.array(geom), F.transform(strips(geom, w), polygon))))
+
+
+def _grown_pieces(polygons: DataFrame, by: list[str], width: float) -> DataFrame:
+    return polygons.select(*by, F.explode(_pieces(F.col("geom"), width)).alias("geom"))
 
 
 def grown(polygons: DataFrame, by: list[str], width: float, *, cell: float, digits: int = 6, srid: int = 3857) -> DataFrame:
@@ -122,22 +132,77 @@ def boxed(polygons: DataFrame) -> DataFrame:
     return polygons.withColumns(g.envelope(F.col("geom")))
 
 
+def _in_tiles(table: pa.Table, side: float) -> pa.Table:
+    """Rows (id, tx, ty, box, many, home) with `name`: the least id that a box is linked to within its tile, by boxes that meet."""
+    ids = table.column("id").combine_chunks()
+    order = pc.sort_indices(ids).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    _, tile = numbered(table, ["tx", "ty"])
+    x0, y0, x1, y1 = (table.column(c).to_numpy() for c in ("minx", "miny", "maxx", "maxy"))
+    # boxes of a tile in order of their left sides; a box's partners are those that begin before it ends
+    base = tile * 4.0 * side - table.column("tx").to_numpy() * side
+    by_start = np.argsort(base + x0, kind="stable")
+    stop = np.searchsorted((base + x0)[by_start], (base + x1)[by_start] + 1e-6 * side, "right")
+    n = stop - np.arange(len(stop)) - 1
+    name = np.arange(len(order))
+    for i, j in spread_pairs(n, np.arange(len(n)) + 1):
+        i, j = by_start[i], by_start[j]
+        met = (tile[i] == tile[j]) & (x0[i] <= x1[j]) & (x0[j] <= x1[i]) & (y0[i] <= y1[j]) & (y0[j] <= y1[i])
+        name = least_linked(name, rank[i[met]], rank[j[met]])
+    return pa.table([ids, ids.take(pa.array(order[name[rank]])), table.column("many"), table.column("home")], ["id", "name", "many", "home"])
+
+
+def linked_boxes(boxes: DataFrame, side: float) -> DataFrame:
+    """id, group: the least id among all boxes that a box is linked to by boxes that meet, directly or not. boxes: id, not repeated, and minx, miny, maxx, maxy.
+
+    Boxes are dealt by square tiles, and links within a tile are followed in one task, so that only those boxes that reach
+    into several tiles are links between tasks. Boxes wider than a tile, and those of tiles with more than
+    `PER_TILE`, are paired by `candidate_pairs`.
+    """
+    span = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    fits = F.coalesce((F.col("minx") <= F.col("maxx")) & (F.col("miny") <= F.col("maxy")) & (span <= side), F.lit(False))
+    at = lambda c: F.floor(F.col(c) / side)
+    many = (at("minx") < at("maxx")) | (at("miny") < at("maxy"))
+    tiled = boxes.where(fits).withColumn("many", many).withColumn("tx", F.explode(F.sequence(at("minx"), at("maxx")))).withColumn("ty", F.explode(F.sequence(at("miny"), at("maxy"))))
+    tiled = tiled.withColumn("home", (F.col("tx") == at("minx")) & (F.col("ty") == at("miny")))
+    crowded = saved(tiled.groupBy("tx", "ty").agg(F.count("*").alias("n")).where(F.col("n") > PER_TILE).select("tx", "ty"), "crowded")
+    wide = boxes.where(~fits)
+    some_crowded, some_wide = not crowded.isEmpty(), not wide.isEmpty()
+    kind = dict(boxes.dtypes)["id"]
+    bucket = F.pmod(F.xxhash64("tx", "ty"), F.lit(16 * ranges_of(boxes, None)))
+    few = tiled.join(crowded, ["tx", "ty"], "left_anti") if some_crowded else tiled
+    few = few.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(lambda t: _in_tiles(t, side), f"id {kind}, name {kind}, many boolean, home boolean")
+    few = saved(few, "tiles")
+    own = few.where("home").select("id", "name")
+    links = few.where("many" if not (some_crowded or some_wide) else "true").select(F.col("id").alias("a"), F.col("name").alias("b"))
+    pair = lambda left, right: candidate_pairs(left, right, cell=side / TILE).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).where("a <> b")
+    if some_crowded:
+        full = tiled.join(crowded, ["tx", "ty"], "left_semi")
+        own = own.unionByName(full.where("home").select("id", F.col("id").alias("name")))
+        full = saved(full.select(boxes.columns).distinct(), "full")
+        links = links.unionByName(pair(full, full))
+    if some_wide:
+        own = own.unionByName(wide.select("id", F.col("id").alias("name")))
+        links = links.unionByName(pair(wide, boxes))
+    named = groups_of(links)
+    return own.join(named, F.col("name") == F.col("node"), "left").select("id", F.coalesce("group", "name").alias("group"))
+
+
 def panel_arrays(
     panels: DataFrame, *, panel_id: str, cell: float, bridge: float = 0.9, shrink: float = 0.35, expand: float = 0.10, least_area: float = 8.0, digits: int = 6
 ) -> tuple[DataFrame, DataFrame]:
     """Arrays of panel rows, (array_id, geom, area, rank), largest first, and which panel is in which group (panel_id, array_group).
 
     Panels are grown by `bridge`, so that gaps of up to twice that close, united, shrunk, and grown a little again;
-    what shrinks to nothing stays as it was; parts under `least_area` go. Panels whose grown outlines may meet form groups, by
-    connected components, and each group is worked on by itself. An array's id is that of its group, the least
+    what shrinks to nothing stays as it was; parts under `least_area` go. Panels whose grown outlines may meet form groups, see
+    `linked_boxes`, and each group is worked on by itself. An array's id is that of its group, the least
     panel in it, and the number of its part. Copies of a panel are one shape. Outlines keep all corners.
     """
     rows = panels.select(F.col(panel_id).alias("id"), "geom").where(F.col("id").isNotNull() & (F.size("geom.rings") > 0))
-    reach = boxed(_grown_pieces(rows, ["id"], bridge)).groupBy("id").agg(*(f(c).alias(c) for f, c in ((F.min, "minx"), (F.min, "miny"), (F.max, "maxx"), (F.max, "maxy"))))
-    reach = saved(reach, "reach")
-    pairs = candidate_pairs(reach, reach, cell=cell).where("l.id < r.id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-    named = groups_of(pairs)
-    member = saved(reach.join(named, reach.id == named.node, "left").select("id", F.coalesce("group", "id").alias("g")), "members")
+    outline = F.struct(F.flatten(F.transform(_pieces(F.col("geom"), bridge), lambda p: p.rings)).alias("rings"), F.col("geom.srid").alias("srid"))
+    reach = boxed(rows.select("id", outline.alias("geom"))).groupBy("id").agg(*(f(c).alias(c) for f, c in ((F.min, "minx"), (F.min, "miny"), (F.max, "maxx"), (F.max, "maxy"))))
+    member = saved(linked_boxes(saved(reach, "reach"), TILE * cell).withColumnRenamed("group", "g"), "members")
     merged = saved(grown(rows.join(member, "id").select("g", "geom"), ["g"], bridge, cell=cell, digits=digits), "merged")
     less = grown(merged, ["g"], -shrink, cell=cell, digits=digits) if shrink else merged
     less = saved(less, "less")

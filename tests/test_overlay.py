@@ -2,11 +2,14 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from geoloom.fixtures import with_box
 from geoloom.functions import geometry as g
 from geoloom.operators import outlines, overlay
+from geoloom.operators.graphs import groups_of
 from geoloom.plans import imagery
 from geoloom.sources.files import saved
 
@@ -283,3 +286,34 @@ def test_small_groups_as_large_ones(spark, monkeypatch, result):
     monkeypatch.setattr(overlay, "PER_TASK", 0)
     large, m = areas()
     assert small == pytest.approx(large, abs=1e-6) and n == m
+
+
+def test_linked_boxes_across_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    at, size = rng.uniform(-60, 60, (700, 2)), rng.uniform(0, 5, (700, 2))
+    boxes = [(f"b{i}", float(x), float(y), float(x + w), float(y + h)) for i, ((x, y), (w, h)) in enumerate(zip(at, size))]
+    boxes += [("wide", -61.0, 30.0, 61.0, 30.5), ("edge", 100.0, 0.0, 112.0, 1.0), ("edge2", 112.0, 1.0, 113.0, 2.0), ("alone", 500.0, 500.0, 501.0, 501.0)]
+    boxes += [(f"row{i}", 2000.0 + 2 * i, 0.0, 2002.0 + 2 * i, 1.0) for i in range(60)] + [("none", None, None, None, None)]
+    name = {b[0]: b[0] for b in boxes}
+    changed = True
+    while changed:
+        changed = False
+        for a in boxes[:-1]:
+            for b in boxes[:-1]:
+                if a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4] and name[a[0]] != name[b[0]]:
+                    name[a[0]] = name[b[0]] = min(name[a[0]], name[b[0]])
+                    changed = True
+    df = saved(spark.createDataFrame(boxes, "id string, minx double, miny double, maxx double, maxy double").repartition(3), "boxes")
+    for per_tile, side in ((4096, 16.0), (10, 16.0), (4096, 512.0)):
+        monkeypatch.setattr(outlines, "PER_TILE", per_tile)
+        assert {r.id: r.group for r in outlines.linked_boxes(df, side).collect()} == name
+
+
+def test_arrays_shuffle_few_rows(spark, monkeypatch):
+    """Links within a tile aren't rows; what is paired or named in rounds are only panels on tiles' borders."""
+    panels = spark.range(4000).selectExpr("id AS panel_id", "2D * (id % 40) AS minx", "6D * floor(id / 40) AS miny", "2D * (id % 40) + 1.2 AS maxx", "6D * floor(id / 40) + 1 AS maxy")
+    seen = []
+    monkeypatch.setattr(outlines, "groups_of", lambda links: seen.append(links.count()) or groups_of(links))
+    arrays, member = outlines.panel_arrays(with_box(panels), panel_id="panel_id", cell=2.0)
+    assert arrays.count() == 100 and member.groupBy("array_group").count().where("count = 40").count() == 100
+    assert sum(seen) < 1000
