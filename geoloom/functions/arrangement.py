@@ -93,8 +93,8 @@ def _cut(group: np.ndarray, ends: Ends, n_groups: int, digits: int) -> tuple[np.
     return line[:-1][whole], (px[:-1][whole], py[:-1][whole], px[1:][whole], py[1:][whole])
 
 
-def boundaries(e: Edges, group: np.ndarray, second: np.ndarray, of_sides: Callable[[np.ndarray, np.ndarray], np.ndarray], digits: int) -> tuple[np.ndarray, Ends]:
-    """Group and ends of the directed edges of each group's boundary, the result to the left. group, second: of each row, a polygon."""
+def arranged(e: Edges, group: np.ndarray, second: np.ndarray, digits: int) -> tuple[np.ndarray, Ends, dict[tuple[bool, bool], np.ndarray]]:
+    """Group and ends of all edges after cutting, and by role and side (left: true) whether polygons cover it. group, second: of each row, a polygon."""
     real = (e.x1 != e.x2) | (e.y1 != e.y2)
     n_groups, row = int(group.max(initial=-1)) + 1, e.row[real]
     ahead, ends = _ordered(*(c[real] for c in (e.x1, e.y1, e.x2, e.y2)))
@@ -142,8 +142,21 @@ def boundaries(e: Edges, group: np.ndarray, second: np.ndarray, of_sides: Callab
         for role in (False, True):
             held = i[inside & (second[j] == role)]
             covers[role, False][held] = covers[role, True][held] = True
+    return side_group, side, covers
+
+
+def picked(group: np.ndarray, ends: Ends, covers: dict[tuple[bool, bool], np.ndarray], of_sides: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, Ends]:
+    """Group and ends of the directed edges of each group's boundary among arranged ones, the result to the left."""
     is_left, is_right = (of_sides(covers[False, way], covers[True, way]) for way in (True, False))
     kept = is_left != is_right
     way = is_left[kept]
-    ux, uy, vx, vy = (c[kept] for c in side)
-    return side_group[kept], tuple(np.where(way, a, b) for a, b in ((ux, vx), (uy, vy), (vx, ux), (vy, uy)))
+    ux, uy, vx, vy = (c[kept] for c in ends)
+    return group[kept], tuple(np.where(way, a, b) for a, b in ((ux, vx), (uy, vy), (vx, ux), (vy, uy)))
+
+
+def areas(group: np.ndarray, ends: Ends, n_groups: int) -> np.ndarray:
+    """Area within each group's boundary, summed over edges from its lowest point."""
+    x1, y1, x2, y2 = ends
+    low = np.full(n_groups, np.inf)
+    np.minimum.at(low, group, y1)
+    return np.bincount(group, (x1 - x2) * ((y1 - low[group]) + (y2 - low[group])) / 2, n_groups).astype(float)  # integers if there are no edges

@@ -11,7 +11,7 @@ The steps are the same:
 3. Same edges are grouped; which sides of an edge are covered follows from the polygons that own it and from those
    that hold its middle. Edges with the result on one side only are its boundary.
 
-`boundary` returns these edges; areas are sums over them. `overlay` chains a group's edges to rings, each group in one
+`boundary` returns these edges; areas are sums over them, which `areas` reckons where the edges are. `overlay` chains a group's edges to rings, each group in one
 task, as its result is one value. Polygons may overlap, repeat and have holes; those of a group are simple, with
 shells counter-clockwise.
 
@@ -21,13 +21,15 @@ Null and empty geometries are left out; groups without any give no row. Nulls in
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrangement import boundaries, numbered
+from ..functions import arrangement
+from ..functions.arrangement import numbered
 from ..functions.geometry import contains_point, envelope, point_struct
 from ..functions.polygons import edges_of
 from ..sources.files import ranges_of, saved
@@ -42,6 +44,8 @@ RESULTS: dict[str, Callable[[Column, Column], Column]] = {
     "union": lambda a, b: a | b,
     "intersection": lambda a, b: a & b,
     "difference": lambda a, b: a & ~b,
+    "first": lambda a, b: a,
+    "rest": lambda a, b: b & ~a,
 }
 _ENDS = ["ux", "uy", "vx", "vy"]
 
@@ -118,6 +122,31 @@ def boundary(polygons: DataFrame, by: list[str] = (), *, cell: float, other: Dat
     polygons, other: by and geom. cell: about the length of edges. result: see RESULTS; without `other` the union.
     """
     by = list(by)
+    small, large = _by_size(polygons, by, other, digits)
+    found = _of_small_groups(small, by, {"": result}, digits)
+    return found if large is None else found.unionByName(_of_large_groups(large, by, cell, result, digits))
+
+
+def areas(polygons: DataFrame, by: list[str] = (), *, cell: float, results: dict[str, str], other: DataFrame | None = None, digits: int = 9) -> DataFrame:
+    """by and a column per name in results: the area of that result (see RESULTS), zero where nothing is left; a row per group with polygons.
+
+    Edges of smaller groups are cut once for all results and their areas summed in the same task, so that no edge is shuffled.
+    """
+    by = list(by)
+    small, large = _by_size(polygons, by, other, digits)
+    found = _of_small_groups(small, by, results, digits, sums=True)
+    if large is None:
+        return found
+    keys = [F.col(f"g.{k}").alias(k) for k in by]
+    parts = [found, large.select("g").distinct().select(*keys, *(F.lit(0.0).alias(n) for n in results))]
+    for name, result in results.items():
+        size = boundary_area(_of_large_groups(large, by, cell, result, digits), by, "__area")
+        parts.append(size.select(*by, *((F.col("__area") if n == name else F.lit(0.0)).alias(n) for n in results)))
+    return reduce(DataFrame.unionByName, parts).groupBy(*by).agg(*(F.sum(n).alias(n) for n in results))
+
+
+def _by_size(polygons: DataFrame, by: list[str], other: DataFrame | None, digits: int) -> tuple[DataFrame, DataFrame | None]:
+    """Shapes of groups of at most PER_TASK edges, and of larger ones, if there are any."""
     shapes = _shapes(polygons, by, False, digits)
     if other is not None:
         shapes = shapes.unionByName(_shapes(other, by, True, digits))
@@ -126,27 +155,33 @@ def boundary(polygons: DataFrame, by: list[str] = (), *, cell: float, other: Dat
     sizes = shapes.groupBy("g").agg(F.sum(n).alias("n"))
     crowded = saved(sizes.where(F.col("n") > PER_TASK).select("g"), "crowded")
     if crowded.isEmpty():
-        return _of_small_groups(shapes, by, result, digits)
-    small = _of_small_groups(shapes.join(crowded, "g", "left_anti"), by, result, digits)
-    return small.unionByName(_of_large_groups(shapes.join(crowded, "g", "left_semi"), by, cell, result, digits))
+        return shapes, None
+    return shapes.join(crowded, "g", "left_anti"), shapes.join(crowded, "g", "left_semi")
 
 
-def _of_small_groups(shapes: DataFrame, by: list[str], result: str, digits: int) -> DataFrame:
+def _of_small_groups(shapes: DataFrame, by: list[str], results: dict[str, str], digits: int, sums: bool = False) -> DataFrame:
+    """by and the boundary's edges of the one result, or with `sums` a row per group with the area of each."""
     total = shapes.agg(F.sum(F.aggregate("geom.rings", F.lit(0).cast("long"), lambda a, r: a + F.size(r)))).first()[0] or 0
     names = [f"k{i}" for i in range(len(by))]
     bucket = F.pmod(F.xxhash64("g"), F.lit(total // AT_ONCE + 1)).alias("bucket")
     rows = shapes.select(bucket, *(F.col(f"g.{k}").alias(n) for k, n in zip(by, names)), "second", "geom")
     out = "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in names)
+    columns = [f"a{i}" for i in range(len(results))] if sums else ["x1", "y1", "x2", "y2"]
 
     def of_bucket(table: pa.Table) -> pa.Table:
         first, group = numbered(table, names)
         second = table.column("second").to_numpy()
-        of, ends = boundaries(edges_of(table.column("geom").combine_chunks()), group, second, RESULTS[result], digits)
+        cut = arrangement.arranged(edges_of(table.column("geom").combine_chunks()), group, second, digits)
+        found = [arrangement.picked(*cut, RESULTS[r]) for r in results.values()]
+        if sums:
+            of, values = np.arange(len(first)), [arrangement.areas(*f, len(first)) for f in found]
+        else:
+            ((of, values),) = found
         at = pa.array(first[of])
-        return pa.table([*(table.column(n).take(at) for n in names), *map(pa.array, ends)], [*names, "x1", "y1", "x2", "y2"])
+        return pa.table([*(table.column(n).take(at) for n in names), *map(pa.array, values)], [*names, *columns])
 
-    found = rows.groupBy("bucket").applyInArrow(of_bucket, f"{out}x1 double, y1 double, x2 double, y2 double")
-    return found.withColumnsRenamed(dict(zip(names, by)))
+    found = rows.groupBy("bucket").applyInArrow(of_bucket, out + ", ".join(f"{c} double" for c in columns))
+    return found.withColumnsRenamed(dict(zip(names, by)) | (dict(zip(columns, results)) if sums else {}))
 
 
 def _of_large_groups(shapes: DataFrame, by: list[str], cell: float, result: str, digits: int) -> DataFrame:

@@ -28,14 +28,15 @@ def _levelled(df: DataFrame, cell: float, levels: int) -> DataFrame:
 
 def _listed(df: DataFrame, struct: str, side: str, cell: float, others: list[int], on: list[str]) -> DataFrame:
     """df as a struct, with the sides, levels and cells it is listed under. Side `l`: the left shape is of the pair's level."""
+    least = min(others, default=1 << 30)
     if side == "l":
-        mine, above = "l", F.filter(F.array(*map(F.lit, others)), lambda x: x > F.col("__own"))
+        mine, above, met = "l", F.filter(F.array(*map(F.lit, others)), lambda x: x > F.col("__own")), F.col("__own") >= least
     else:
-        mine, above = "r", F.filter(F.array(*map(F.lit, others)), lambda x: x >= F.col("__own"))
+        mine, above, met = "r", F.filter(F.array(*map(F.lit, others)), lambda x: x >= F.col("__own")), F.col("__own") > least
     other = "r" if side == "l" else "l"
     entry = lambda role, at: F.struct(F.lit(role).alias("role"), at.cast("int").alias("at"))
-    # of two shapes of one level the left one is listed once, under `l`
-    entries = F.concat(F.array(entry(mine, F.col("__own"))), F.transform(above, lambda x: entry(other, x)))
+    # of two shapes of one level the left one is listed once, under `l`; a shape without smaller ones on the other side isn't listed for them
+    entries = F.concat(F.filter(F.array(entry(mine, F.col("__own"))), lambda _: met), F.transform(above, lambda x: entry(other, x)))
     size = lambda: F.pow(F.lit(2.0), F.col("__e.at")) * cell
     cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size()), F.floor(F.col(hi) / size()))
     columns = [c for c in df.columns if c != "__own"]

@@ -55,16 +55,14 @@ ISLAND_SQL = "SELECT round(sum((maxx - minx) * (maxy - miny)), 6) area FROM {blo
 
 def roof_outlines(spark, d) -> DataFrame:
     """Per building with panels: area of its panels united, of what of them lies on the building, and of the free roof. Panels overlap."""
-    b = with_box(fixture(spark, d, "buildings")).select("building_id", "geom", "minx", "miny", "maxx", "maxy")
-    p = with_box(fixture(spark, d, "panels")).select("geom", "minx", "miny", "maxx", "maxy")
-    pairs = outlines.candidate_pairs(p, b, cell=SMALL).select(F.col("r.building_id").alias("building_id"), F.col("l.geom").alias("geom"))
-    roofs = b.join(pairs.select("building_id").distinct(), "building_id", "left_semi").select("building_id", "geom")
-    by = ["building_id"]
-    united = overlay.boundary_area(overlay.boundary(pairs, by, cell=SMALL), by, "united")
-    on_roof = overlay.boundary_area(overlay.boundary(pairs, by, cell=SMALL, other=roofs, result="intersection"), by, "on_roof")
-    free = overlay.boundary_area(overlay.boundary(roofs, by, cell=SMALL, other=pairs, result="difference"), by, "free")
-    out = united.join(on_roof, by, "left").join(free, by, "left")
-    return out.select("building_id", *(_r(F.coalesce(c, F.lit(0.0)) * 1e9, 2).alias(c) for c in ("united", "on_roof", "free")))
+    side = ("minx", "miny", "maxx", "maxy")
+    b, p = fixture(spark, d, "buildings").select("building_id", *side), fixture(spark, d, "panels").select(*side)
+    pairs = outlines.candidate_pairs(p, b, cell=SMALL).where("r.building_id IS NOT NULL")
+    pairs = saved(pairs.select("r.building_id", *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in side)), "pairs")
+    boxes = lambda df, s: df.select("building_id", g.box(*(F.col(f"{s}_{c}") for c in side)).alias("geom"))
+    roofs = pairs.select("building_id", *(f"r_{c}" for c in side)).distinct()
+    out = overlay.areas(boxes(pairs, "l"), ["building_id"], cell=SMALL, other=boxes(roofs, "r"), results={"united": "first", "on_roof": "intersection", "free": "rest"})
+    return out.select("building_id", *(_r(F.col(c) * 1e9, 2).alias(c) for c in ("united", "on_roof", "free")))
 
 
 ROOF_SQL = """

@@ -317,3 +317,32 @@ def test_arrays_shuffle_few_rows(spark, monkeypatch):
     arrays, member = outlines.panel_arrays(with_box(panels), panel_id="panel_id", cell=2.0)
     assert arrays.count() == 100 and member.groupBy("array_group").count().where("count = 40").count() == 100
     assert sum(seen) < 1000
+
+
+@pytest.mark.parametrize("per_task", [512, 30])
+def test_areas_of_several_results(spark, monkeypatch, per_task):
+    rng = random.Random(3)
+    rects = lambda n: [(x := rng.randint(0, 9), y := rng.randint(0, 9), x + rng.randint(1, 5), y + rng.randint(1, 5)) for _ in range(n)]
+    first = {k: rects(n) for k, n in (("a", 3), ("b", 9), ("c", 1), ("d", 2))} | {"c": [(0, 0, 1, 1)]}
+    second = {k: rects(n) for k, n in (("a", 1), ("b", 4))} | {"c": [(5, 5, 6, 6)], "e": [(0, 0, 2, 2)]}
+    frame = lambda of: spark.createDataFrame([r for k, rs in of.items() for r in box_rows(k, rs)], SCHEMA)
+    monkeypatch.setattr(overlay, "PER_TASK", per_task)
+    names = {"one": "first", "both": "intersection", "rest": "rest", "all": "union"}
+    out = overlay.areas(frame(first), ["k"], cell=2.0, other=frame(second), results=names)
+    shuffles = out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert per_task == 30 or shuffles == 1  # shapes only
+    want = {}
+    for k in "abcde":
+        a, b = first.get(k, []), second.get(k, [])
+        one, two, both = (union_of_rects(r) for r in (a, b, a + b))
+        want[k] = (one, one + two - both, both - one, both)
+    got = {r.k: (r.one, r.both, r["rest"], r.all) for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_shapes_of_one_size_are_listed_once(spark):
+    from geoloom.operators.spatial import _levelled, _listed
+
+    df = spark.range(50).selectExpr("id", "10D * id AS minx", "10D * id + 0.5 AS maxx", "0.1D AS miny", "0.5D AS maxy")
+    listed = {s: _listed(_levelled(df, 1.0, 24), s, s, 1.0, [0], []).count() for s in "lr"}
+    assert listed == {"l": 50, "r": 50}
